@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_PROBES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,9 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Top bits of a multiplicative hash."""
-    return ((keys.astype(np.int64).view(np.uint64) * _MIX) >> np.uint64(64 - bits)).view(np.int64)
+def slots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Places of each key in the bit table: top bits of a few multiplicative hashes."""
+    x = keys.astype(np.int64).view(np.uint64)
+    x = x ^ (x >> np.uint64(31))
+    return [((x * m) >> np.uint64(64 - bits)).view(np.int64) for m in _PROBES]
 
 
 class Bloom:
@@ -58,11 +60,11 @@ class Bloom:
     @classmethod
     def of(cls, df: DataFrame, column: str, rows: int, max_bits: int = 27) -> Bloom:
         """Bits are set and OR-ed inside Spark; the driver only receives the bounded table of 64-bit words."""
-        bits = min(max_bits, max(12, int(np.ceil(np.log2(max(rows, 1) * 24)))))
+        bits = min(max_bits, max(12, int(np.ceil(np.log2(max(rows, 1) * 48)))))
 
         def words(batches):
             for batch in batches:
-                slot = slots(batch.column(0).to_numpy(zero_copy_only=False), bits)
+                slot = np.concatenate(slots(batch.column(0).to_numpy(zero_copy_only=False), bits))
                 word, at = np.unique(slot >> 6, return_inverse=True)
                 value = np.zeros(len(word), np.int64)
                 np.bitwise_or.at(value, at, np.int64(1) << (slot & 63))
@@ -76,5 +78,7 @@ class Bloom:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Boolean mask; False means surely absent."""
-        slot = slots(keys, self.bits)
-        return (self.words[slot >> 6] >> (slot & 63)) & 1 == 1
+        found = np.ones(len(keys), bool)
+        for slot in slots(keys, self.bits):
+            found &= (self.words[slot >> 6] >> (slot & 63)) & 1 == 1
+        return found

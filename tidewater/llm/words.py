@@ -25,8 +25,10 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def split(text: str | None) -> list[bytes]:
-    return [] if text is None else text.encode("utf-8", "surrogatepass").split()
+def split(text: str | None, lower: bool = False) -> list[bytes]:
+    """Words of a text; lower: A-Z become a-z, other letters stay."""
+    raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+    return (raw.lower() if lower else raw).split()
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
