@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import ngram_join, packing, token_files
+from tidewater.llm import language, ngram_join, packing, token_files, urls
 from tidewater.llm.store import importable, new_path
 from tidewater.llm.tokens import vocabulary
 
@@ -22,14 +23,29 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(language.fold() != 2))
+    found = language.classify(docs, model)
+    return found.select("doc_id", F.coalesce(language.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+#: Fixed values of the contract.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, vocabulary())
-    return token_files.read(spark, path).drop("ids")
+    return token_files.read(spark, path, ids=False)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op4_best_fit_packing, op9_token_files)}
+    return {f.__name__: f for f in (op1_ngram_join, op4_best_fit_packing, op7_language_id, op8_url_filter, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,11 +35,11 @@ LEVEL = 3
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """Dictionary from a bounded sample: the SAMPLE_DOCS documents of at most SAMPLE_CHARS with the least hashes."""
-    sample = (
-        docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-        .select("text", F.xxhash64("doc_id", "text").alias("at")).orderBy("at").limit(SAMPLE_DOCS).collect()
-    )
+    """Dictionary from a bounded sample: of the SAMPLE_DOCS documents with the least hashes those of at most SAMPLE_CHARS."""
+    at = F.xxhash64("doc_id")
+    chosen = docs.select(at.alias("at")).distinct().orderBy("at").limit(SAMPLE_DOCS)  # reads no text
+    short = docs.where(F.length("text") <= SAMPLE_CHARS).select(at.alias("at"), "text")
+    sample = short.join(F.broadcast(chosen), "at").orderBy("at", "text").limit(SAMPLE_DOCS).collect()
     encode = Encoder.at(tokenizer)
     pieces = [x for row in sample if (x := encode(row["text"]).tobytes())]
     try:
@@ -111,8 +111,9 @@ def _frames(dictionary, blocks):
             yield doc_id, count, unpack(payload[start:end], max_output_size=count * size)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Documents from the files: doc_id, start, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), ids.
+def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """Documents from the files: doc_id, start, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids) and,
+    if asked for, the ids in that form.
 
     Starts come from running sums in each part and over the parts' totals, so no task holds more than a part's index.
     """
@@ -123,6 +124,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     inside = sizes.select("part", "block", (F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n")).alias("inside"))
     starts = inside.join(parts, "part").select("part", "block", (F.col("inside") + F.col("before")).alias("first"))
     shared = spark.sparkContext.broadcast(dictionary)
+    shape = pa.schema(list(_READ)[: 4 + ids])
 
     def documents(batches):
         item = np.dtype(shared.value[2])
@@ -130,14 +132,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 out, at = [], row["first"]
                 for doc_id, count, raw in _frames(shared.value, [(row["doc_ids"], row["counts"], row["offsets"], row["payload"], row["dictionary_sha256"])]):
-                    ids = np.frombuffer(raw, item).astype("<u4").tobytes()
-                    out.append((doc_id, at, count, zlib.crc32(ids), ids))
+                    whole = np.frombuffer(raw, item).astype("<u4").tobytes()
+                    out.append((doc_id, at, count, zlib.crc32(whole), *([whole] if ids else ())))
                     at += count
                 for i in range(0, len(out), 2000):
                     columns = zip(*out[i : i + 2000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _READ.types, strict=True)], schema=_READ)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, shape.types, strict=True)], schema=shape)
 
-    return blocks.join(starts, ["part", "block"]).select("first", "dictionary_sha256", "doc_ids", "counts", "offsets", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return blocks.join(starts, ["part", "block"]).select("first", "dictionary_sha256", "doc_ids", "counts", "offsets", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])

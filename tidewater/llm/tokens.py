@@ -43,6 +43,9 @@ class Encoder:
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         plain = spec.get("normalizer") is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": spec["pre_tokenizer"].get("trim_offsets"), "use_regex": spec["pre_tokenizer"].get("use_regex", True)}
         self.memo: dict[str, bytes] | None = {} if plain else None
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.leading = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leading[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
 
     @classmethod
@@ -59,13 +62,14 @@ class Encoder:
         run = [x for x in pieces if _JOINABLE(x)]
         rest = [x for x in pieces if not _JOINABLE(x)]
         if run:
-            found = self.library.encode("".join(run), add_special_tokens=False)
-            ends = np.cumsum(np.bincount(found.word_ids, minlength=len(run)))
-            raw, size = np.array(found.ids, self.dtype).tobytes(), self.dtype.itemsize
-            at = 0
-            for x, end in zip(run, (ends * size).tolist(), strict=True):
-                self.memo[x] = raw[at:end]
-                at = end
+            raw = self._ask(["".join(run)])[0]
+            # each piece starts with its only space, so a token with a leading space starts a piece
+            starts = np.flatnonzero(self.leading[np.frombuffer(raw, self.dtype)]) * self.dtype.itemsize
+            if len(starts) == len(run):
+                at = [*starts.tolist(), len(raw)]
+                self.memo.update((x, raw[at[i] : at[i + 1]]) for i, x in enumerate(run))
+            else:
+                rest = pieces
         if rest:
             self.memo.update(zip(rest, self._ask(rest), strict=True))
 
