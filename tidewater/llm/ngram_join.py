@@ -35,7 +35,7 @@ _SHARED = np.uint64(16)  # postings carry 48-bit shingle keys; verification comp
 
 def _sets(batch: pa.RecordBatch, k: int):
     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-        yield doc_id, W.shingles(W.split(text.as_py(), lower=True), k)
+        yield doc_id, W.shingles(W.encoded(text.as_py(), lower=True), k)
 
 
 def profile(docs: DataFrame, k: int = 5, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, np.ndarray]:
@@ -58,9 +58,9 @@ def profile(docs: DataFrame, k: int = 5, sketch_bits: int = SKETCH_BITS) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), bool)), pa.array(part), pa.array(counts[part]), empty], ["document", "doc_id", "n", "key"])
 
     table = written(docs.select("doc_id", "text").mapInArrow(scan, "document boolean, doc_id long, n long, key long"), "profile")
-    got = table.where("not document").groupBy("doc_id").agg(F.sum("n").alias("n")).toPandas()  # 2**sketch_bits rows at most
+    got = table.where("not document").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()  # 2**sketch_bits rows at most
     sketch = np.zeros(1 << sketch_bits, np.int64)
-    sketch[got["doc_id"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    sketch[got["doc_id"].to_numpy()] = got["n"].to_numpy()
     return table.where("document").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_key")), sketch
 
 
@@ -73,7 +73,7 @@ class Prefix:
         self.floor = sketch.mean() + 3 * np.sqrt(sketch.mean()) if len(sketch) else 0
 
     def __call__(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        """(48-bit keys of the prefix, shared keys that it asks for)."""
+        """(48-bit keys of the prefix in their order, shared keys that it asks for)."""
         n = len(s)
         overlap = -(-self.percent * n // 100)
         most = min(MOST_MATCHES, overlap)
@@ -86,19 +86,20 @@ class Prefix:
 
 
 def _postings(docs: DataFrame, prefix: Prefix, k: int, bloom: Bloom | None) -> DataFrame:
-    """(token, doc_id, meta) of all prefixes; with a filter, only of tokens that pass, and with the documents' sets.
+    """(token, doc_id) of all prefixes; with a filter, only of tokens that pass, with the document's size, matches
+    asked for and the token's position, and with the documents' sets.
 
-    meta is 8 * n_shingles + matches asked for. A partition's further copies of a set are left out: they are linked
-    through the set's key.
+    A partition's further copies of a set are left out: they are linked through the set's key.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((prefix, bloom))
+    names = ["token", "doc_id", "size", "need", "pos", "shingles"]
 
     def scan(batches):
         prefix, bloom = shared.value
         seen = set()
         for batch in batches:
-            tokens, ids, metas, set_ids, sets = [], [], [], [], []
+            found, set_ids, sets = [], [], []
             for doc_id, s in _sets(batch, k):
                 if doc_id is None or not len(s):
                     continue
@@ -107,28 +108,24 @@ def _postings(docs: DataFrame, prefix: Prefix, k: int, bloom: Bloom | None) -> D
                     continue
                 seen.add(key)
                 keys, need = prefix(s)
-                if bloom is not None:
-                    keys = keys[bloom(keys)]
-                    if not len(keys):
-                        continue
+                pos = np.flatnonzero(bloom(keys)) if bloom is not None else np.arange(len(keys))
+                if len(pos):
+                    found.append(np.stack([keys[pos], *(np.full(len(pos), x, np.int64) for x in (doc_id, len(s), need)), pos]))
                     set_ids.append(doc_id)
                     sets.append(s.view(np.int64))
-                tokens.append(keys)
-                ids.append(np.full(len(keys), doc_id, np.int64))
-                metas.append(np.full(len(keys), 8 * len(s) + need, np.int64))
-            if tokens:
-                n = sum(map(len, tokens))
-                rows = [pa.array(np.concatenate(x)) for x in (tokens, ids, metas)]
-                if bloom is None:
-                    yield pa.RecordBatch.from_arrays(rows[:2], ["token", "doc_id"])
-                    continue
-                lengths = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                arrays = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets)))
-                m = len(sets)
-                yield pa.RecordBatch.from_arrays([*rows, pa.nulls(n, arrays.type)], ["token", "doc_id", "meta", "shingles"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(set_ids, pa.int64()), pa.nulls(m, pa.int64()), arrays], ["token", "doc_id", "meta", "shingles"])
-
-    schema = "token long, doc_id long" + (", meta long, shingles array<long>" if bloom is not None else "")
+            if not found:
+                continue
+            rows = [pa.array(x) for x in np.concatenate(found, axis=1)]
+            if bloom is None:
+                yield pa.RecordBatch.from_arrays(rows[:2], names[:2])
+                continue
+            lengths = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            arrays = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(rows[0]), arrays.type)], names)
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(set_ids, pa.int64()), none, none, none, arrays], names)
+
+    schema = "token long, doc_id long" + (", size long, need long, pos long, shingles array<long>" if bloom is not None else "")
     return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
 
@@ -138,14 +135,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     same = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(right, "b").join(left, "a").select("a", "b", same.alias("same"), (F.size("sa") + F.size("sb")).alias("both"))
-        .where(100 * F.col("same") >= percent * (F.col("both") - F.col("same"))).select("a", "b", "same")
+        .where(100 * F.col("same") >= percent * (F.col("both") - F.col("same"))).select("a", "b")
     )
 
 
-def _close(percent: int):
-    """Sizes (in meta) that allow the similarity."""
-    small, large = F.least(F.expr("ma div 8"), F.expr("mb div 8")), F.greatest(F.expr("ma div 8"), F.expr("mb div 8"))
-    return 100 * small >= percent * large
+def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share enough of their prefixes.
+
+    a is the smaller set. The m-th shared shingle of a similar pair lies so early that, of each set, at least
+    T - m + 1 shingles are left from there on, T = percent / (100 + percent) * (size a + size b) being the overlap that
+    the pair needs. So a shingle of b at some position only serves partners below a certain size, and the join is by
+    shingle and class of size: sets that differ from a common text in many shingles of their own, and so share only
+    late ones, do not meet at all.
+    """
+    share = percent / (100 + percent)
+    tier = lambda size: F.floor(F.log(size) / np.log(1.02))
+    # T >= 2 * share * size for the smaller set
+    left = placed.where(F.col("size") - F.col("pos") + F.col("need") - 1 >= F.ceil(F.col("size") * (2 * share) - 1e-6))
+    left = left.select("token", tier(F.col("size")).alias("tier"), *(F.col(x).alias(y) for x, y in (("doc_id", "a"), ("size", "na"), ("need", "ma"), ("pos", "pa"), ("root", "ra"))))
+    most = F.least(F.floor((F.col("size") - F.col("pos") + F.col("need") - 1) / share + 1e-6) - F.col("size"), F.col("size"))
+    least = F.ceil(F.col("size") * (percent / 100) - 1e-6)
+    right = placed.withColumn("most", most).where(F.col("most") >= least)
+    right = right.select("token", F.explode(F.sequence(tier(least), tier(F.col("most")))).alias("tier"), *(F.col(x).alias(y) for x, y in (("doc_id", "b"), ("size", "nb"), ("need", "mb"), ("pos", "pb"), ("root", "rb"), ("most", "most"))))
+    need, overlap = F.least("ma", "mb"), F.ceil((F.col("na") + F.col("nb")) * share - 1e-6)
+    fits = (
+        ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+        & (F.col("ra") != F.col("rb")) & (100 * F.col("na") >= percent * F.col("nb"))
+        & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= overlap - need + 1)
+    )
+    return left.join(right, ["token", "tier"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("n"), F.min(need).alias("need")).where("n >= need").select("a", "b")
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
@@ -157,10 +175,9 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
         _postings(docs, prefix, k, None).groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         .where("lo < hi").select("token"), "shared",
     )
-    bloom = Bloom.of(shared, "token", shared.count())
-    found = written(_postings(docs, prefix, k, bloom), "postings")
+    found = written(_postings(docs, prefix, k, Bloom.of(shared, "token", shared.count())), "postings")
     sets = found.where("shingles is not null").select("doc_id", "shingles").dropDuplicates(["doc_id"])
-    postings = found.where("token is not null").select("token", "doc_id", "meta").distinct()
+    postings = found.where("token is not null").drop("shingles")
     postings = written(postings.join(shared, "token"), "shared-postings")
 
     # copies: a star around the least document of each set
@@ -169,25 +186,18 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
 
     # the most central document of a token: most of its prefix is shared
     central = postings.groupBy("doc_id").agg(F.count("*").alias("degree"))
-    ranked = postings.join(central, "doc_id")
-    hub = ranked.groupBy("token").agg(F.max(F.struct("degree", -F.col("doc_id"), "meta")).alias("hub"))
-    hub = hub.select("token", (-F.col("hub.col2")).alias("a"), F.col("hub.meta").alias("ma"))
-    star = postings.select("token", F.col("doc_id").alias("b"), F.col("meta").alias("mb")).join(hub, "token").where("a <> b")
-    star = star.where(_close(percent)).groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b")
-    found = written(_verified(star, sets, percent).select("a", "b").unionByName(copies), "links")
+    hub = postings.join(central, "doc_id").groupBy("token").agg(F.max(F.struct("degree", -F.col("doc_id"), "size")).alias("hub"))
+    hub = hub.select("token", (-F.col("hub.col2")).alias("a"), F.col("hub.size").alias("na"))
+    star = postings.select("token", F.col("doc_id").alias("b"), F.col("size").alias("nb")).join(hub, "token").where("a <> b")
+    star = star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+    found = written(_verified(star, sets, percent).unionByName(copies), "links")
     roots = written(components(found), "roots")
 
     # what the stars leave: pairs of different components
-    placed = postings.join(roots, postings["doc_id"] == roots["node"], "left").select("token", "doc_id", "meta", F.coalesce("root", "doc_id").alias("root"))
+    placed = postings.join(roots, postings["doc_id"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "doc_id"))
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     placed = written(placed.join(open_tokens, "token"), "open-postings")
-    left = placed.select("token", *(F.col(x).alias(y) for x, y in (("doc_id", "a"), ("meta", "ma"), ("root", "ra"))))
-    right = placed.select("token", *(F.col(x).alias(y) for x, y in (("doc_id", "b"), ("meta", "mb"), ("root", "rb"))))
-    rest = (
-        left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close(percent))
-        .groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least(F.expr("ma % 8"), F.expr("mb % 8"))).alias("need")).where("n >= need").select("a", "b")
-    )
-    more = _verified(rest, sets, percent).select("a", "b")
+    more = _verified(_open_pairs(placed, percent), sets, percent)
     return base, written(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))), "links")
 
 

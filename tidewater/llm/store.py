@@ -71,9 +71,9 @@ class Bloom:
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value)], ["word", "bits"])
 
         got = df.select(F.col(column).cast("long")).dropna().mapInArrow(words, "word long, bits long")
-        got = got.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        got = got.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         table = np.zeros(1 << (bits - 6), np.int64)
-        table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+        table[got["word"].to_numpy()] = got["bits"].to_numpy()
         return cls(table, bits)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
