@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.store import written
+
 LEXICON_WORDS = 1 << 16
 LONGEST_WORD = 20
 BUCKETS = 1 << 16
@@ -46,8 +48,16 @@ def lexicon(pages: DataFrame) -> dict[str, int]:
     """Counts of the most frequent lower-case words of the pages' visible text, counted over all pages."""
     bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(bare), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(1, LONGEST_WORD))
-    rows = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(LEXICON_WORDS).collect()
-    return {r["word"]: r["n"] for r in rows}
+    counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+    # the least count that still fits, from the counts of counts; words that tie there beyond the room come in order
+    room, least = LEXICON_WORDS, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(LEXICON_WORDS).collect():
+        least, room = r["n"], room - r["words"]
+        if room <= 0:
+            break
+    found = {r["word"]: r["n"] for r in counts.where(F.col("n") > least).collect()}
+    found |= {r["word"]: r["n"] for r in counts.where(F.col("n") == least).orderBy("word").limit(LEXICON_WORDS - len(found)).collect()}
+    return found
 
 
 class Segmenter:
