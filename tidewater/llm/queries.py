@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import language, ngram_join, packing, token_files, urls
+from tidewater.llm import language, ngram_join, packing, quality, token_files, urls
 from tidewater.llm.store import importable, new_path
 from tidewater.llm.tokens import vocabulary
 
@@ -19,6 +19,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
@@ -45,7 +49,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op4_best_fit_packing, op7_language_id, op8_url_filter, op9_token_files)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_quality_rules, op4_best_fit_packing, op7_language_id, op8_url_filter, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
