@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,19 +88,18 @@ class Prefix:
 
 def _postings(docs: DataFrame, prefix: Prefix, k: int, bloom: Bloom | None) -> DataFrame:
     """(token, doc_id) of all prefixes; with a filter, only of tokens that pass, with the document's size, matches
-    asked for and the token's position, and with the documents' sets.
+    asked for and the token's position.
 
     A partition's further copies of a set are left out: they are linked through the set's key.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((prefix, bloom))
-    names = ["token", "doc_id", "size", "need", "pos", "shingles"]
+    shared = docs.sparkSession.sparkContext.broadcast((prefix, bloom))
+    names = ["token", "doc_id", "size", "need", "pos"]
 
     def scan(batches):
         prefix, bloom = shared.value
         seen = set()
         for batch in batches:
-            found, set_ids, sets = [], [], []
+            found = []
             for doc_id, s in _sets(batch, k):
                 if doc_id is None or not len(s):
                     continue
@@ -111,26 +111,37 @@ def _postings(docs: DataFrame, prefix: Prefix, k: int, bloom: Bloom | None) -> D
                 pos = np.flatnonzero(bloom(keys)) if bloom is not None else np.arange(len(keys))
                 if len(pos):
                     found.append(np.stack([keys[pos], *(np.full(len(pos), x, np.int64) for x in (doc_id, len(s), need)), pos]))
-                    set_ids.append(doc_id)
-                    sets.append(s.view(np.int64))
-            if not found:
-                continue
-            rows = [pa.array(x) for x in np.concatenate(found, axis=1)]
-            if bloom is None:
-                yield pa.RecordBatch.from_arrays(rows[:2], names[:2])
-                continue
-            lengths = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(rows[0]), arrays.type)], names)
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(set_ids, pa.int64()), none, none, none, arrays], names)
-
-    schema = "token long, doc_id long" + (", size long, need long, pos long, shingles array<long>" if bloom is not None else "")
+            if found:
+                rows = [pa.array(x) for x in np.concatenate(found, axis=1)]
+                n = 2 if bloom is None else 5
+                yield pa.RecordBatch.from_arrays(rows[:n], names[:n])
+
+    schema = "token long, doc_id long" + (", size long, need long, pos long" if bloom is not None else "")
     return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of the documents with these ids, and a few others: the ids go round as a bounded filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(ids, "doc_id", ids.count()))
+
+    def scan(batches):
+        bloom = shared.value
+        for batch in batches:
+            batch = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
+            batch = batch.filter(pa.array(bloom(batch.column("doc_id").to_numpy())))
+            rows = [(d, s.view(np.int64)) for d, s in _sets(batch, k)]
+            for i in range(0, len(rows), 1000):
+                doc_ids, sets = zip(*rows[i : i + 1000], strict=True)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole sets are similar enough."""
+    pairs = written(pairs, "candidates")
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k)
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     same = F.size(F.array_intersect("sa", "sb"))
     return (
@@ -175,10 +186,8 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
         _postings(docs, prefix, k, None).groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         .where("lo < hi").select("token"), "shared",
     )
-    found = written(_postings(docs, prefix, k, Bloom.of(shared, "token", shared.count())), "postings")
-    sets = found.where("shingles is not null").select("doc_id", "shingles").dropDuplicates(["doc_id"])
-    postings = found.where("token is not null").drop("shingles")
-    postings = written(postings.join(shared, "token"), "shared-postings")
+    postings = _postings(docs, prefix, k, Bloom.of(shared, "token", shared.count()))
+    postings = written(postings.join(shared, "token"), "postings")
 
     # copies: a star around the least document of each set
     first = base.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("a"))
@@ -190,14 +199,14 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
     hub = hub.select("token", (-F.col("hub.col2")).alias("a"), F.col("hub.size").alias("na"))
     star = postings.select("token", F.col("doc_id").alias("b"), F.col("size").alias("nb")).join(hub, "token").where("a <> b")
     star = star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
-    found = written(_verified(star, sets, percent).unionByName(copies), "links")
+    found = written(_verified(star, docs, k, percent).unionByName(copies), "links")
     roots = written(components(found), "roots")
 
     # what the stars leave: pairs of different components
     placed = postings.join(roots, postings["doc_id"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "doc_id"))
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     placed = written(placed.join(open_tokens, "token"), "open-postings")
-    more = _verified(_open_pairs(placed, percent), sets, percent)
+    more = _verified(_open_pairs(placed, percent), docs, k, percent)
     return base, written(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))), "links")
 
 
