@@ -31,6 +31,7 @@ from tidewater.llm.store import Bloom, written
 
 SKETCH_BITS = 18
 MOST_MATCHES = 4
+SIGNATURE = 128  # a set's counts by hash class: the sum of two sets' lesser counts bounds their overlap
 _SHARED = np.uint64(16)  # postings carry 48-bit shingle keys; verification compares whole hashes
 
 
@@ -88,18 +89,18 @@ class Prefix:
 
 def _postings(docs: DataFrame, prefix: Prefix, k: int, bloom: Bloom | None) -> DataFrame:
     """(token, doc_id) of all prefixes; with a filter, only of tokens that pass, with the document's size, matches
-    asked for and the token's position.
+    asked for and the token's position, and a row without token for each such document with its signature.
 
     A partition's further copies of a set are left out: they are linked through the set's key.
     """
     shared = docs.sparkSession.sparkContext.broadcast((prefix, bloom))
-    names = ["token", "doc_id", "size", "need", "pos"]
+    names = ["token", "doc_id", "size", "need", "pos", "signature"]
 
     def scan(batches):
         prefix, bloom = shared.value
         seen = set()
         for batch in batches:
-            found = []
+            found, owners, marks = [], [], []
             for doc_id, s in _sets(batch, k):
                 if doc_id is None or not len(s):
                     continue
@@ -111,12 +112,22 @@ def _postings(docs: DataFrame, prefix: Prefix, k: int, bloom: Bloom | None) -> D
                 pos = np.flatnonzero(bloom(keys)) if bloom is not None else np.arange(len(keys))
                 if len(pos):
                     found.append(np.stack([keys[pos], *(np.full(len(pos), x, np.int64) for x in (doc_id, len(s), need)), pos]))
-            if found:
-                rows = [pa.array(x) for x in np.concatenate(found, axis=1)]
-                n = 2 if bloom is None else 5
-                yield pa.RecordBatch.from_arrays(rows[:n], names[:n])
-
-    schema = "token long, doc_id long" + (", size long, need long, pos long" if bloom is not None else "")
+                    if bloom is not None:
+                        owners.append((doc_id, len(s)))
+                        marks.append(np.bincount((s & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE))
+            if not found:
+                continue
+            rows = [pa.array(x) for x in np.concatenate(found, axis=1)]
+            if bloom is None:
+                yield pa.RecordBatch.from_arrays(rows[:2], names[:2])
+                continue
+            ends = np.arange(0, SIGNATURE * len(marks) + 1, SIGNATURE, dtype=np.int32)
+            signatures = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(marks).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(rows[0]), signatures.type)], names)
+            none = pa.nulls(len(marks), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, *(pa.array(x, pa.int64()) for x in zip(*owners, strict=True)), none, none, signatures], names)
+
+    schema = "token long, doc_id long" + (", size long, need long, pos long, signature array<int>" if bloom is not None else "")
     return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
 
@@ -138,8 +149,11 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar enough."""
+def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose whole sets are similar enough. Sets are only fetched where the signatures allow it."""
+    left, right = (signatures.select(F.col("doc_id").alias(x), F.col("size").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab")
+    most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.join(left, "a").join(right, "b").where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b")
     pairs = written(pairs, "candidates")
     sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k)
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
@@ -150,6 +164,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     )
 
 
+def _possible(percent: int):
+    """Sizes, and the positions of one of the first shared shingles, that allow the similarity."""
+    overlap = F.ceil((F.col("na") + F.col("nb")) * (percent / (100 + percent)) - 1e-6)
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return near & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= overlap - F.least("ma", "mb") + 1)
+
+
 def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share enough of their prefixes.
 
@@ -168,13 +189,9 @@ def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     least = F.ceil(F.col("size") * (percent / 100) - 1e-6)
     right = placed.withColumn("most", most).where(F.col("most") >= least)
     right = right.select("token", F.explode(F.sequence(tier(least), tier(F.col("most")))).alias("tier"), *(F.col(x).alias(y) for x, y in (("doc_id", "b"), ("size", "nb"), ("need", "mb"), ("pos", "pb"), ("root", "rb"), ("most", "most"))))
-    need, overlap = F.least("ma", "mb"), F.ceil((F.col("na") + F.col("nb")) * share - 1e-6)
-    fits = (
-        ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        & (F.col("ra") != F.col("rb")) & (100 * F.col("na") >= percent * F.col("nb"))
-        & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= overlap - need + 1)
-    )
-    return left.join(right, ["token", "tier"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("n"), F.min(need).alias("need")).where("n >= need").select("a", "b")
+    once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    fits = once & (F.col("ra") != F.col("rb")) & _possible(percent)
+    return left.join(right, ["token", "tier"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("ma", "mb")).alias("need")).where("n >= need").select("a", "b")
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
@@ -186,8 +203,9 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
         _postings(docs, prefix, k, None).groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         .where("lo < hi").select("token"), "shared",
     )
-    postings = _postings(docs, prefix, k, Bloom.of(shared, "token", shared.count()))
-    postings = written(postings.join(shared, "token"), "postings")
+    found = written(_postings(docs, prefix, k, Bloom.of(shared, "token", shared.count())), "prefixes")
+    signatures = found.where("token is null").select("doc_id", "size", "signature")
+    postings = written(found.where("token is not null").drop("signature").join(shared, "token"), "postings")
 
     # copies: a star around the least document of each set
     first = base.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("a"))
@@ -195,18 +213,18 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
 
     # the most central document of a token: most of its prefix is shared
     central = postings.groupBy("doc_id").agg(F.count("*").alias("degree"))
-    hub = postings.join(central, "doc_id").groupBy("token").agg(F.max(F.struct("degree", -F.col("doc_id"), "size")).alias("hub"))
-    hub = hub.select("token", (-F.col("hub.col2")).alias("a"), F.col("hub.size").alias("na"))
-    star = postings.select("token", F.col("doc_id").alias("b"), F.col("size").alias("nb")).join(hub, "token").where("a <> b")
-    star = star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
-    found = written(_verified(star, docs, k, percent).unionByName(copies), "links")
+    hub = postings.join(central, "doc_id").groupBy("token").agg(F.max(F.struct("degree", -F.col("doc_id"), "size", "need", "pos")).alias("hub"))
+    hub = hub.select("token", (-F.col("hub.col2")).alias("a"), *(F.col(f"hub.{x}").alias(y) for x, y in (("size", "na"), ("need", "ma"), ("pos", "pa"))))
+    star = postings.select("token", *(F.col(x).alias(y) for x, y in (("doc_id", "b"), ("size", "nb"), ("need", "mb"), ("pos", "pb")))).join(hub, "token")
+    star = star.where("a <> b").where(_possible(percent)).select("a", "b").distinct()
+    found = written(_verified(star, signatures, docs, k, percent).unionByName(copies), "links")
     roots = written(components(found), "roots")
 
     # what the stars leave: pairs of different components
     placed = postings.join(roots, postings["doc_id"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "doc_id"))
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     placed = written(placed.join(open_tokens, "token"), "open-postings")
-    more = _verified(_open_pairs(placed, percent), docs, k, percent)
+    more = _verified(_open_pairs(placed, percent), signatures, docs, k, percent)
     return base, written(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))), "links")
 
 

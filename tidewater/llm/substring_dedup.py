@@ -6,11 +6,11 @@ what can match at all:
 
 1. every window selects an anchor, the least hash of its SEED-word runs; equal windows select equal anchors. Anchors of
    a single document are dropped (a bounded Bloom filter of the shared ones goes round);
-2. the document with the least id for an anchor is its reference. The segments of references form shards; a suffix
-   automaton is built for each shard, its references in ascending order, so that a state's first end tells the least
-   document with that text. Segments of other documents are sent to their references' shards (hot shards in several
-   salted parts, each with its copy of the automaton) and streamed through it: matching statistics of at least WINDOW
-   words by a smaller document mark a window;
+2. the document with the least id for an anchor is its reference. Windows with shared anchors are cut into pieces of
+   at most PIECE windows. The references' pieces form shards; a suffix automaton is built for each shard, its
+   references in ascending order, so that a state's owner is the least document with that text. Pieces of other
+   documents are sent to their anchors' shards (hot shards in several salted parts, each with its copy of the
+   automaton) and streamed through it: matching statistics of at least WINDOW words by a smaller document mark a window;
 3. windows whose reference does not have them may still be in a later document. They are few, and their hashes settle
    the least document exactly.
 
@@ -36,8 +36,9 @@ from tidewater.llm.store import Bloom, written
 
 WINDOW = 13
 SEED = 5
-SHARD_WORDS = 50_000  # words of references in an automaton, about
-PART_WORDS = 1_000_000  # words streamed through one copy of it, about
+PIECE = 64  # windows in a piece
+SHARD_PIECES = 800  # pieces of references in an automaton, about
+PART_PIECES = 20_000  # pieces streamed through one copy of it, about
 
 
 def _texts(batch: pa.RecordBatch):
@@ -85,11 +86,11 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
     return found.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token", "lo")
 
 
-_PARTS = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.int64()))])
+_PARTS = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("pos", pa.int64()), ("words", pa.list_(pa.int64()))])
 
 
-def _segments(docs: DataFrame, bloom: Bloom) -> DataFrame:
-    """Rows of two kinds: a segment (doc_id, key, start, words) made of windows with shared anchors, and its anchors' tokens."""
+def _pieces(docs: DataFrame, bloom: Bloom) -> DataFrame:
+    """Rows of two kinds: a piece (doc_id, key, start, words) of windows with shared anchors, and its anchors (token, pos)."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def scan(batches):
@@ -103,25 +104,30 @@ def _segments(docs: DataFrame, bloom: Bloom) -> DataFrame:
                 if not len(at):
                     continue
                 starts = np.flatnonzero(np.isin(place, at))
-                # windows that overlap or touch make a segment
-                cut = np.flatnonzero(np.diff(starts) > WINDOW) + 1
-                firsts, lasts = starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])]
+                # a new piece after a gap, and after PIECE windows
+                run = np.concatenate([[0], np.cumsum(np.diff(starts) > 1)])
+                inside = np.arange(len(starts)) - np.searchsorted(run, run)
+                piece = np.cumsum((inside % PIECE == 0)) - 1
+                firsts = starts[np.searchsorted(piece, np.arange(piece[-1] + 1))]
+                lasts = starts[np.searchsorted(piece, np.arange(piece[-1] + 1), "right") - 1]
                 for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
                     words.append(h[a : b + WINDOW].view(np.int64))
                     heads.append((doc_id, key, a))
-                segment = np.searchsorted(firsts, at, "right") - 1
-                tokens.append(np.stack([runs[at], np.full(len(at), doc_id, np.int64), np.full(len(at), key, np.int64), firsts[segment]]))
+                pairs = np.unique(np.stack([piece, place[starts]]), axis=1)
+                n = pairs.shape[1]
+                tokens.append(np.stack([runs[pairs[1]], np.full(n, doc_id, np.int64), np.full(n, key, np.int64), firsts[pairs[0]], pairs[1]]))
             if not heads:
                 continue
-            rows4 = [pa.array(x) for x in np.concatenate(tokens, axis=1)]
-            yield pa.RecordBatch.from_arrays([*rows4, pa.nulls(len(rows4[0]), _PARTS.types[4])], schema=_PARTS)
+            rows5 = [pa.array(x) for x in np.concatenate(tokens, axis=1)]
+            yield pa.RecordBatch.from_arrays([*rows5, pa.nulls(len(rows5[0]), _PARTS.types[5])], schema=_PARTS)
             for i in range(0, len(heads), 4000):
                 part = words[i : i + 4000]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32)
                 columns = [pa.array(x, pa.int64()) for x in zip(*heads[i : i + 4000], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part)))], schema=_PARTS)
+                none = pa.nulls(len(part), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, *columns, none, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part)))], schema=_PARTS)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "token long, doc_id long, key long, start long, words array<long>")
+    return docs.select("doc_id", "text").mapInArrow(scan, "token long, doc_id long, key long, start long, pos long, words array<long>")
 
 
 class SuffixAutomaton:
@@ -190,22 +196,22 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.in
 
 
 def _match(references: pa.Table, queries: pa.Table) -> pa.Table:
-    """Matched windows as runs (start, n), unmatched ones singly with their hash."""
+    """Matched windows as runs (start, n), unmatched ones singly with their hash; each window is judged in its anchor's shard."""
     automaton = SuffixAutomaton()
     rows = sorted(zip(references["r_doc_id"].to_pylist(), references["r_start"].to_pylist(), range(references.num_rows), strict=True))
     words = references["r_words"]
     for doc_id, _, i in rows:
         automaton.add(words[i].values.to_numpy().tolist(), doc_id)
     out = []
-    words = queries["words"]
+    words, at = queries["words"], queries["at"]
     for i, (doc_id, key, start) in enumerate(zip(*(queries[x].to_pylist() for x in ("doc_id", "key", "start")), strict=True)):
         h = words[i].values.to_numpy()
-        found = np.array(automaton.windows(h.tolist(), WINDOW, doc_id), np.int64)
-        if len(found):
-            cut = np.flatnonzero(np.diff(found) > 1) + 1
-            firsts, ends = found[np.concatenate([[0], cut])], found[np.concatenate([cut - 1, [len(found) - 1]])]
-            out += [(doc_id, key, start + a, b - a + 1, None) for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
-        rest = np.setdiff1d(np.arange(len(h) - WINDOW + 1), found)
+        mine = np.isin(anchors(h.view(np.uint64))[1], at[i].values.to_numpy() - start)
+        found = np.zeros(len(mine), bool)
+        found[automaton.windows(h.tolist(), WINDOW, doc_id)] = True
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], found & mine, [False]]).astype(np.int8)))
+        out += [(doc_id, key, start + a, b - a, None) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        rest = np.flatnonzero(mine & ~found)
         if len(rest):
             hashed = W.windows(h.view(np.uint64), WINDOW).view(np.int64)[rest]
             out += [(doc_id, key, start + a, 1, x) for a, x in zip(rest.tolist(), hashed.tolist(), strict=True)]
@@ -215,28 +221,26 @@ def _match(references: pa.Table, queries: pa.Table) -> pa.Table:
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, key, start, n): runs of n windows, from a word on, that a document with a smaller id also has."""
     shared = written(_shared_anchors(docs), "shared-anchors")
-    parts = written(_segments(docs, Bloom.of(shared, "token", shared.count())), "segments")
-    segments = parts.where("words is not null").drop("token")
-    routes = written(parts.where("words is null").select("token", "doc_id", "key", "start").join(shared, "token").select("doc_id", "key", "start", "lo").distinct(), "routes")
-    total = segments.join(routes.where("doc_id = lo").select("doc_id", "key", "start").distinct(), ["doc_id", "key", "start"], "left_semi").agg(F.sum(F.size("words"))).first()[0] or 0
-    shards = max(8, total // SHARD_WORDS)
+    parts = written(_pieces(docs, Bloom.of(shared, "token", shared.count())), "pieces")
+    pieces, piece = parts.where("words is not null").drop("token", "pos"), ["doc_id", "key", "start"]
+    routes = written(parts.where("words is null").select("token", *piece, "pos").join(shared, "token").drop("token"), "routes")
+    sources = routes.where("doc_id = lo").groupBy(*piece).agg(F.first("lo").alias("lo"))
+    shards = max(8, sources.count() // SHARD_PIECES)
     shard = F.pmod(F.xxhash64("lo"), F.lit(shards)).alias("shard")
-    references = routes.where("doc_id = lo").select("doc_id", "key", "start", shard).distinct()
-    wanted = routes.where("doc_id > lo").select("doc_id", "key", "start", shard).distinct()
-    queries = segments.join(wanted, ["doc_id", "key", "start"])
-    load = queries.groupBy("shard").agg(F.ceil(F.sum(F.size("words")) / PART_WORDS).alias("salts"))
-    load = written(load, "load")
-    queries = queries.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), "salts")).drop("salts")
-    references = segments.join(references, ["doc_id", "key", "start"]).join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    wanted = written(routes.where("doc_id > lo").groupBy(*piece, shard).agg(F.collect_list("pos").alias("at")), "wanted")
+    load = written(wanted.groupBy("shard").agg(F.ceil(F.count("*") / PART_PIECES).alias("salts")), "load")
+    queries = wanted.join(load, "shard").join(pieces, piece).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), "salts"))
+    queries = queries.select("shard", "salt", *piece, "at", "words")
+    references = sources.select(*piece, shard).join(load, "shard").join(pieces, piece)
+    references = references.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     references = references.select(*(F.col(x).alias(f"r_{x}") for x in ("shard", "salt", "doc_id", "start", "words")))
-    queries = queries.select("shard", "salt", "doc_id", "key", "start", "words")
     found = references.groupBy("r_shard", "r_salt").cogroup(queries.groupBy("shard", "salt")).applyInArrow(_match, "doc_id long, key long, start long, n long, hash long")
     found = written(found, "matches")
     # windows that their reference does not have: the least document by hash
-    rest = found.where("hash is not null").select("hash", "doc_id", "key", "start").distinct()
+    rest = found.where("hash is not null").select("hash", *piece)
     least = rest.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
-    late = rest.join(least, "hash").where("doc_id > lo").select("doc_id", "key", "start", F.lit(1).cast("long").alias("n"))
-    return found.where("hash is null").select("doc_id", "key", "start", "n").unionByName(late)
+    late = rest.join(least, "hash").where("doc_id > lo").select(*piece, F.lit(1).cast("long").alias("n"))
+    return found.where("hash is null").select(*piece, "n").unionByName(late)
 
 
 def _copies(docs: DataFrame) -> DataFrame:
