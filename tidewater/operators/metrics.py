@@ -53,7 +53,7 @@ def paired(rows: DataFrame, keys: list[str], by: str, value: str, base: str, oth
 
 def outcomes(pairs: DataFrame) -> DataFrame:
     """Improved, tied and regressed pairs."""
-    return pairs.agg(F.count_if("delta > 0").alias("improved"), F.count_if("delta = 0").alias("tied"), F.count_if("delta < 0").alias("regressed"))
+    return pairs.agg(F.count_if(F.expr("delta > 0")).alias("improved"), F.count_if(F.expr("delta = 0")).alias("tied"), F.count_if(F.expr("delta < 0")).alias("regressed"))
 
 
 def bootstrap(values: DataFrame, value: str, family: str, resamples: int, seed: int) -> DataFrame:

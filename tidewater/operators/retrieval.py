@@ -75,7 +75,7 @@ def term_stats(chunks: DataFrame, epsilon: float = 0.25) -> tuple[DataFrame, Dat
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
-    """query_id, chunk_id, score (9 digits) of all pairs that share a term; a repeated query term counts repeatedly."""
+    """query_id, chunk_id, score (6 digits) of all pairs that share a term; a repeated query term counts repeatedly."""
     postings, lengths, terms = term_stats(chunks, config.epsilon)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     weighted = asked.join(terms, "term").select("query_id", "term", (F.col("qn") * F.col("idf")).alias("weight"))
@@ -85,7 +85,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFr
     # only the postings of asked terms are joined to the lengths
     return (
         weighted.join(postings, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(average))
-        .groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+        .groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def feedback_summary(messages: DataFrame) -> DataFrame:
     """total counts every role; the rate is of the rated ones, 0 without any."""
-    up, down = F.count_if("feedback = 'up'"), F.count_if("feedback = 'down'")
+    up, down = F.count_if(F.expr("feedback = 'up'")), F.count_if(F.expr("feedback = 'down'"))
     return messages.agg(F.count("*").alias("total"), up.alias("up"), down.alias("down"), (F.count("*") - up - down).alias("unrated")).withColumn(
         "down_rate", F.when(F.col("up") + F.col("down") > 0, F.round(F.col("down") / (F.col("up") + F.col("down")), 3)).otherwise(0.0)
     )
@@ -40,7 +40,7 @@ def page(rows: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
 
 def expiring(ledger: DataFrame, today: str, days: int = 30) -> DataFrame:
     """Documents with the days that their validity lasts (null if it can't be read) and whether that is a cause for alarm."""
-    left = F.datediff(F.try_to_date("valid_to", F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.try_to_timestamp("valid_to", F.lit("yyyy-MM-dd")).cast("date"), F.lit(today).cast("date"))
+    left = F.datediff(F.try_to_timestamp("valid_to", F.lit("yyyy-MM-dd")).cast("date"), F.lit(today).cast("date"))
     return ledger.withColumn("expiring_days", left).withColumn("alert", F.coalesce(F.col("expiring_days") <= days, F.lit(False)))
 
 
@@ -108,7 +108,8 @@ def carried_state(turns: DataFrame, key: str, order: str, fields: list[str]) ->
 
 def step_times(traces: DataFrame) -> DataFrame:
     """Elapsed milliseconds of each step: its own, else the time since the one before."""
-    since = (F.unix_millis(F.col("at").cast("timestamp")) - F.lag(F.unix_millis(F.col("at").cast("timestamp"))).over(Window.partitionBy("conversation_id").orderBy("at", "id"))).cast("double")
+    now = F.unix_micros(F.col("at").cast("timestamp"))
+    since = (now - F.lag(now).over(Window.partitionBy("conversation_id").orderBy("at", "id"))) / 1000
     return traces.withColumn("step_ms", F.coalesce("elapsed_ms", since))
 
 

@@ -94,7 +94,7 @@ idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw
 BM25 = TERMS + """,
 qt AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS term FROM asked) GROUP BY ALL),
 bm25 AS (
-  SELECT query_id, tf.chunk_id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+  SELECT query_id, tf.chunk_id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM qt JOIN idf ON qt.term = idf.term JOIN tf ON tf.term = qt.term JOIN dl ON dl.chunk_id = tf.chunk_id, total GROUP BY query_id, tf.chunk_id HAVING score > 0
 )"""
 ROUTES = BM25 + f""",

@@ -67,8 +67,8 @@ def audit_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 count(*) FILTER (WHERE status IS NULL) AS unlabelled, count(*) FILTER (WHERE denied) AS denied, max(valid_to) AS latest FROM chunks GROUP BY collection""")
 def kb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.chunks(spark, sf_dir).groupBy("collection").agg(
-        F.count("*").alias("docs"), F.count_if("status = 'active'").alias("active"), F.count_if("status = 'inactive'").alias("inactive"),
-        F.count_if("status IS NULL").alias("unlabelled"), F.count_if("denied").alias("denied"), F.max("valid_to").alias("latest"),
+        F.count("*").alias("docs"), F.count_if(F.expr("status = 'active'")).alias("active"), F.count_if(F.expr("status = 'inactive'")).alias("inactive"),
+        F.count_if(F.expr("status IS NULL")).alias("unlabelled"), F.count_if(F.expr("denied")).alias("denied"), F.max("valid_to").alias("latest"),
     )
 
 
@@ -140,7 +140,7 @@ def new_turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.new_rows(c, c.where("turn < 3"), "conv_id", "turn").select("conv_id", "turn", "role")
 
 
-@query(f"""WITH {A.TRACES} SELECT id, conversation_id, node, CASE WHEN k % 2 = 0 THEN elapsed_ms ELSE epoch_ms(at) - lag(epoch_ms(at)) OVER (PARTITION BY conversation_id ORDER BY at, id) END::DOUBLE AS step_ms FROM traces""")
+@query(f"""WITH {A.TRACES} SELECT id, conversation_id, node, CASE WHEN k % 2 = 0 THEN elapsed_ms ELSE (epoch_us("at") - lag(epoch_us("at")) OVER (PARTITION BY conversation_id ORDER BY "at", id)) / 1000 END::DOUBLE AS step_ms FROM traces""")
 def step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.traces(spark, sf_dir).withColumn("elapsed_ms", F.when(F.col("k") % 2 == 0, F.col("elapsed_ms")))
     return S.step_times(t).select("id", "conversation_id", "node", "step_ms")
@@ -162,7 +162,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT user_id, epoch_ms(ts) AS a, epoch_ms(ts) + 3600000 AS b FROM events), e AS (SELECT user_id, a AS at, 1 AS d FROM s UNION ALL SELECT user_id, b, -1 FROM s),
-r AS (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY at, d ROWS UNBOUNDED PRECEDING) AS open FROM e) SELECT user_id, max(open)::BIGINT AS peak FROM r GROUP BY user_id""")
+r AS (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY "at", d ROWS UNBOUNDED PRECEDING) AS open FROM e) SELECT user_id, max(open)::BIGINT AS peak FROM r GROUP BY user_id""")
 def peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_millis(F.col("ts").cast("timestamp"))
     return S.peak_concurrency(A.table(spark, sf_dir, "events").select("user_id", at.alias("start"), (at + 3600000).alias("end")), "user_id")
@@ -204,7 +204,7 @@ SELECT case_id, CASE WHEN b.passed THEN 'newly_failed' ELSE 'fixed' END AS chang
 def regression_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = A.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("case_id"))
     base = c.agg(((F.min("turn") == 0) & (F.count("*") >= 4)).alias("passed"))
-    return M.regressions(base, c.agg((F.count_if("role = 'assistant'") >= 2).alias("passed")))
+    return M.regressions(base, c.agg((F.count_if(F.expr("role = 'assistant'")) >= 2).alias("passed")))
 
 
 @query("""SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS agree_good, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS false_accept, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS false_reject, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS agree_bad FROM labels""")
@@ -213,8 +213,8 @@ def calibration_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "labels").agg(cell(1, 0, "agree_good"), cell(1, 1, "false_accept"), cell(0, 0, "false_reject"), cell(0, 1, "agree_bad"))
 
 
-@query("""SELECT role, count(*) AS total, count(*) FILTER (WHERE length(text) > 40) AS passed, list_sort(list(conv_id) FILTER (WHERE length(text) <= 40 AND turn = 0)) AS failed FROM conversations GROUP BY role""")
+@query("""SELECT role, count(*) AS total, count(*) FILTER (WHERE length(text) > 40) AS passed, coalesce(list_sort(list(conv_id) FILTER (WHERE length(text) <= 40 AND turn = 0)), []) AS failed FROM conversations GROUP BY role""")
 def release_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "conversations").groupBy("role").agg(
-        F.count("*").alias("total"), F.count_if("length(text) > 40").alias("passed"), F.sort_array(F.collect_list(F.when((F.length("text") <= 40) & (F.col("turn") == 0), F.col("conv_id")))).alias("failed")
+        F.count("*").alias("total"), F.count_if(F.expr("length(text) > 40")).alias("passed"), F.sort_array(F.collect_list(F.when((F.length("text") <= 40) & (F.col("turn") == 0), F.col("conv_id")))).alias("failed")
     )

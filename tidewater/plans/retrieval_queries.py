@@ -149,7 +149,7 @@ def recall_mrr_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_RANKED + """ SELECT query_id, count(*) FILTER (WHERE rank <= 5) / 5 AS precision_5,
-round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 5), 0) / list_sum(list_transform(generate_series(1, least(gold_n, 5)), i -> 1 / log2(i + 1))), 9) AS ndcg_5 FROM j GROUP BY query_id, gold_n""")
+round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 5), 0) / list_sum(list_transform(generate_series(1, least(gold_n, 5)), lambda i: 1 / log2(i + 1))), 9) AS ndcg_5 FROM j GROUP BY query_id, gold_n""")
 def ndcg_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranking(spark, sf_dir).select("query_id", "precision_5", "ndcg_5")
 
@@ -158,7 +158,7 @@ def ndcg_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS scored, (SELECT count(*) FROM benchmark) - count(*) AS not_applicable, round(avg(mrr), 9) AS mrr, round(sum(mrr) / (SELECT count(*) FROM benchmark), 9) AS mrr_with_failures FROM q""")
 def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.queries(spark, sf_dir).select("query_id").join(_ranking(spark, sf_dir), "query_id", "left")
-    return rows.agg(F.count("mrr").alias("scored"), F.count_if("mrr IS NULL").alias("not_applicable"), F.round(F.avg("mrr"), 9).alias("mrr"), F.round(F.avg(F.coalesce("mrr", F.lit(0.0))), 9).alias("mrr_with_failures"))
+    return rows.agg(F.count("mrr").alias("scored"), F.count_if(F.expr("mrr IS NULL")).alias("not_applicable"), F.round(F.avg("mrr"), 9).alias("mrr"), F.round(F.avg(F.coalesce("mrr", F.lit(0.0))), 9).alias("mrr_with_failures"))
 
 
 _METHODS = """, v AS (SELECT query_id, chunk_id, rank, 'vector' AS method FROM vector_route UNION ALL SELECT query_id, chunk_id, rank, 'bm25' FROM bm25_route UNION ALL SELECT query_id, chunk_id, rank, 'hybrid' FROM fused),
@@ -205,7 +205,7 @@ def metric_groupings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {A.CHUNKS}, {A.QUERIES}, {A.fusion()}, {A.GOLD}{_METHODS}, g AS (SELECT method, round(avg(mrr), 9) AS mrr, count(*) FILTER (WHERE mrr = 1) AS first FROM r GROUP BY method)
 SELECT method, mrr, first, row_number() OVER (ORDER BY mrr DESC, first DESC, method) AS place FROM g""")
 def grid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = _methods(spark, sf_dir).groupBy("method").agg(F.round(F.avg("mrr"), 9).alias("mrr"), F.count_if("mrr = 1").alias("first"))
+    grid = _methods(spark, sf_dir).groupBy("method").agg(F.round(F.avg("mrr"), 9).alias("mrr"), F.count_if(F.expr("mrr = 1")).alias("first"))
     return grid.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mrr"), F.desc("first"), "method")))
 
 
@@ -237,13 +237,13 @@ def nearest_same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranked(best, ["query_id"], [F.desc("score"), F.col("chunk_id")], "nth", 1).select(F.col("query_id").alias("vec_id"), F.col("chunk_id").alias("other"), "score")
 
 
-@query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, x -> isnan(x) OR isinf(x))) = 0 AS finite, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS own FROM embeddings")
+@query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AS finite, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS own FROM embeddings")
 def vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "embeddings").select("vec_id", V.is_finite(F.col("embedding"), 64).alias("finite"), F.round(V.cosine(F.col("embedding"), F.col("embedding")), 6).alias("own"))
 
 
 @query(f"""WITH {A.CHUNKS}, {A.QUERIES}, {A.BM25}, best AS (SELECT query_id, chunk_id FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 3)
-SELECT a.query_id, count(*) FILTER (WHERE list_has_any(list_filter(regexp_extract_all(a.text, '[\\p{{L}}\\p{{N}}]+'), x -> len(x) >= 12 AND contains(c.text, x)), regexp_extract_all(a.text, '[\\p{{L}}\\p{{N}}]+'))) AS supported FROM asked a JOIN best b USING (query_id) JOIN chunks c USING (chunk_id) GROUP BY a.query_id""")
+SELECT a.query_id, count(*) FILTER (WHERE list_has_any(list_filter(regexp_extract_all(a.text, '[\\p{{L}}\\p{{N}}]+'), lambda x: len(x) >= 12 AND contains(c.text, x)), regexp_extract_all(a.text, '[\\p{{L}}\\p{{N}}]+'))) AS supported FROM asked a JOIN best b USING (query_id) JOIN chunks c USING (chunk_id) GROUP BY a.query_id""")
 def grounded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = R.ranked(bm25_topk(spark, sf_dir), ["query_id"], [F.col("rank")], "nth", 3)
     rows = hits.select("query_id", "chunk_id").join(A.queries(spark, sf_dir).select("query_id", F.col("text").alias("question")), "query_id").join(A.chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")

@@ -76,7 +76,7 @@ def _keywords(spark):
 
 
 @query(f"""WITH {_KEYS_SQL}, w AS (SELECT conv_id * 100 + turn AS id, lower(text) AS text FROM conversations),
-h AS (SELECT w.id, k.scenario, k.nth, k.keyword, CASE WHEN contains(w.text, lower(k.keyword)) THEN lower(k.keyword) ELSE list_filter(regexp_extract_all(w.text, '[a-z0-9]+'), x -> levenshtein(x, lower(k.keyword)) <= 1)[1] END AS hit FROM w, k)
+h AS (SELECT w.id, k.scenario, k.nth, k.keyword, CASE WHEN contains(w.text, lower(k.keyword)) THEN lower(k.keyword) ELSE list_filter(regexp_extract_all(w.text, '[a-z0-9]+'), lambda x: levenshtein(x, lower(k.keyword)) <= 1)[1] END AS hit FROM w, k)
 SELECT id, min(scenario) AS scenario, arg_min(CASE WHEN lower(keyword) = hit THEN keyword ELSE keyword || '≈' || hit END, nth) AS matched FROM h WHERE hit IS NOT NULL GROUP BY id HAVING count(DISTINCT scenario) = 1""")
 def fuzzy_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = A.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
@@ -95,7 +95,7 @@ def message_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_greeting(text, D.GREETINGS).alias("greeting"), T.is_reopen_request(text).alias("reopened"), T.is_read_only_request(text).alias("read_only"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[。！？；!?;\n]|\.(?:\s|$)'), x -> regexp_matches(x, '\S'))) AS s FROM documents) SELECT doc_id, count(*) AS sentences FROM s GROUP BY doc_id""")
+@query(r"""WITH s AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[。！？；!?;\n]|\.(?:\s|$)'), lambda x: regexp_matches(x, '\S'))) AS s FROM documents) SELECT doc_id, count(*) AS sentences FROM s GROUP BY doc_id""")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a full stop's space goes with it here, so that both engines split alike
     parts = F.filter(F.split("text", r"[。！？；!?;\n]|\.(?:\s|$)", -1), lambda x: x.rlike(r"\S"))
@@ -103,7 +103,7 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id), w AS (SELECT conv_id, list_slice(string_split(arg_min(text, turn), ' '), 1, 6) AS terms FROM conversations WHERE role = 'user' GROUP BY conv_id)
-SELECT conv_id, round(len(list_filter(terms, x -> contains(replace(answer, ' ', ''), replace(x, ' ', '')))) / len(terms), 9) AS coverage FROM t JOIN w USING (conv_id)""")
+SELECT conv_id, round(len(list_filter(terms, lambda x: contains(replace(answer, ' ', ''), replace(x, ' ', '')))) / len(terms), 9) AS coverage FROM t JOIN w USING (conv_id)""")
 def gold_term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = A.table(spark, sf_dir, "conversations")
     said = c.where("role = 'assistant'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("answer"))
@@ -132,7 +132,7 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT doc_id % 600 AS total, doc_id % 5 + 20 AS fps, least(8, greatest(1, floor((doc_id % 600) / ((doc_id % 5 + 20) * 3)) + 1))::INT AS n, doc_id FROM documents WHERE doc_id % 600 > 0)
-SELECT doc_id, CASE WHEN n = 1 THEN [total::INT] ELSE list_transform(range(0, n), i -> round(i * total / (n - 1))::INT) END AS frames FROM f""")
+SELECT doc_id, CASE WHEN n = 1 THEN [total::INT] ELSE list_transform(range(0, n), lambda i: round(i * total / (n - 1))::INT) END AS frames FROM f""")
 def frame_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).where("doc_id % 600 > 0").withColumn("total", (F.col("doc_id") % 600).cast("int"))
     return d.select("doc_id", snapshots.frame_indices(F.col("total") + 1, (F.col("doc_id") % 5 + 20).cast("int"), 8).alias("frames"))
