@@ -87,9 +87,8 @@ def test_kneser_ney_sums_to_one():
 
 def test_packing(docs, odd):
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     for df, rows in both(docs, odd):
-        want = {d: [*Tokenizer.from_file(vocabulary()).encode(t or "", add_special_tokens=False).ids, 0] for d, t in rows}
+        want = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for d, t in rows}
         found = packing.pack(df, vocabulary()).collect()
         by_doc, by_sequence = {}, {}
         for r in found:

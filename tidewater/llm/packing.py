@@ -44,8 +44,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.concatenate([encode(text.as_py()), end])
+            for doc_id, ids in encode.groups(batch):
+                ids = np.concatenate([ids, end])
                 first = len(ids) % capacity or capacity
                 start = 0
                 for k, stop in enumerate(range(first, len(ids) + 1, capacity)):

@@ -35,11 +35,11 @@ LEVEL = 3
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """Dictionary from a bounded sample: of the SAMPLE_DOCS documents with the least hashes those of at most SAMPLE_CHARS."""
-    at = F.xxhash64("doc_id")
-    chosen = docs.select(at.alias("at")).distinct().orderBy("at").limit(SAMPLE_DOCS)  # reads no text
-    short = docs.where(F.length("text") <= SAMPLE_CHARS).select(at.alias("at"), "text")
-    sample = short.join(F.broadcast(chosen), "at").orderBy("at", "text").limit(SAMPLE_DOCS).collect()
+    """Dictionary from a bounded sample: the first SAMPLE_DOCS documents of 1 to SAMPLE_CHARS characters that Spark comes to.
+
+    It only bears on the files' size; reading takes the dictionary that was written, and checks its hash.
+    """
+    sample = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").limit(SAMPLE_DOCS).collect()
     encode = Encoder.at(tokenizer)
     pieces = [x for row in sample if (x := encode(row["text"]).tobytes())]
     try:
@@ -72,8 +72,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2) ->
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _BLOCK.types, strict=True)], schema=_BLOCK)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                tokens = encode(text.as_py()).tobytes() + end
+            for doc_id, tokens in encode.groups(batch):
+                tokens = tokens.tobytes() + end
                 payload.append(packer.compress(tokens))
                 ids.append(doc_id)
                 counts.append(len(tokens) // encode.dtype.itemsize)
@@ -85,11 +85,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2) ->
         if ids:
             yield block()
 
+    # bounds from the ids alone: ranging by repartitionByRange would read the texts once more
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or [] if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda x: x < F.col("doc_id")))
     ordered = (
-        docs.select("doc_id", "text").repartitionByRange(parts, "doc_id")
+        docs.select("doc_id", "text").repartitionById(parts, F.when(F.col("doc_id").isNull(), 0).otherwise(part))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
-    )
+    )
     ordered.mapInArrow(blocks, "part int, block int, dictionary_sha256 string, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 

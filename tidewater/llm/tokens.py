@@ -10,10 +10,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow.compute as pc
 
 _KEEP = 1 << 20  # pieces remembered by a worker
+_AT_ONCE = 1 << 20  # characters encoded at once, about
 _OPEN: dict[str, Encoder] = {}
 #: Letters, digits, punctuation and white space that every Unicode version classes alike.
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ–—‘-„…€]")
@@ -61,31 +64,43 @@ class Encoder:
         """Ask for new pieces; those that can stand in one text go together."""
         run = [x for x in pieces if _JOINABLE(x)]
         rest = [x for x in pieces if not _JOINABLE(x)]
-        if run:
-            raw = self._ask(["".join(run)])[0]
+        for i in range(0, len(run), 1000):
+            part = run[i : i + 1000]
+            raw = self._ask(["".join(part)])[0]
             # each piece starts with its only space, so a token with a leading space starts a piece
             starts = np.flatnonzero(self.leading[np.frombuffer(raw, self.dtype)]) * self.dtype.itemsize
-            if len(starts) == len(run):
+            if len(starts) == len(part):
                 at = [*starts.tolist(), len(raw)]
-                self.memo.update((x, raw[at[i] : at[i + 1]]) for i, x in enumerate(run))
+                self.memo.update(zip(part, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
             else:
-                rest = pieces
+                rest += part
         if rest:
             self.memo.update(zip(rest, self._ask(rest), strict=True))
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Ids without special tokens; a null text is empty."""
-        if not text:
-            return np.empty(0, self.dtype)
-        if self.memo is None or _ODD.search(text) or any(x in text for x in self.special):
-            return np.frombuffer(self._ask([text])[0], self.dtype)
-        pieces = _PIECES.findall(text)
-        found = list(map(self.memo.get, pieces))
-        if None in found:
-            new = dict.fromkeys(x for x, y in zip(pieces, found, strict=True) if y is None)
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, without special tokens; a null text is empty. What the memo lacks is asked for at once."""
+        cut: list[list[str] | None] = []
+        for text in texts:
+            whole = text and (self.memo is None or _ODD.search(text) or any(x in text for x in self.special))
+            cut.append(None if whole else _PIECES.findall(text or ""))
+        distinct = set(chain.from_iterable(x for x in cut if x))
+        new = distinct.difference(self.memo or ())
+        if new:
             if len(self.memo) + len(new) > _KEEP:
                 self.memo.clear()
-                new = dict.fromkeys(pieces)
+                new = distinct
             self._learn(list(new))
-            found = map(self.memo.__getitem__, pieces)
-        return np.frombuffer(b"".join(found), self.dtype)
+        get = self.memo.__getitem__ if self.memo is not None else None
+        ask = iter(self._ask([t for t, x in zip(texts, cut, strict=True) if x is None]))
+        return [np.frombuffer(next(ask) if x is None else b"".join(map(get, x)), self.dtype) for x in cut]
+
+    def groups(self, batch):
+        """(doc_id, ids) of an Arrow batch's rows, some texts at once."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()) // _AT_ONCE
+        edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            part = batch.slice(a, b - a)
+            yield from zip(part.column("doc_id").to_pylist(), self.batch(part.column("text").to_pylist()), strict=True)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.batch([text])[0]
