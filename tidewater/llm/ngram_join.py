@@ -7,7 +7,8 @@ documents: the smaller of their m). A document whose short prefix is expected to
 one and so asks for more common shingles: m minimises (expected candidates of the prefix) / m + its extra length.
 
 Candidates are never expanded into all pairs of a group. The documents of a shared prefix shingle are first compared
-with the group's most central document only, the links found are merged into components, and only pairs of different
+with the group's most central document only (first each document with the one it shares most with), the links found are merged
+into components, and only pairs of different
 components that still share enough prefix shingles are compared with each other. That loses no link between
 components, and verified links are exact.
 
@@ -216,8 +217,14 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
     hub = postings.join(central, "doc_id").groupBy("token").agg(F.max(F.struct("degree", -F.col("doc_id"), "size", "need", "pos")).alias("hub"))
     hub = hub.select("token", (-F.col("hub.col2")).alias("a"), *(F.col(f"hub.{x}").alias(y) for x, y in (("size", "na"), ("need", "ma"), ("pos", "pa"))))
     star = postings.select("token", *(F.col(x).alias(y) for x, y in (("doc_id", "b"), ("size", "nb"), ("need", "mb"), ("pos", "pb")))).join(hub, "token")
-    star = star.where("a <> b").where(_possible(percent)).select("a", "b").distinct()
-    found = written(_verified(star, signatures, docs, k, percent).unionByName(copies), "links")
+    star = written(star.where("a <> b").where(_possible(percent)).groupBy("a", "b").agg(F.count("*").alias("n")), "star")
+
+    # first each document with the hub that it shares most with, then the hubs that are not yet in its component
+    best = star.groupBy("b").agg((-F.max(F.struct("n", -F.col("a")))["col2"]).alias("a")).select("a", "b")
+    roots = written(components(_verified(best, signatures, docs, k, percent).unionByName(copies)), "roots")
+    at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    rest = star.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    found = written(_verified(rest, signatures, docs, k, percent).unionByName(_edges(roots)), "links")
     roots = written(components(found), "roots")
 
     # what the stars leave: pairs of different components
@@ -225,7 +232,11 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     placed = written(placed.join(open_tokens, "token"), "open-postings")
     more = _verified(_open_pairs(placed, percent), signatures, docs, k, percent)
-    return base, written(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))), "links")
+    return base, written(more.unionByName(_edges(roots)), "links")
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
