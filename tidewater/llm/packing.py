@@ -29,9 +29,10 @@ CAPACITY = 2048
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """Token pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 (of the little-endian
-    unsigned 32-bit ids), ids (little-endian, of the tokenizer's item size)."""
+    unsigned 32-bit ids) and, if asked for, ids (little-endian, of the tokenizer's item size)."""
+    shape = pa.schema(list(_PIECES)[: 5 + with_ids])
 
     def cut(batches):
         encode = Encoder.at(tokenizer)
@@ -39,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         out = []
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), shape.types, strict=True)], schema=shape)
             out.clear()
             return batch
 
@@ -50,14 +51,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 start = 0
                 for k, stop in enumerate(range(first, len(ids) + 1, capacity)):
                     part = ids[start:stop]
-                    out.append((doc_id, k, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), part.tobytes()))
+                    out.append((doc_id, k, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), *((part.tobytes(),) if with_ids else ())))
                     start = stop
                 if len(out) >= 2000:
                     yield flush()
         if out:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -111,14 +112,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, rows_per_salt: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, rows_per_salt: int = 100_000, with_ids: bool = True) -> DataFrame:
     """Pieces with their place: the columns of ``pieces`` with sequence_id and offset.
 
     Pieces of one length are ranked in salted parts, whose first ranks come from the parts' counts, so a very common
     length is no single task's work.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    cut = written(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     places = spark.createDataFrame(
         plan(counts, capacity), "length long, rank0 long, ranks long, per long, sequence0 long, offset0 long"
@@ -138,6 +139,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         .select(
             "doc_id", "piece", "start", "length", "ids_crc32",
             (F.col("sequence0") + F.expr("(rank - rank0) div per")).alias("sequence_id"),
-            (F.col("offset0") + F.expr("(rank - rank0) % per") * F.col("length")).alias("offset"), "ids",
+            (F.col("offset0") + F.expr("(rank - rank0) % per") * F.col("length")).alias("offset"), *(["ids"] if with_ids else []),
         )
     )

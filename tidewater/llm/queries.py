@@ -28,7 +28,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
