@@ -1,24 +1,28 @@
 """Line dedup by winnowing, in DataFrame operations alone.
 
-A text is a sequence of lines; lines without a word are passed over. Of every window of ``run`` lines the rightmost
-least line hash is selected, so any repeated run of that length has a fingerprint in common. Fingerprints that occur
-once are dropped; the others are joined to their positions and extended both ways to the windows that selected them,
-whose content is compared by a 128-bit hash with its first place (in the order of doc_id, then position). Windows that
-are not at their first place are repeated; overlapping ones make up the maximal run, and its lines are deleted.
-
-Edge cases: a null text has no lines and stays null; texts with fewer than ``run`` lines with words lose nothing; lines
-are compared as they are, case and spaces included; rows that repeat doc_id and text are one document; other columns
-stay; an empty table gives an empty result.
+A text is a sequence of lines; lines without a word are passed over. A window is a run of ``run`` lines and, where
+``words`` is given, also each shorter run of whole lines (single lines included) that holds at least that many words.
+Of every window the rightmost least line hash is selected, so any repeated window has a fingerprint in common.
+Fingerprints that occur once are dropped; the others are joined to their positions and extended both ways to the windows
+that may have selected them, whose content is compared by a 128-bit hash with its first place (in the order of doc_id,
+then position). Windows that are not at their first place are repeated; overlapping ones make up the maximal run, and its
+lines are deleted. The first place of a line always stays.
+
+Edge cases: a null text has no lines and stays null; texts without a window lose nothing; lines are compared as they
+are, case and spaces included; rows that repeat doc_id and text are one document; other columns stay; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.store import written
 
 RUN = 3
+#: Runs of fewer than RUN lines are compared too if they hold so many words (``passages``, the pipeline).
+PASSAGE_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -26,57 +30,80 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__text_key", F.xxhash64("text"))
 
 
-def repeated(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, __text_key, starts): places among the document's lines with words where a repeated window starts."""
+def repeated(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, __text_key, places): places of repeated lines among the document's lines with words."""
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_WORD))
-    hashed = _keyed(docs.select("doc_id", "text")).where("text is not null").select("doc_id", "__text_key", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"))
-    hashed = written(hashed.where(F.size("h") >= run), "lines")
-    # selected[s] = position of the rightmost least hash of the window that starts at s
-    selected = hashed.withColumn(
-        "selected",
-        F.transform(
-            F.expr(f"sequence(0, size(h) - {run})"),
-            lambda s: -F.array_min(F.transform(F.sequence(s, s + run - 1), lambda i: F.struct(F.get("h", i).alias("h"), (-i).alias("i"))))["i"],
-        ),
-    )
-    prints = selected.select("doc_id", "__text_key", F.explode(F.array_distinct("selected")).alias("at"), "h").select("*", F.get("h", F.col("at")).alias("print"))
+    # without a bound in words no shorter run is a window
+    many = F.transform(lines, lambda x: F.least(F.regexp_count(x, F.lit(f"{_WORD}+")), F.lit(words))) if words else F.array().cast("array<int>")
+    sizes = range(1, run + 1) if words else (run,)
+    hashed = _keyed(docs.select("doc_id", "text")).where("text is not null").select("doc_id", "__text_key", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), many.alias("m"))
+    held = lambda m: F.aggregate(m, F.lit(0), lambda a, x: a + x)
+    hashed = written(hashed.where((F.size("h") >= run) | (held("m") >= words) if words else F.size("h") >= run), "lines")
+
+    def fits(m: Column, start: Column, size: int) -> Column:
+        """Whether the lines from start on (from 0) are a window."""
+        return F.lit(True) if size == run else held(F.slice(m, start + 1, size)) >= words
+
+    def chosen(size: int) -> Column:
+        """Position of the rightmost least hash of each window of this size."""
+        least = lambda s: -F.array_min(F.transform(F.sequence(s, s + size - 1), lambda i: F.struct(F.get("h", i).alias("h"), (-i).alias("i"))))["i"]
+        starts = F.filter(F.expr(f"sequence(0, size(h) - {size})"), lambda s: fits(F.col("m"), s, size))
+        return F.when(F.size("h") >= size, F.transform(starts, least)).otherwise(F.array().cast("array<int>"))
+
+    selected = hashed.withColumn("selected", F.concat(*map(chosen, sizes)))
+    prints = selected.select("doc_id", "__text_key", F.explode(F.array_distinct("selected")).alias("at"), "h", "m").select("*", F.get("h", F.col("at")).alias("print"))
     common = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     # extension: the selected line with up to run - 1 lines on either side
-    around = prints.select("doc_id", "__text_key", "at", "print", F.slice("h", F.greatest(F.col("at") - (run - 2), F.lit(1)), F.least(F.col("at"), F.lit(run - 1)) + run).alias("around"))
-    places = around.join(common, "print", "left_semi")
     first = F.greatest(F.col("at") - (run - 1), F.lit(0))
-    windows = places.select("doc_id", "__text_key", "at", first.alias("first"), F.posexplode(F.transform(F.expr(f"sequence(1, size(around) - {run - 1})"), lambda i: F.slice("around", i, run))).alias("k", "w"))
-    windows = windows.select("doc_id", "__text_key", (F.col("first") + F.col("k")).alias("start"), F.xxhash64("w").alias("one"), F.xxhash64(F.reverse("w"), F.lit(run)).alias("two")).distinct()
+    near = lambda c: F.slice(c, first + 1, F.col("at") - first + run)
+    around = prints.select("doc_id", "__text_key", "at", "print", near("h").alias("around"), near("m").alias("m"))
+    places = around.join(common, "print", "left_semi")
+
+    def windows_of(size: int) -> Column:
+        """The windows of this size that hold the selected line: where they start, their size and content."""
+        least = F.greatest(F.col("at") - first - (size - 1), F.lit(0))
+        most = F.least(F.col("at") - first, F.size("around") - size)
+        starts = F.when(most >= least, F.sequence(least, most)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(starts, lambda s: fits(F.col("m"), s, size))
+        return F.transform(starts, lambda s: F.struct((first + s).alias("start"), F.lit(size).alias("size"), F.slice("around", s + 1, size).alias("w")))
+
+    windows = places.select("doc_id", "__text_key", F.explode(F.concat(*map(windows_of, sizes))).alias("x")).select("doc_id", "__text_key", "x.*")
+    windows = windows.select("doc_id", "__text_key", "start", "size", F.xxhash64("w").alias("one"), F.xxhash64(F.reverse("w"), "size").alias("two")).distinct()
     place = F.struct("doc_id", "__text_key", "start")
     origin = windows.groupBy("one", "two").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
     late = windows.join(origin, ["one", "two"]).where(place > F.col("origin"))
-    return late.groupBy("doc_id", "__text_key").agg(F.collect_list("start").alias("starts"))
+    return late.groupBy("doc_id", "__text_key").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(start, start + size - 1)")))).alias("places"))
 
 
-def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """All documents with the shortened text, and ``__lines`` and ``__removed``, the lines with words before and deleted."""
-    found = written(repeated(docs, run), "repeated").select(F.col("doc_id").alias("__id"), F.col("__text_key").alias("__key"), "starts")
+    found = written(repeated(docs, run, words), "repeated").select(F.col("doc_id").alias("__id"), F.col("__text_key").alias("__key"), "places")
     keyed = _keyed(docs)
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
+    # never broadcast, so that a small input costs what a share of a large one does
+    joined = keyed.join(found.hint("merge"), keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
     joined = joined.withColumn("__all", F.split("text", "\n", -1))
     joined = joined.withColumn("__with_words", F.expr(f"filter(transform(__all, (x, i) -> if(x rlike '{_WORD.replace(chr(92), chr(92) * 2)}', i, -1)), i -> i >= 0)"))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.slice("__with_words", s + 1, run))))
-    joined = joined.withColumn("__gone", gone)
+    joined = joined.withColumn("__gone", F.transform("places", lambda p: F.get("__with_words", p)))
     kept = F.array_except(F.expr("sequence(0, size(__all) - 1)"), F.col("__gone"))
-    joined = joined.withColumn("__kept", F.when(F.col("starts").isNotNull(), kept))
+    joined = joined.withColumn("__kept", F.when(F.col("places").isNotNull(), kept))
     short = F.array_join(F.transform("__kept", lambda i: F.get("__all", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("starts").isNotNull(), short).otherwise(F.col("text"))).select(
+    return joined.withColumn("text", F.when(F.col("places").isNotNull(), short).otherwise(F.col("text"))).select(
         *docs.columns, F.coalesce(F.size("__with_words"), F.lit(0)).cast("long").alias("__lines"), F.greatest(F.size("__gone"), F.lit(0)).cast("long").alias("__removed")
     )
 
 
-def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """The documents with shortened texts; those that lost all their lines with words go."""
-    found = dedup(docs, run).where("__removed = 0 or __removed < __lines").drop("__lines", "__removed")
+def passages(docs: DataFrame) -> DataFrame:
+    """``dedup`` of runs of RUN lines and of all shorter runs of PASSAGE_WORDS words."""
+    return dedup(docs, RUN, PASSAGE_WORDS)
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents with texts shortened by ``passages``; those that lost all their lines with words go."""
+    found = passages(docs).where("__removed = 0 or __removed < __lines").drop("__lines", "__removed")
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
-#: The same result in DuckDB, for run = 3: windows are compared by their whole text.
+#: The result of ``dedup`` in DuckDB, for run = 3: windows are compared by their whole text.
 ORACLE_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i

@@ -63,15 +63,24 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, ids=False)
 
 
-def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+def _line_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three lines alone, as in its DuckDB statement."""
+    return _line_digest(line_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three lines, and single lines and pairs of at least PASSAGE_WORDS words."""
+    return _line_digest(line_dedup.passages(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     every = (
         op1_ngram_join, op2_decontamination, op3_quality_rules, op4_best_fit_packing, op5_substring_dedup, op6_pii,
-        op7_language_id, op8_url_filter, op9_token_files, op10_line_dedup,
+        op7_language_id, op8_url_filter, op9_token_files, op10_line_dedup, op10_passage_dedup,
     )
     return {f.__name__: f for f in every}
 
