@@ -1,8 +1,8 @@
 """URL filter: allow and block rules, and for the other URLs naive Bayes over segmented host words and path tokens.
 
-Concatenated names in hosts are split by unigram Viterbi: word counts come from all visible page text (the
-LEXICON_WORDS most frequent are kept, the model's size). The multinomial naive Bayes counts the tokens of every page
-that a rule decides, hashed to BUCKETS places, so both models have a fixed size.
+Concatenated names in hosts are split by unigram Viterbi: the substrings of each distinct host label, up to LONGEST_WORD
+letters, are joined to the counts of all words of all pages' visible text. The multinomial naive Bayes counts the tokens
+of every page that a rule decides, hashed to BUCKETS places, so its size is fixed.
 
 Edge cases: a url that is null or has no ``://`` has empty host and path; without decided pages everything else is
 allowed; a page without html adds no words; repeated page_ids are judged row by row; other columns are ignored.
@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.store import written
 
-LEXICON_WORDS = 1 << 16
 LONGEST_WORD = 20
 BUCKETS = 1 << 16
+#: Words of at most SHORT letters are in many labels; the join deals each out to SALTS places.
+SHORT, SALTS = 3, 16
+_LABELS_AT_ONCE = 512
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -44,27 +46,19 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def lexicon(pages: DataFrame) -> dict[str, int]:
-    """Counts of the most frequent lower-case words of the pages' visible text, counted over all pages."""
+def lexicon(pages: DataFrame) -> DataFrame:
+    """(word, n): counts of all lower-case words of the pages' visible text."""
     bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(bare), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(1, LONGEST_WORD))
-    counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "words")
-    # the least count that still fits, from the counts of counts; words that tie there beyond the room come in order
-    room, least = LEXICON_WORDS, 0
-    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(LEXICON_WORDS).collect():
-        least, room = r["n"], room - r["words"]
-        if room <= 0:
-            break
-    found = {r["word"]: r["n"] for r in counts.where(F.col("n") > least).collect()}
-    found |= {r["word"]: r["n"] for r in counts.where(F.col("n") == least).orderBy("word").limit(LEXICON_WORDS - len(found)).collect()}
-    return found
+    return written(words.groupBy("word").agg(F.count("*").alias("n")), "words")
 
 
 class Segmenter:
     """Most probable split of a name under a unigram model; unknown words cost more with each letter."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """Counts of the words that can occur in the names, and of all words together where those are not all."""
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items() if len(w) > 1 or n > total / 1000}
         self.unknown = math.log(total) + math.log(10)
 
@@ -84,36 +78,79 @@ class Segmenter:
         return words[::-1]
 
 
-def tokens(host: str, path: str, segment: Segmenter) -> list[str]:
-    """Segmented host words and path tokens; digits all look alike."""
-    found = ["h:" + w for label in re.split(r"[^\w]+|_", host) if label for w in segment(label)]
-    return found + ["p:" + re.sub(r"\d+", "0", x) for x in re.split(r"[^\w]+|_", path.lower()) if x]
+def labels(host: str) -> list[str]:
+    return [x for x in re.split(r"[^\w]+|_", host) if x]
+
+
+def path_tokens(path: str) -> list[str]:
+    """Digits all look alike."""
+    return ["p:" + re.sub(r"\d+", "0", x) for x in labels(path.lower())]
+
+
+def split_hosts(hosts: DataFrame) -> DataFrame:
+    """(host, labels) of distinct hosts."""
+
+    def scan(batches):
+        for batch in batches:
+            cut = pa.array([labels(x) for x in batch.column("host").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), cut], ["host", "labels"])
+
+    return hosts.select("host").distinct().mapInArrow(scan, "host string, labels array<string>")
+
+
+def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(label, words): each distinct label split under the counts of all words."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+    def parts(batches):
+        for batch in batches:
+            for i in range(0, len(batch), _LABELS_AT_ONCE):
+                found = [
+                    (name, part) for name in batch.column("label")[i : i + _LABELS_AT_ONCE].to_pylist()
+                    for part in {name[a:b] for a in range(len(name)) for b in range(a + 1, min(len(name), a + LONGEST_WORD) + 1)} if part.isalpha()
+                ]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found, strict=True)], ["label", "word"])
+
+    def split(batches):
+        for batch in batches:
+            found = [Segmenter({x["word"]: x["n"] for x in r["known"]}, total)(r["label"]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.string()))], ["label", "words"])
+
+    short = F.length("word") <= SHORT
+    sought = names.mapInArrow(parts, "label string, word string").withColumn("salt", F.when(short, F.pmod(F.xxhash64("label"), F.lit(SALTS)).cast("int")).otherwise(0))
+    dealt = counts.withColumn("salt", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    known = sought.join(dealt, ["word", "salt"]).select("label", F.struct("word", "n").alias("known"))
+    every = known.unionByName(names.select("label", F.lit(None).cast(known.schema["known"].dataType).alias("known")))
+    return every.groupBy("label").agg(F.collect_list("known").alias("known")).mapInArrow(split, "label string, words array<string>")
 
 
 def _bucket(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS
 
 
-def train(decided: DataFrame, counts: dict[str, int]) -> np.ndarray | None:
+def train(decided: DataFrame, words: DataFrame) -> np.ndarray | None:
     """Log-odds of block per bucket, with the prior at the end, from all (host, path, verdict) rows; None if a class has none."""
-    shared = decided.sparkSession.sparkContext.broadcast(counts)
 
     def scan(batches):
-        segment = Segmenter(shared.value)
         for batch in batches:
             seen: Counter = Counter()
             for row in batch.to_pylist():
                 block = int(row["verdict"] == "block")
-                seen[block, -1] += 1
-                seen.update((block, _bucket(x)) for x in tokens(row["host"], row["path"], segment))
+                seen[block, None, -1] += 1
+                seen.update((block, x, None) for x in labels(row["host"]))
+                seen.update((block, None, _bucket(x)) for x in path_tokens(row["path"]))
             if seen:
-                block, bucket = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(bucket, pa.int32()), pa.array(list(seen.values()), pa.int64())], ["block", "bucket", "n"])
+                columns = [pa.array(x, t) for x, t in zip([*zip(*seen, strict=True), list(seen.values())], [pa.int32(), pa.string(), pa.int32(), pa.int64()], strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "label", "bucket", "n"])
 
-    rows = decided.mapInArrow(scan, "block int, bucket int, n long").groupBy("block", "bucket").agg(F.sum("n").alias("n")).collect()
+    found = written(decided.mapInArrow(scan, "block int, label string, bucket int, n long").groupBy("block", "label", "bucket").agg(F.sum("n").alias("n")), "tokens")
+    of_hosts = found.where("label is not null").join(words, "label").select("block", "n", F.explode("words").alias("word"))
+    bucket = F.pmod(F.crc32(F.concat(F.lit("h:"), "word").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket")
+    rows = found.where("label is null").select("block", "bucket", "n").unionByName(of_hosts.select("block", bucket, "n"))
     seen = np.ones((2, BUCKETS))
     pages = [0, 0]
-    for r in rows:
+    for r in rows.groupBy("block", "bucket").agg(F.sum("n").alias("n")).collect():
         if r["bucket"] < 0:
             pages[r["block"]] = r["n"]
         else:
@@ -124,32 +161,45 @@ def train(decided: DataFrame, counts: dict[str, int]) -> np.ndarray | None:
     return np.append(odds, math.log(pages[1] / pages[0]))
 
 
+def host_scores(hosts: DataFrame, words: DataFrame, shared) -> DataFrame:
+    """(host, host_score): the log-odds of the host's words, summed in the order of size."""
+
+    def scan(batches):
+        odds = shared.value
+        for batch in batches:
+            found = [float(sum(odds[_bucket("h:" + x)] for x in r)) for r in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.float64())], ["label", "score"])
+
+    of_labels = words.mapInArrow(scan, "label string, score double")
+    found = hosts.select("host", F.explode("labels").alias("label")).join(of_labels, "label").groupBy("host").agg(F.array_sort(F.collect_list("score")).alias("scores"))
+    return found.select("host", F.aggregate("scores", F.lit(0.0), lambda a, x: a + x).alias("host_score"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict, block_probability (null where a rule decides)."""
     host, path = host_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     parsed = parsed.select("*", rule.alias("rule"), ruled.alias("verdict"))
-    counts = lexicon(pages)
-    odds = train(parsed.where("rule is not null").select("host", "path", "verdict"), counts)
-    shared = pages.sparkSession.sparkContext.broadcast((counts, odds))
+    decided, others = parsed.where("rule is not null"), parsed.where("rule is null")
+    hosts = written(split_hosts(parsed), "hosts")
+    words = written(segmented(hosts.select(F.explode("labels").alias("label")).distinct(), lexicon(pages)), "segments")
+    odds = train(decided.select("host", "path", "verdict"), words)
+    shared = pages.sparkSession.sparkContext.broadcast(odds)
+    others = others.withColumn("host_score", F.lit(0.0)) if odds is None else others.join(host_scores(hosts, words, shared), "host", "left")
 
     def scan(batches):
-        counts, odds = shared.value
-        segment = Segmenter(counts)
+        odds = shared.value
         for batch in batches:
             verdicts, chances = [], []
-            for row in batch.select(["host", "path", "verdict"]).to_pylist():
-                verdict, chance = row["verdict"], None
-                if verdict is None:
-                    score = -1.0 if odds is None else odds[-1] + sum(odds[_bucket(x)] for x in tokens(row["host"], row["path"], segment))
-                    chance = 1 / (1 + math.exp(-max(-500.0, min(500.0, score))))
-                    verdict = "block" if score > 0 else "allow"
-                verdicts.append(verdict)
-                chances.append(chance)
+            for row in batch.select(["path", "host_score"]).to_pylist():
+                score = -1.0 if odds is None else odds[-1] + (row["host_score"] or 0.0) + sum(odds[_bucket(x)] for x in path_tokens(row["path"]))
+                chances.append(1 / (1 + math.exp(-max(-500.0, min(500.0, score)))))
+                verdicts.append("block" if score > 0 else "allow")
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(x) for x in ("page_id", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array(chances, pa.float64())],
                 ["page_id", "host", "path", "rule", "verdict", "block_probability"],
             )
 
-    return parsed.mapInArrow(scan, "page_id long, host string, path string, rule string, verdict string, block_probability double")
+    judged = others.mapInArrow(scan, "page_id long, host string, path string, rule string, verdict string, block_probability double")
+    return decided.withColumn("block_probability", F.lit(None).cast("double")).unionByName(judged)
