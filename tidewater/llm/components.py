@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.store import written
+from tidewater.llm.store import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: each node's smaller neighbours meet at the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y")
-        now = written(_pairs(small.select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
+        last, now = now, written(_pairs(small.select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
+        discard(last)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import words as W
 from tidewater.llm.components import components
-from tidewater.llm.store import Bloom, written
+from tidewater.llm.store import discard, with_ids, written
 
 SKETCH_BITS = 18
 MOST_MATCHES = 4
@@ -42,29 +42,38 @@ def _sets(batch: pa.RecordBatch, k: int):
 
 
 def profile(docs: DataFrame, k: int = 5, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, np.ndarray]:
-    """One scan: (doc_id, n_shingles, set_key) of each document, and the count sketch of all shingles."""
+    """One scan: (doc_id, n_shingles, set_key, signature) of each document, and the count sketch of all shingles."""
     shift = np.uint64(64 - sketch_bits)
+    names = ["document", "doc_id", "n", "key", "signature"]
 
     def scan(batches):
         counts = np.zeros(1 << sketch_bits, np.int64)
         for batch in batches:
-            rows = [(d, len(s), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None, s) for d, s in _sets(batch, k)]
+            rows = []
+            for doc_id, s in _sets(batch, k):
+                counts += np.bincount((s >> shift).astype(np.int64), minlength=1 << sketch_bits) if len(s) >> 12 else 0
+                rows.append((doc_id, len(s), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None, s))
             if rows:
-                counts += np.bincount((np.concatenate([r[3] for r in rows]) >> shift).astype(np.int64), minlength=1 << sketch_bits)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([True] * len(rows)), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], ["document", "doc_id", "n", "key"]
-                )
+                short = [r[3] for r in rows if not len(r[3]) >> 12]
+                if short:
+                    counts += np.bincount((np.concatenate(short) >> shift).astype(np.int64), minlength=1 << sketch_bits)
+                marks = np.concatenate([np.bincount((r[3] & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) for r in rows])
+                ends = np.arange(0, SIGNATURE * len(rows) + 1, SIGNATURE, dtype=np.int32)
+                signatures = pa.ListArray.from_arrays(pa.array(ends), pa.array(marks.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([True] * len(rows)), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), signatures], names)
         at = np.flatnonzero(counts)
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]
             empty = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), bool)), pa.array(part), pa.array(counts[part]), empty], ["document", "doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(part), bool)), pa.array(part), pa.array(counts[part]), empty, pa.nulls(len(part), pa.list_(pa.int32()))], names
+            )
 
-    table = written(docs.select("doc_id", "text").mapInArrow(scan, "document boolean, doc_id long, n long, key long"), "profile")
+    table = written(docs.select("doc_id", "text").mapInArrow(scan, "document boolean, doc_id long, n long, key long, signature array<int>"), "profile")
     got = table.where("not document").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()  # 2**sketch_bits rows at most
     sketch = np.zeros(1 << sketch_bits, np.int64)
     sketch[got["doc_id"].to_numpy()] = got["n"].to_numpy()
-    return table.where("document").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_key")), sketch
+    return table.where("document").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_key"), "signature"), sketch
 
 
 class Prefix:
@@ -88,66 +97,43 @@ class Prefix:
         return (s[order[: n - overlap + need]] >> _SHARED).view(np.int64), need
 
 
-def _postings(docs: DataFrame, prefix: Prefix, k: int, bloom: Bloom | None) -> DataFrame:
-    """(token, doc_id) of all prefixes; with a filter, only of tokens that pass, with the document's size, matches
-    asked for and the token's position, and a row without token for each such document with its signature.
-
-    A partition's further copies of a set are left out: they are linked through the set's key.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((prefix, bloom))
-    names = ["token", "doc_id", "size", "need", "pos", "signature"]
+def _postings(docs: DataFrame, prefix: Prefix, k: int) -> DataFrame:
+    """(token, doc_id, size, need, pos): the keys of all prefixes with the document's size, the matches it asks for and the key's position."""
+    shared = docs.sparkSession.sparkContext.broadcast(prefix)
+    names = ["token", "doc_id", "size", "need", "pos"]
 
     def scan(batches):
-        prefix, bloom = shared.value
-        seen = set()
+        prefix = shared.value
         for batch in batches:
-            found, owners, marks = [], [], []
+            keys, owners = [], []
             for doc_id, s in _sets(batch, k):
-                if doc_id is None or not len(s):
-                    continue
-                key = xxhash.xxh64_intdigest(s.tobytes())
-                if key in seen:
-                    continue
-                seen.add(key)
-                keys, need = prefix(s)
-                pos = np.flatnonzero(bloom(keys)) if bloom is not None else np.arange(len(keys))
-                if len(pos):
-                    found.append(np.stack([keys[pos], *(np.full(len(pos), x, np.int64) for x in (doc_id, len(s), need)), pos]))
-                    if bloom is not None:
-                        owners.append((doc_id, len(s)))
-                        marks.append(np.bincount((s & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE))
-            if not found:
-                continue
-            rows = [pa.array(x) for x in np.concatenate(found, axis=1)]
-            if bloom is None:
-                yield pa.RecordBatch.from_arrays(rows[:2], names[:2])
-                continue
-            ends = np.arange(0, SIGNATURE * len(marks) + 1, SIGNATURE, dtype=np.int32)
-            signatures = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(marks).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(rows[0]), signatures.type)], names)
-            none = pa.nulls(len(marks), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, *(pa.array(x, pa.int64()) for x in zip(*owners, strict=True)), none, none, signatures], names)
-
-    schema = "token long, doc_id long" + (", size long, need long, pos long, signature array<int>" if bloom is not None else "")
-    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+                if doc_id is not None and len(s):
+                    found, need = prefix(s)
+                    keys.append(found)
+                    owners.append((doc_id, len(s), need))
+            if keys:
+                lengths = [len(x) for x in keys]
+                ids, sizes, needs = (np.repeat(np.array(x, np.int64), lengths) for x in zip(*owners, strict=True))
+                pos = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+                columns = [np.concatenate(keys), ids, sizes.astype(np.int32), needs.astype(np.int32), pos]
+                for i in range(0, len(ids), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in columns], names)
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "token long, doc_id long, size int, need int, pos int")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles) of the documents with these ids, and a few others: the ids go round as a bounded filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(ids, "doc_id", ids.count()))
+    """(doc_id, shingles) of the documents with these ids."""
 
     def scan(batches):
-        bloom = shared.value
         for batch in batches:
-            batch = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
-            batch = batch.filter(pa.array(bloom(batch.column("doc_id").to_numpy())))
             rows = [(d, s.view(np.int64)) for d, s in _sets(batch, k)]
             for i in range(0, len(rows), 1000):
                 doc_ids, sets = zip(*rows[i : i + 1000], strict=True)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, shingles array<long>")
+    return with_ids(docs.select("doc_id", "text"), ids, ["doc_id"]).mapInArrow(scan, "doc_id long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -156,13 +142,14 @@ def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, k: int,
     most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     pairs = pairs.join(left, "a").join(right, "b").where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b")
     pairs = written(pairs, "candidates")
-    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k)
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+    sets = _sets_of(docs, asked, k)
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     same = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(right, "b").join(left, "a").select("a", "b", same.alias("same"), (F.size("sa") + F.size("sb")).alias("both"))
-        .where(100 * F.col("same") >= percent * (F.col("both") - F.col("same"))).select("a", "b")
-    )
+    same = pairs.join(right, "b").join(left, "a").select("a", "b", same.alias("same"), (F.size("sa") + F.size("sb")).alias("both"))
+    found = written(same.where(100 * F.col("same") >= percent * (F.col("both") - F.col("same"))).select("a", "b"), "verified")
+    discard(pairs, asked)
+    return found
 
 
 def _possible(percent: int):
@@ -199,25 +186,32 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
     """(profile of every document, links (a, b) that connect each class of similar documents)."""
     base, sketch = profile(docs, k, sketch_bits)
     prefix = Prefix(sketch, percent)
+
+    # copies: a star around the least document of each set, which alone goes on
+    known = base.where("set_key is not null and doc_id is not null")
+    first = known.groupBy("set_key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("hi")).where("a < hi").drop("hi")
+    copies = written(known.join(first, "set_key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "copies")
+    # an id that stands for several sets goes on with all of them
+    single = known.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo = hi")
+    settled = written(copies.select(F.col("b").alias("doc_id")).distinct().join(single, "doc_id", "left_semi"), "settled")
+    firsts = with_ids(docs.select("doc_id", "text"), settled, ["doc_id"], "left_anti")
+
     # keys that two documents share; min and max are partly aggregated before the shuffle
-    shared = written(
-        _postings(docs, prefix, k, None).groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        .where("lo < hi").select("token"), "shared",
-    )
-    found = written(_postings(docs, prefix, k, Bloom.of(shared, "token", shared.count())), "prefixes")
-    signatures = found.where("token is null").select("doc_id", "size", "signature")
-    postings = written(found.where("token is not null").drop("signature").join(shared, "token"), "postings")
-
-    # copies: a star around the least document of each set
-    first = base.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("a"))
-    copies = base.join(first, "set_key").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    prefixes = written(_postings(firsts, prefix, k), "prefixes")
+    shared = prefixes.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
+    postings = written(prefixes.join(shared.hint("merge"), "token"), "postings")
+    discard(prefixes, settled)
+    open_ids = postings.select("doc_id").distinct()
+    signatures = written(base.select("doc_id", F.col("n_shingles").alias("size"), "signature").join(open_ids, "doc_id", "left_semi"), "signatures")
 
     # the most central document of a token: most of its prefix is shared
     central = postings.groupBy("doc_id").agg(F.count("*").alias("degree"))
     hub = postings.join(central, "doc_id").groupBy("token").agg(F.max(F.struct("degree", -F.col("doc_id"), "size", "need", "pos")).alias("hub"))
     hub = hub.select("token", (-F.col("hub.col2")).alias("a"), *(F.col(f"hub.{x}").alias(y) for x, y in (("size", "na"), ("need", "ma"), ("pos", "pa"))))
     star = postings.select("token", *(F.col(x).alias(y) for x, y in (("doc_id", "b"), ("size", "nb"), ("need", "mb"), ("pos", "pb")))).join(hub, "token")
-    star = written(star.where("a <> b").where(_possible(percent)).groupBy("a", "b").agg(F.count("*").alias("n")), "star")
+    star = star.where("a <> b").where(_possible(percent)).groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("ma", "mb")).alias("need"))
+    # pairs that share fewer keys of this hub than their prefixes ask for wait for the open pairs, where all keys count
+    star = written(star.where("n >= need"), "star")
 
     # first each document with the hub that it shares most with, then the hubs that are not yet in its component
     best = star.groupBy("b").agg((-F.max(F.struct("n", -F.col("a")))["col2"]).alias("a")).select("a", "b")
@@ -225,14 +219,17 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
     at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
     rest = star.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     found = written(_verified(rest, signatures, docs, k, percent).unionByName(_edges(roots)), "links")
+    discard(star, roots)
     roots = written(components(found), "roots")
 
     # what the stars leave: pairs of different components
     placed = postings.join(roots, postings["doc_id"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "doc_id"))
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     placed = written(placed.join(open_tokens, "token"), "open-postings")
-    more = _verified(_open_pairs(placed, percent), signatures, docs, k, percent)
-    return base, written(more.unionByName(_edges(roots)), "links")
+    discard(postings)
+    more = written(_verified(_open_pairs(placed, percent), signatures, docs, k, percent).unionByName(_edges(roots)), "links")
+    discard(placed, signatures, found, roots, copies)
+    return base.drop("signature"), more
 
 
 def _edges(roots: DataFrame) -> DataFrame:

@@ -1,24 +1,30 @@
-"""Written intermediate tables and bounded Bloom filters shared by the corpus operators."""
+"""Written intermediate tables and size-checked filters shared by the corpus operators."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PROBES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: Keys of one or two longs that are sent to every executor, at most: some 200 MB in its memory.
+BROADCAST_ROWS = 1 << 22
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_RECORDERS: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package where it is not installed (a checkout run by its path)."""
+    text_batches(spark)
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep):
@@ -41,44 +48,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def slots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Places of each key in the bit table: top bits of a few multiplicative hashes."""
-    x = keys.astype(np.int64).view(np.uint64)
-    x = x ^ (x >> np.uint64(31))
-    return [((x * m) >> np.uint64(64 - bits)).view(np.int64) for m in _PROBES]
-
-
-class Bloom:
-    """Fixed-size Bloom filter over longs: never more than 2**max_bits bits, whatever the input."""
-
-    def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.bits = words, bits
-
-    @classmethod
-    def of(cls, df: DataFrame, column: str, rows: int, max_bits: int = 27) -> Bloom:
-        """Bits are set and OR-ed inside Spark; the driver only receives the bounded table of 64-bit words."""
-        bits = min(max_bits, max(12, int(np.ceil(np.log2(max(rows, 1) * 48)))))
-
-        def words(batches):
-            for batch in batches:
-                slot = np.concatenate(slots(batch.column(0).to_numpy(zero_copy_only=False), bits))
-                word, at = np.unique(slot >> 6, return_inverse=True)
-                value = np.zeros(len(word), np.int64)
-                np.bitwise_or.at(value, at, np.int64(1) << (slot & 63))
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value)], ["word", "bits"])
-
-        got = df.select(F.col(column).cast("long")).dropna().mapInArrow(words, "word long, bits long")
-        got = got.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        table = np.zeros(1 << (bits - 6), np.int64)
-        table[got["word"].to_numpy()] = got["bits"].to_numpy()
-        return cls(table, bits)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Boolean mask; False means surely absent."""
-        found = np.ones(len(keys), bool)
-        for slot in slots(keys, self.bits):
-            found &= (self.words[slot >> 6] >> (slot & 63)) & 1 == 1
-        return found
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    for paths in _RECORDERS:
+        paths.append(path)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; frames that were not written are passed over."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            remove(table.sparkSession, [path])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def recorded(paths: list[str]):
+    """Note in ``paths`` what is written meanwhile, for a caller that knows when the last reader is done."""
+    _RECORDERS.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDERS.remove(paths)
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of text scans by bytes, so that a worker's memory does not depend on the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """Semi or anti join of wide rows with a written table of keys.
+
+    Up to BROADCAST_ROWS keys go to the tasks, so that the rows stay where they are; more are joined by a shuffle.
+    """
+    keys = ids.select(*on)
+    return rows.join(F.broadcast(keys) if ids.count() <= BROADCAST_ROWS else keys.hint("merge"), on, how)
