@@ -1,50 +1,55 @@
 """Substring dedup with suffix automata of reference shards.
 
 A window is WINDOW consecutive words. A word goes if a window that covers it also starts in a document with a smaller
-doc_id. Checking every document against automata of the whole corpus would grow with its square, so Spark first finds
-what can match at all:
-
-1. every window selects an anchor, the least hash of its SEED-word runs; equal windows select equal anchors. Anchors of
-   a single document are dropped (a bounded Bloom filter of the shared ones goes round);
-2. the document with the least id for an anchor is its reference. Windows with shared anchors are cut into pieces of
-   at most PIECE windows. The references' pieces form shards; a suffix automaton is built for each shard, its
-   references in ascending order, so that a state's owner is the least document with that text. Pieces of other
-   documents are sent to their anchors' shards (hot shards in several salted parts, each with its copy of the
-   automaton) and streamed through it: matching statistics of at least WINDOW words by a smaller document mark a window;
-3. windows whose reference does not have them may still be in a later document. They are few, and their hashes settle
-   the least document exactly.
-
-Whole copies are found by the hash of their words. Overlapping windows make up the maximal spans that are removed.
+doc_id. Automata of the whole corpus, broadcast to stream every document through each, would cost the square of the
+corpus. So they are not broadcast; Spark brings references and documents together by shard, after it has found what can
+match at all:
+
+1. later rows with a whole text of a smaller document are found by a 128-bit hash and go no further;
+2. every window selects an anchor, the least hash of its SEED-word runs; equal windows select equal anchors. Anchors of
+   a single document are dropped by an exact join;
+3. the document with the least id for an anchor is its reference. Windows with shared anchors are cut into pieces of
+   at most PIECE windows. The references' pieces form shards by document and range of RANGE words, so that a long
+   reference is several shards; a suffix automaton is built for each shard, its references in ascending order, so that
+   a state's owner is the least document with that text. Pieces of other documents are sent to their anchors' shards
+   (hot shards in several salted parts, each with its copy of the automaton) and streamed through it: matching
+   statistics of at least WINDOW words by a smaller document mark a window;
+4. windows whose reference does not have them may still be in a later document. Their hashes settle the least document
+   exactly.
+
+Overlapping windows make up the maximal spans that are removed.
 
 Edge cases: a null text has no words; texts shorter than the window lose nothing; rows that share a doc_id do not
-remove each other's words; a null doc_id neither removes nor loses words; an empty table gives an empty result; other
-columns are ignored.
+remove each other's words; a null doc_id neither removes nor loses words; a text of any length is cut into pieces, its
+anchors being the only thing gathered for it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import words as W
-from tidewater.llm.store import Bloom, written
+from tidewater.llm.store import discard, with_ids, written
 
 WINDOW = 13
 SEED = 5
-PIECE = 64  # windows in a piece
-SHARD_PIECES = 800  # pieces of references in an automaton, about
-PART_PIECES = 20_000  # pieces streamed through one copy of it, about
+PIECE = 256  # windows in a piece
+GAP = 24  # windows between those of a piece that other shards judge, at most
+RANGE = 16_384  # words of a reference in a shard, about
+SHARD_PIECES = 200  # pieces of references in an automaton, about
+PART_PIECES = 5_000  # pieces streamed through one copy of it, about
+_ROW = ["doc_id", "key"]
 
 
-def _texts(batch: pa.RecordBatch):
-    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-        h = W.hashes(W.encoded(text.as_py()))
-        yield doc_id, h, xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text); the key tells rows of one doc_id apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,77 +62,71 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs, place
 
 
-def _sequences(batches):
-    """(doc_id, words, key of the sequence), without those that a smaller document of the same task repeats whole."""
-    seen: dict[int, int] = {}
-    for batch in batches:
-        out = []
-        for doc_id, h, key in _texts(batch):
-            if doc_id is not None and len(h) >= WINDOW and seen.get(key, doc_id + 1) > doc_id:
-                seen[key] = doc_id
-                out.append((doc_id, h, key))
-        yield out
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, key) of rows whose whole text a document with a smaller id has too."""
+    every = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("two"))
+    first = every.groupBy("key", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    return every.join(first, ["key", "two"]).where("doc_id > lo").select(*_ROW).distinct()
 
 
-def _shared_anchors(docs: DataFrame) -> DataFrame:
-    """(token, lo): anchors of two documents or more, with the least document."""
+def _anchors_of(rows: DataFrame) -> DataFrame:
+    """(token, doc_id, key, pos): every anchor of every row."""
 
     def scan(batches):
-        for rows in _sequences(batches):
-            found = []
-            for doc_id, h, _ in rows:
-                runs, place = anchors(h)
-                tokens = np.unique(runs[place])
-                found.append(np.stack([tokens, np.full(len(tokens), doc_id, np.int64)]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["token", "doc_id"])
+        for batch in batches:
+            tokens, places, lengths = [], [], []
+            for text in batch.column("text"):
+                runs, place = anchors(W.hashes(W.encoded(text.as_py())))
+                at = np.unique(place)
+                tokens.append(runs[at])
+                places.append(at.astype(np.int32))
+                lengths.append(len(at))
+            if not sum(lengths):
+                continue
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
+            columns = [pa.array(np.concatenate(tokens)), *(batch.column(x).take(owner) for x in _ROW), pa.array(np.concatenate(places))]
+            for i in range(0, len(owner), 1 << 18):
+                yield pa.RecordBatch.from_arrays([x.slice(i, 1 << 18) for x in columns], ["token", *_ROW, "pos"])
+
+    return rows.mapInArrow(scan, "token long, doc_id long, key long, pos int")
 
-    found = docs.select("doc_id", "text").mapInArrow(scan, "token long, doc_id long")
-    return found.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token", "lo")
 
+_PIECES = pa.schema([("reference", pa.bool_()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("at", pa.list_(pa.int32())), ("words", pa.binary())])
 
-_PARTS = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("pos", pa.int64()), ("words", pa.list_(pa.int64()))])
 
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Pieces of the rows (doc_id, key, text, routes of (pos, lo, shard)), once for each shard that they go to, as reference or to be judged.
 
-def _pieces(docs: DataFrame, bloom: Bloom) -> DataFrame:
-    """Rows of two kinds: a piece (doc_id, key, start, words) of windows with shared anchors, and its anchors (token, pos)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+    at: the anchors (places in the row) of the windows that the shard judges.
+    """
 
     def scan(batches):
-        bloom = shared.value
-        for rows in _sequences(batches):
-            tokens, heads, words = [], [], []
-            for doc_id, h, key in rows:
-                runs, place = anchors(h)
-                at = np.unique(place)
-                at = at[bloom(runs[at])]
-                if not len(at):
-                    continue
-                starts = np.flatnonzero(np.isin(place, at))
-                # a new piece after a gap, and after PIECE windows
-                run = np.concatenate([[0], np.cumsum(np.diff(starts) > 1)])
+        for batch in batches:
+            out = []
+            for doc_id, key, text, routes in zip(*(batch.column(x) for x in ("doc_id", "key", "text", "routes")), strict=True):
+                doc_id, key, raw, routes = doc_id.as_py(), key.as_py(), W.encoded(text.as_py()), routes.values
+                first, past = W.spans(raw)
+                _, place = anchors(W.hashed(raw, first, past))
+                by = np.argsort(routes.field("pos").to_numpy())
+                at, lo, shard = (routes.field(x).to_numpy()[by] for x in ("pos", "lo", "shard"))
+                k = np.minimum(np.searchsorted(at, place), len(at) - 1)
+                starts = np.flatnonzero(at[k] == place)
+                mine, where = lo[k[starts]] == doc_id, shard[k[starts]]
+                by = np.lexsort((starts, mine, where))
+                starts, mine, where = starts[by], mine[by], where[by]
+                # a new piece for another shard or role, after a gap, and after PIECE windows
+                cut = (np.diff(where) != 0) | (np.diff(mine) != 0) | (np.diff(starts) > GAP)
+                run = np.concatenate([[0], np.cumsum(cut)])
                 inside = np.arange(len(starts)) - np.searchsorted(run, run)
-                piece = np.cumsum((inside % PIECE == 0)) - 1
-                firsts = starts[np.searchsorted(piece, np.arange(piece[-1] + 1))]
-                lasts = starts[np.searchsorted(piece, np.arange(piece[-1] + 1), "right") - 1]
-                for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
-                    words.append(h[a : b + WINDOW].view(np.int64))
-                    heads.append((doc_id, key, a))
-                pairs = np.unique(np.stack([piece, place[starts]]), axis=1)
-                n = pairs.shape[1]
-                tokens.append(np.stack([runs[pairs[1]], np.full(n, doc_id, np.int64), np.full(n, key, np.int64), firsts[pairs[0]], pairs[1]]))
-            if not heads:
-                continue
-            rows5 = [pa.array(x) for x in np.concatenate(tokens, axis=1)]
-            yield pa.RecordBatch.from_arrays([*rows5, pa.nulls(len(rows5[0]), _PARTS.types[5])], schema=_PARTS)
-            for i in range(0, len(heads), 4000):
-                part = words[i : i + 4000]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32)
-                columns = [pa.array(x, pa.int64()) for x in zip(*heads[i : i + 4000], strict=True)]
-                none = pa.nulls(len(part), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, *columns, none, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part)))], schema=_PARTS)
+                edges = [*np.flatnonzero(inside % PIECE == 0).tolist(), len(starts)]
+                for i, j in zip(edges, edges[1:], strict=False):
+                    a, b = int(starts[i]), int(starts[j - 1]) + WINDOW
+                    judged = None if mine[i] else np.unique(place[starts[i:j]])
+                    out.append((bool(mine[i]), int(where[i]), doc_id, key, a, judged, raw[first[a] : past[b - 1]]))
+            for i in range(0, len(out), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 2000], strict=True), _PIECES.types, strict=True)], schema=_PIECES)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "token long, doc_id long, key long, start long, pos long, words array<long>")
+    return rows.mapInArrow(scan, "reference boolean, shard long, doc_id long, key long, start int, at array<int>, words binary")
 
 
 class SuffixAutomaton:
@@ -192,97 +191,87 @@ class SuffixAutomaton:
         return found
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("hash", pa.int64())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("hash", pa.int64())])
 
 
 def _match(references: pa.Table, queries: pa.Table) -> pa.Table:
     """Matched windows as runs (start, n), unmatched ones singly with their hash; each window is judged in its anchor's shard."""
     automaton = SuffixAutomaton()
-    rows = sorted(zip(references["r_doc_id"].to_pylist(), references["r_start"].to_pylist(), range(references.num_rows), strict=True))
-    words = references["r_words"]
-    for doc_id, _, i in rows:
-        automaton.add(words[i].values.to_numpy().tolist(), doc_id)
-    out = []
-    words, at = queries["words"], queries["at"]
-    for i, (doc_id, key, start) in enumerate(zip(*(queries[x].to_pylist() for x in ("doc_id", "key", "start")), strict=True)):
-        h = words[i].values.to_numpy()
-        mine = np.isin(anchors(h.view(np.uint64))[1], at[i].values.to_numpy() - start)
+    for doc_id, _, raw in sorted(zip(*(references[f"r_{x}"].to_pylist() for x in ("doc_id", "start", "words")), strict=True)):
+        automaton.add(W.hashes(raw).tolist(), doc_id)
+    found_rows, out = [], []
+    at = queries["at"]
+    for i, (doc_id, start, raw) in enumerate(zip(*(queries[x].to_pylist() for x in ("doc_id", "start", "words")), strict=True)):
+        h = W.hashes(raw)
+        mine = np.isin(anchors(h)[1], at[i].values.to_numpy() - start)
         found = np.zeros(len(mine), bool)
         found[automaton.windows(h.tolist(), WINDOW, doc_id)] = True
         edge = np.flatnonzero(np.diff(np.concatenate([[False], found & mine, [False]]).astype(np.int8)))
-        out += [(doc_id, key, start + a, b - a, None) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
         rest = np.flatnonzero(mine & ~found)
-        if len(rest):
-            hashed = W.windows(h.view(np.uint64), WINDOW).view(np.int64)[rest]
-            out += [(doc_id, key, start + a, 1, x) for a, x in zip(rest.tolist(), hashed.tolist(), strict=True)]
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, _FOUND.types, strict=True)], schema=_FOUND)
+        firsts = np.concatenate([edge[::2], rest])
+        found_rows.append(np.full(len(firsts), i))
+        hashed = W.windows(h, WINDOW).view(np.int64)[rest] if len(rest) else rest
+        out.append(np.stack([firsts + start, np.concatenate([edge[1::2] - edge[::2], np.ones(len(rest), np.int64)]), np.concatenate([np.zeros(len(edge) // 2, np.int64), hashed]), np.arange(len(firsts)) < len(edge) // 2]))
+    if not out:
+        return _FOUND.empty_table()
+    start, n, hashed, matched = np.concatenate(out, axis=1)
+    rows = queries.select(_ROW).take(pa.array(np.concatenate(found_rows)))
+    return pa.Table.from_arrays([rows["doc_id"], rows["key"], pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(hashed, mask=matched.astype(bool))], schema=_FOUND)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, start, n): runs of n windows, from a word on, that a document with a smaller id also has."""
-    shared = written(_shared_anchors(docs), "shared-anchors")
-    parts = written(_pieces(docs, Bloom.of(shared, "token", shared.count())), "pieces")
-    pieces, piece = parts.where("words is not null").drop("token", "pos"), ["doc_id", "key", "start"]
-    routes = written(parts.where("words is null").select("token", *piece, "pos").join(shared, "token").drop("token"), "routes")
-    sources = routes.where("doc_id = lo").groupBy(*piece).agg(F.first("lo").alias("lo"))
-    shards = max(8, sources.count() // SHARD_PIECES)
-    shard = F.pmod(F.xxhash64("lo"), F.lit(shards)).alias("shard")
-    wanted = written(routes.where("doc_id > lo").groupBy(*piece, shard).agg(F.collect_list("pos").alias("at")), "wanted")
-    load = written(wanted.groupBy("shard").agg(F.ceil(F.count("*") / PART_PIECES).alias("salts")), "load")
-    queries = wanted.join(load, "shard").join(pieces, piece).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), "salts"))
-    queries = queries.select("shard", "salt", *piece, "at", "words")
-    references = sources.select(*piece, shard).join(load, "shard").join(pieces, piece)
-    references = references.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    """(doc_id, key, start, n): runs of n windows, from a word on, that a document with a smaller id also has; n is null for a whole copy."""
+    copies = written(_copies(docs), "copies")
+    rows = with_ids(_rows(docs).where("doc_id is not null and text is not null"), copies, _ROW, "left_anti")
+    every = written(_anchors_of(rows), "anchors")
+    shared = every.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("pos", "doc_id").alias("where")).where("lo < hi")
+    shared = shared.select("token", "lo", F.xxhash64("lo", F.floor(F.col("where") / RANGE)).alias("shard"))
+    routes = every.join(shared.hint("merge"), "token").groupBy(*_ROW).agg(F.collect_list(F.struct("pos", "lo", "shard")).alias("routes"))
+    pieces = written(_pieces(rows.join(routes.hint("merge"), _ROW)), "pieces")
+    discard(every)
+    shards = max(8, pieces.where("reference").count() // SHARD_PIECES)
+    pieces_ = pieces.withColumn("shard", F.pmod("shard", F.lit(shards)))
+    load = written(pieces_.where("not reference").groupBy("shard").agg(F.ceil(F.count("*") / PART_PIECES).alias("salts")), "load")
+    # a row for each of the shards, a PIECE * SHARD_PIECES-th of the corpus
+    dealt = pieces_.join(load, "shard")
+    queries = dealt.where("not reference").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), "salts")).select("shard", "salt", *_ROW, "start", "at", "words")
+    references = dealt.where("reference").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     references = references.select(*(F.col(x).alias(f"r_{x}") for x in ("shard", "salt", "doc_id", "start", "words")))
-    found = references.groupBy("r_shard", "r_salt").cogroup(queries.groupBy("shard", "salt")).applyInArrow(_match, "doc_id long, key long, start long, n long, hash long")
+    found = references.groupBy("r_shard", "r_salt").cogroup(queries.groupBy("shard", "salt")).applyInArrow(_match, "doc_id long, key long, start int, n int, hash long")
     found = written(found, "matches")
+    discard(pieces, load)
     # windows that their reference does not have: the least document by hash
-    rest = found.where("hash is not null").select("hash", *piece)
+    rest = found.where("hash is not null").select("hash", *_ROW, "start")
     least = rest.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
-    late = rest.join(least, "hash").where("doc_id > lo").select(*piece, F.lit(1).cast("long").alias("n"))
-    return found.where("hash is null").select(*piece, "n").unionByName(late)
-
-
-def _copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, start, n) of whole texts that a document with a smaller id repeats."""
-
-    def scan(batches):
-        for batch in batches:
-            rows = [(d, len(h), key) for d, h, key in _texts(batch) if d is not None and len(h) >= WINDOW]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "n", "key"])
-
-    every = written(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, key long"), "sequences")
-    first = every.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo")
-    return every.join(first, "key").where("doc_id > lo").select("doc_id", "key", F.lit(0).cast("long").alias("start"), (F.col("n") - (WINDOW - 1)).alias("n"))
+    late = rest.join(least.hint("merge"), "hash").where("doc_id > lo").select(*_ROW, "start", F.lit(1).alias("n"))
+    runs = written(found.where("hash is null").select(*_ROW, "start", "n").unionByName(late), "runs")
+    discard(found)
+    return runs.unionByName(copies.select(*_ROW, F.lit(0).alias("start"), F.lit(None).cast("int").alias("n")))
 
 
 def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the kept words joined by spaces)."""
-    runs = repeated(docs).unionByName(_copies(docs)).groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
+    runs = repeated(docs).groupBy(*_ROW).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string()][: 3 + with_text]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]
 
     def scan(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
-                raw = W.encoded(text.as_py())
-                words = raw.split()
+            for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
+                words = W.encoded(text.as_py()).split()
                 n = len(words)
-                if runs:
-                    key = xxhash.xxh64_intdigest(W.hashes(raw).tobytes()) - (1 << 63)
+                if runs.is_valid:
                     step = np.zeros(n + 1, np.int64)
-                    for r in runs:
-                        if r["key"] == key:
-                            step[r["start"]] += 1
-                            step[r["start"] + r["n"] + WINDOW - 1] -= 1
-                    keep = np.cumsum(step[:n]) == 0
-                    words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                    start, many = runs.values.field("start").to_numpy(), runs.values.field("n").to_numpy(zero_copy_only=False)
+                    past = np.where(np.isnan(many), n if n >= WINDOW else 0, start + many + WINDOW - 1).astype(np.int64)
+                    np.add.at(step, start, 1)
+                    np.add.at(step, past, -1)
+                    words = list(compress(words, (np.cumsum(step[:n]) == 0).tolist()))
                 kept = b" ".join(words)
-                rows.append((doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if with_text else ())))
+                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if with_text else ())))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=False)], names[: 4 + with_text])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
-    joined = docs.select("doc_id", "text").join(runs, "doc_id", "left")
+    joined = _rows(docs).join(runs.hint("merge"), _ROW, "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
