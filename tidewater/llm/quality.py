@@ -1,176 +1,208 @@
 """Quality rules: base counts, and perplexity bands of a Spark-counted modified Kneser-Ney model.
 
-The model is over characters folded to 64 symbols, so its four orders have at most 64**4 entries for a language and
-can be sent to every executor whatever the corpus. All documents are counted: each task counts its n-grams, Spark sums
-them and derives the continuation counts, and the model is kept as sorted arrays of packed n-grams with their
-log-probabilities and back-off weights. The bands come from the exact histogram of every language's perplexities.
+The model is over n-grams of ORDER characters (code points as they stand, case and symbols included, in texts that start
+after ORDER - 1 line ends), one for each language of the column. Each task counts the distinct n-grams of its texts, Spark sums them over all documents, and joins and
+aggregations alone make the discounts, the continuation counts and the interpolated probabilities of every order. So the
+model grows with the input. Since all judged documents are counted, each of their n-grams has its probability in the
+highest order; lower orders enter through the interpolation.
 
-Edge cases: a null text has no words; languages are the column's values, null and all beyond MAX_LANGUAGES are pooled;
+The model is stored as arrays of n-gram hashes in ascending order with their log-probabilities, in shards of at most
+SHARD_ENTRIES (16 MiB each in a worker for 2**20): a shard goes round as a broadcast and adds its part to each
+document's sum, in one pass over the documents for every PASS_SHARDS of them; the sums stand beside the documents in between.
+
+A text's perplexity is that of its words: its characters' summed negative log-probability by the number of its words.
+Symbols that are glued to words cost a word more, texts cut up by symbols of their own less; by the character both would
+hide behind the symbols' predictable runs.
+
+The bands come from each language's exact histogram of perplexities, cut at BAND_ABOVE and BAND_BELOW robust standard
+deviations from the median.
+
+Edge cases: a null text has no words; an empty one no perplexity; documents whose language is null are one language;
 a language whose texts all score alike rejects nothing by perplexity; repeated doc_ids are judged row by row; an empty
-table gives an empty result; a table without ``lang`` is one language; other columns are ignored.
+table gives an empty result; a table without ``lang`` is one language; other columns are ignored; very long texts are
+scored and counted in parts of _CHUNK characters, so a task's memory does not grow with them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import words as W
-from tidewater.llm.store import written
+from tidewater.llm.store import discard, written
 
-ORDER = 4
-SYMBOLS = 64
-MAX_LANGUAGES = 63
+ORDER = 5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Half width of a band above and below the median, in robust standard deviations, and at least in nats a character.
-BAND_ABOVE, BAND_BELOW, BAND_LEAST = 6.0, 8.0, 0.15
-_CHUNK = 1 << 21
+#: Half width of a band above and below the median, in robust standard deviations, and at least in nats a word.
+BAND_ABOVE, BAND_BELOW, BAND_LEAST = 5.0, 4.0, 0.5
+SHARD_ENTRIES, PASS_SHARDS = 1 << 20, 16
+_CHUNK = 1 << 20
 _SPACES, _SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
-_PER_NAT = 2000  # histogram bins
-
-
-def _fold() -> np.ndarray:
-    """Symbol of each of the first 256 code points; 256 stands for all others."""
-    table = np.full(257, 30, np.uint32)
-    table[:33] = 0
-    table[0xA0] = 0
-    table[ord("a") : ord("z") + 1] = range(1, 27)
-    table[ord("0") : ord("9") + 1] = 27
-    table[ord(".")], table[ord(",")] = 28, 29
-    table[0xE0:0x100] = range(31, 63)
-    table[256] = 63
-    return table
+_PER_NAT = 500  # histogram bins
+_VALUE = np.uint64(0x9E3779B97F4A7C15)
+
 
+def points(text: str) -> np.ndarray:
+    """The text's code points after ORDER - 1 line ends."""
+    return np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)
 
-_FOLD = _fold()
 
+def parts(c: np.ndarray):
+    """The code points in parts that share ORDER - 1, so that each n-gram is in one part."""
+    for i in range(0, len(c) - ORDER + 1, _CHUNK):
+        yield c[i : i + _CHUNK + ORDER - 1]
 
-def grams(text: str) -> np.ndarray:
-    """Packed 4-grams ending at each character of the folded text, which starts after three spaces."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.concatenate([np.zeros(ORDER - 1, np.uint32), _FOLD[np.minimum(points, 256)]])
-    return (c[:-3] << 18) | (c[1:-2] << 12) | (c[2:-1] << 6) | c[3:]
 
+def keys(c: np.ndarray, language: int) -> np.ndarray:
+    """Hash of each n-gram of ORDER code points, in a language with this hash."""
+    return W.windows(W.mixed((c.astype(np.uint64) + np.uint64(1)) * _VALUE + np.uint64(language & 0xFFFFFFFFFFFFFFFF)), ORDER)
 
-def _languages(docs: DataFrame) -> list[str]:
-    rows = docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    return [r["lang"] for r in rows]
+
+class Sorted:
+    """Places of hashes in an ascending array of them, by a table of where each value of the leading bits starts."""
+
+    def __init__(self, known: np.ndarray):
+        self.bits = np.uint64(64 - max(4, len(known).bit_length() + 1))
+        self.known = np.append(known, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.first = np.searchsorted(known, np.arange(1 << (64 - int(self.bits)), dtype=np.uint64) << self.bits).astype(np.int32)
+        self.longest = int(np.diff(np.append(self.first, len(known))).max())
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether the hash is there)"""
+        at = self.first[h >> self.bits]
+        hit = self.known[at] == h
+        open_ = np.flatnonzero(~hit)
+        for step in range(1, self.longest):
+            place = np.minimum(at[open_] + step, len(self.known) - 1)
+            same = self.known[place] == h[open_]
+            at[open_[same]] = place[same]
+            hit[open_[same]] = True
+            open_ = open_[~same & (self.known[place] < h[open_])]
+            if not len(open_):
+                break
+        return at, hit
 
 
 def _with_lang(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
+    return docs.select("doc_id", "text", _language(docs))
+
+
+def _language(docs: DataFrame) -> Column:
+    """Name of the document's language; the null one is empty and others start with =."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit("")).alias("__lang")
 
 
-def count_grams(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """(lang, gram, n) over all documents; lang 0 pools the unlisted."""
-    index = {x: i + 1 for i, x in enumerate(languages)}
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(lang, gram, n) over all documents (text, __lang, __lang_key); gram is the n-gram as a string."""
 
     def scan(batches):
-        held: dict[int, list[np.ndarray]] = {}
-        size: dict[int, int] = {}
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def fold(lang):
-            keys, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            size[lang] = 0
-            if lang in seen:
-                old, m = seen[lang]
-                both = np.concatenate([old, keys])
-                keys, at = np.unique(both, return_inverse=True)
-                n = np.bincount(at, np.concatenate([m, n])).astype(np.int64)
-            seen[lang] = keys, n
+        seen: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[str, int], list[np.ndarray]] = {}
+        size = 0
+
+        def fold():
+            for (lang, number), texts in held.items():
+                c = np.concatenate(texts)  # n-grams over the joint of two texts are left out below
+                ends = np.cumsum([len(x) for x in texts])
+                h = keys(c, number)
+                whole = np.ones(len(h), bool)
+                for j in range(1, ORDER):
+                    whole[ends[:-1] - j] = False
+                h = h[whole]
+                found, n = np.unique(h, return_counts=True)
+                old, old_rows, old_n = seen.get(lang) or (np.empty(0, np.uint64), np.empty((0, ORDER), np.uint32), np.empty(0, np.int64))
+                at, known = Sorted(old)(found)
+                np.add.at(old_n, at[known], n[known])
+                new = found[~known]
+                if len(new):
+                    _, is_new = Sorted(new)(h)
+                    places = np.flatnonzero(is_new)
+                    _, first = np.unique(h[places], return_index=True)
+                    rows = np.lib.stride_tricks.sliding_window_view(c, ORDER)[np.flatnonzero(whole)[places[first]]]
+                    by = np.argsort(np.concatenate([old, new]))
+                    old, old_rows, old_n = (np.concatenate(x)[by] for x in ((old, new), (old_rows, rows), (old_n, n[~known])))
+                seen[lang] = old, old_rows, old_n
+            held.clear()
 
         for batch in batches:
-            for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
+            for text, lang, number in zip(batch.column("text"), *(batch.column(x).to_pylist() for x in ("__lang", "__lang_key")), strict=True):
                 if text := text.as_py():
-                    lang = index.get(lang, 0)
-                    held.setdefault(lang, []).append(g := grams(text))
-                    size[lang] = size.get(lang, 0) + len(g)
-                    if size[lang] >= _CHUNK:
-                        fold(lang)
-        for lang in list(held):
-            fold(lang)
-        for lang, (keys, n) in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, np.int32)), pa.array(keys.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-
-    return docs.select("text", "lang").mapInArrow(scan, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Order:
-    """One order: sorted packed n-grams with log-probabilities, sorted contexts with log back-off weights."""
-
-    keys: np.ndarray
-    logp: np.ndarray
-    contexts: np.ndarray
-    backoff: np.ndarray
-
-
-def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-
-
-class Model:
-    """Interpolated modified Kneser-Ney of one language from the counts of each order (continuation counts below the top)."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.orders: list[Order] = []
-        lower = None
-        for k, (keys, n) in enumerate(counts, 1):
-            by = np.argsort(keys)
-            keys, n = keys[by].astype(np.int64), n[by].astype(np.float64)
-            of = [np.count_nonzero(n == i) for i in (1, 2, 3, 4)]
-            y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
-            d = [min(i, max(0.05, i - (i + 1) * y * of[i] / of[i - 1])) if of[i - 1] else 0.5 * i for i in (1, 2, 3)]
-            discount = np.select([n == 1, n == 2], [d[0], d[1]], d[2])
-            contexts, ctx = np.unique(keys >> 6, return_inverse=True)
-            total = np.bincount(ctx, n)
-            gamma = np.bincount(ctx, np.minimum(discount, n)) / total
-            if lower is None:
-                below = np.full(len(keys), 1 / SYMBOLS)
-            else:
-                below = np.exp(self._score(keys & ((1 << 6 * (k - 1)) - 1), k - 1))
-            p = np.maximum(n - discount, 0) / total[ctx] + gamma[ctx] * below
-            self.orders.append(Order(keys.astype(np.int32), np.log(p), contexts.astype(np.int32), np.log(np.maximum(gamma, 1e-12))))
-            lower = True
-
-    def _score(self, g: np.ndarray, k: int) -> np.ndarray:
-        if not k:
-            return np.full(len(g), -np.log(SYMBOLS))
-        order = self.orders[k - 1]
-        g = g.astype(np.int32)
-        at, hit = _at(order.keys, g)
-        if hit.all():
-            return order.logp[at]
-        out = np.where(hit, order.logp[at] if len(order.keys) else 0.0, 0.0)
-        miss = np.flatnonzero(~hit)
-        at, known = _at(order.contexts, g[miss] >> 6)
-        back = np.where(known, order.backoff[at] if len(order.contexts) else 0.0, 0.0)
-        out[miss] = back + self._score(g[miss] & ((1 << 6 * (k - 1)) - 1), k - 1)
-        return out
-
-    def perplexity(self, text: str) -> float:
-        """Mean negative log-probability of a character, in nats."""
-        return float(-self._score(grams(text), ORDER).mean())
-
-
-def fit(docs: DataFrame, languages: list[str]) -> dict[int, Model]:
-    """A model for each language, counted over all documents."""
-    top = written(count_grams(docs, languages), "grams")
-    tables = [top]
-    for k in range(ORDER - 1, 0, -1):
-        tables.append(tables[-1].groupBy("lang", F.col("gram").bitwiseAND((1 << 6 * k) - 1).alias("gram")).agg(F.count("*").alias("n")))
-    frames = [x.toPandas() for x in tables[::-1]]  # at most SYMBOLS**k rows of order k for a language
-    return {
-        int(lang): Model([(x["gram"].to_numpy()[rows], x["n"].to_numpy()[rows]) for x in frames for rows in [x["lang"].to_numpy() == lang]])
-        for lang in frames[0]["lang"].unique()
-    }
+                    for c in parts(points(text)):
+                        held.setdefault((lang, number), []).append(c)
+                        size += len(c)
+                        if size >= 2 * _CHUNK:
+                            fold()
+                            size = 0
+        fold()
+        for lang, (_, rows, n) in seen.items():
+            for i in range(0, len(n), 1 << 16):
+                part = np.ascontiguousarray(rows[i : i + (1 << 16)])
+                grams = part.tobytes().decode("utf-32-le", "surrogatepass")
+                grams = [grams[j : j + ORDER].encode("utf-8", "surrogatepass") for j in range(0, len(grams), ORDER)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(grams, pa.binary()), pa.array(n[i : i + (1 << 16)])], ["lang", "gram", "n"])
+
+    found = docs.select("text", "__lang", "__lang_key").mapInArrow(scan, "lang string, gram binary, n long")
+    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select("lang", F.col("gram").cast("string").alias("gram"), "n")
+
+
+def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, p, others): interpolated modified Kneser-Ney probability of each n-gram's last character after the
+    others; ``others`` is the same without the own share of n-grams that are there once, so that a text does not vouch
+    for itself.
+
+    The highest order uses the counts, each lower one the number of distinct characters before. The lowest order is
+    interpolated with the uniform distribution over the language's characters and one unseen.
+    """
+    levels = [counts]
+    for k in range(order - 1, 0, -1):
+        levels.append(levels[-1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
+    below = None
+    for k, level in enumerate(levels[::-1], 1):
+        of = level.groupBy("lang").agg(*(F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
+        y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+        discount = [F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(0.5 * i) for i in (1, 2, 3)]
+        # a row for each language
+        table = level.join(of.select("lang", *(x.alias(f"d{i}") for i, x in enumerate(discount, 1))), "lang")
+        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        table = table.select("lang", "gram", "n", F.least(d, F.col("n")).alias("d"), F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"))
+        contexts = table.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"), F.count("*").alias("kinds"))
+        table = table.join(contexts, ["lang", "context"])
+        if below is None:
+            lower = 1 / (F.col("kinds") + 1)
+        else:
+            table, lower = table.join(below.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lower"), F.col("others").alias("lower_others")), ["lang", "rest"]), F.col("lower")
+        rest = F.col("left") / F.col("total")
+        own = (F.col("n") - F.col("d")) / F.col("total")
+        others = F.when(F.col("n") > 1, own).otherwise(0.0) + rest * (lower if k == 1 else F.col("lower_others"))
+        below = table.select("lang", "gram", (own + rest * lower).alias("p"), others.alias("others"))
+        if k < order:
+            below = written(below, "level")
+    return below
+
+
+def _shards(probabilities: DataFrame):
+    """Arrays (hashes in ascending order, log-probabilities) of at most about SHARD_ENTRIES n-grams each, one after another."""
+    spark = probabilities.sparkSession
+
+    def scan(batches):
+        for batch in batches:
+            number = batch.column("number").to_pylist()
+            h = [keys(np.frombuffer(g.encode("utf-32-le", "surrogatepass"), np.uint32), n)[0] for g, n in zip(batch.column("gram").to_pylist(), number, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), batch.column("logp")], ["key", "logp"])
+
+    rows = probabilities.select("gram", F.xxhash64("lang").alias("number"), F.log("others").cast("float").alias("logp"))
+    table = written(rows.mapInArrow(scan, "key long, logp float"), "model")
+    shards = -(-table.count() // SHARD_ENTRIES)
+    for i in range(shards):
+        got = (table.where(F.pmod(F.shiftrightunsigned("key", 8), F.lit(shards)) == i) if shards > 1 else table).toArrow()
+        h, logp = got["key"].to_numpy().view(np.uint64), got["logp"].to_numpy()
+        by = np.argsort(h)
+        yield spark.sparkContext.broadcast((h[by], logp[by]))
+    discard(table)
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -194,58 +226,77 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(h), len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, _SYMBOLS)), dup, repeat
 
 
-_SCORED = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("lang_at", pa.int32()), ("log_ppl", pa.float64())]
-_SCORED_DDL = "__n_words long, __word_chars long, __n_symbols long, __n_dup_lines long, __n_repeat_words long, __base_failed boolean, __lang_at int, __log_ppl double"
+_SCORED = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_())]
+_SCORED_DDL = "__n_words long, __word_chars long, __n_symbols long, __n_dup_lines long, __n_repeat_words long, __base_failed boolean"
 
 
 def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns to carry, and each document's base counts, log-perplexity and index of its language's model, all of these prefixed by __."""
-    languages = _languages(_with_lang(docs))
-    shared = docs.sparkSession.sparkContext.broadcast((languages, fit(_with_lang(docs), languages)))
-    text, lang = F.col("text").alias("__text"), (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("__lang")
+    """The columns to carry, and each document's base counts, language and mean negative log-probability of a word (nats), all of these prefixed by __."""
+    rows = docs.select(*(F.col(x).alias(f"c{i}") for i, x in enumerate(carry)), F.col("text").alias("__text"), _language(docs))
+    rows = rows.withColumn("__lang_key", F.xxhash64("__lang"))
+    probabilities = model(written(count_grams(rows.withColumnRenamed("__text", "text")), "grams"))
+    carried = [f"c{i}" for i in range(len(carry))]
+    before, held, n_pass = [], [], 0
+
+    def passed(rows: DataFrame, shards: list, base: bool) -> DataFrame:
+        """One pass over the documents: the sum over these shards, and in the first pass the base counts."""
+        keep = [x for x in rows.columns if x != "__sum"]
+
+        def scan(batches):
+            tables = [(Sorted(shard.value[0]), shard.value[1]) for shard in shards]
+            for batch in batches:
+                out, sums = [], []
+                earlier = [0.0] * batch.num_rows if base else batch.column("__sum").to_pylist()
+                for text, number, sum_ in zip(batch.column("__text"), batch.column("__lang_key").to_pylist(), earlier, strict=True):
+                    text = text.as_py()
+                    if base:
+                        counts = base_counts(text)
+                        out.append((*counts, counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]))
+                    for c in parts(points(text)) if text else ():
+                        h = keys(c, number)
+                        for shard in tables:
+                            find, logp = shard
+                            at, hit = find(h)
+                            sum_ -= float((logp[at] if hit.all() else logp[at[hit]]).sum(dtype=np.float64))
+                    sums.append(sum_)
+                found = [pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), _SCORED, strict=True)] if out else []
+                if batch.num_rows:
+                    names = [*keep, *(["__" + n for n, _ in _SCORED] if base else []), "__sum"]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), *found, pa.array(sums, pa.float64())], names)
+
+        ddl = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.select(*keep).schema)
+        return rows.mapInArrow(scan, f"{ddl}{', ' + _SCORED_DDL if base else ''}, __sum double")
+
+    for shard in _shards(probabilities):
+        held.append(shard)
+        if len(held) == PASS_SHARDS:
+            before.append(rows := written(passed(rows, held, not n_pass), "sums"))
+            n_pass, held = n_pass + 1, []
+            discard(*before[:-1])
+    if held or not n_pass:
+        rows = passed(rows, held, not n_pass)
+    score = F.when(F.col("__n_words") > 0, F.col("__sum") / F.col("__n_words")).alias("__log_ppl")
+    names = [F.col(c).alias(x) for c, x in zip(carried, carry, strict=True)]
+    table = written(rows.select(*names, "__lang", *("__" + n for n, _ in _SCORED), score), "scored")
+    discard(*before)
+    return table
 
-    def scan(batches):
-        languages, models = shared.value
-        index = {x: i + 1 for i, x in enumerate(languages)}
-        for batch in batches:
-            rows = []
-            for text, lang in zip(batch.column("__text"), batch.column("__lang").to_pylist(), strict=True):
-                text, at = text.as_py(), index.get(lang, 0)
-                base = base_counts(text)
-                failed = base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * base[0]
-                rows.append((*base, failed, at, models[at].perplexity(text) if text else None))
-            if rows:
-                found = [pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), _SCORED, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in carry), *found], [*carry, *("__" + n for n, _ in _SCORED)])
-
-    carried = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.select(*carry).schema)
-    return written(docs.select(*carry, text, lang).mapInArrow(scan, f"{carried}, {_SCORED_DDL}"), "scored")
-
-
-def bands(table: DataFrame) -> list[tuple[int, float, float]]:
-    """(language, least, most) log-perplexity, from the histogram of all documents that pass the base rules."""
-    bins = table.where("not __base_failed and __log_ppl is not null").groupBy(F.col("__lang_at").alias("lang_at"), F.floor(F.col("__log_ppl") * _PER_NAT).alias("bin")).agg(F.count("*").alias("n")).toPandas()
-    found = []
-    for lang, x in bins.groupby("lang_at"):
-        x = x.sort_values("bin")
-        value, n = (x["bin"].to_numpy() + 0.5) / _PER_NAT, x["n"].to_numpy()
-
-        def median(v, n):
-            by = np.argsort(v, kind="stable")
-            return float(v[by][np.searchsorted(np.cumsum(n[by]), n.sum() / 2)])
-
-        middle = median(value, n)
-        spread = 1.4826 * median(np.abs(value - middle), n)
-        found.append((int(lang), middle - max(BAND_BELOW * spread, BAND_LEAST), middle + max(BAND_ABOVE * spread, BAND_LEAST)))
-    return found
+
+def bands(table: DataFrame) -> DataFrame:
+    """(__lang, __least, __most) log-perplexity, from the histogram of all documents that pass the base rules."""
+    value = F.floor(F.col("__log_ppl") * _PER_NAT)
+    bins = written(table.where("not __base_failed and __log_ppl is not null").groupBy("__lang", value.alias("bin")).agg(F.count("*").alias("n")), "bins")
+    middle = bins.groupBy("__lang").agg(F.percentile("bin", 0.5, F.col("n")).alias("middle"))
+    spread = bins.join(middle, "__lang").groupBy("__lang", "middle").agg((1.4826 * F.percentile(F.abs(F.col("bin") - F.col("middle")), 0.5, F.col("n"))).alias("spread"))
+    wide = lambda x: F.greatest(x * F.col("spread"), F.lit(BAND_LEAST * _PER_NAT))
+    return spread.select("__lang", ((F.col("middle") + 0.5 - wide(BAND_BELOW)) / _PER_NAT).alias("__least"), ((F.col("middle") + 0.5 + wide(BAND_ABOVE)) / _PER_NAT).alias("__most"))
 
 
 def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     table = scored(docs, carry)
-    limits = docs.sparkSession.createDataFrame(bands(table), "__lang_at int, __least double, __most double")
+    limits = written(bands(table), "bands")  # a row for each language
     inside = F.col("__log_ppl").between(F.col("__least"), F.col("__most"))
-    # one row for each of at most MAX_LANGUAGES + 1 languages
-    return table.join(F.broadcast(limits), "__lang_at", "left").withColumn("__kept", ~F.col("__base_failed") & F.coalesce(inside, F.lit(True)))
+    return table.join(limits, "__lang", "left").withColumn("__kept", ~F.col("__base_failed") & F.coalesce(inside, F.lit(True)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
