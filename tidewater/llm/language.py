@@ -1,46 +1,50 @@
 """Language identification by compression: zstandard with a raw-content dictionary per language.
 
-The dictionaries are concatenated training texts, a bounded sample: for each of at most MAX_LANGUAGES languages the
-documents with the least hashes, up to DICTIONARY_BYTES. A text is cut into blocks, so that the dictionary matters
+The dictionaries are concatenated training texts, a bounded sample: for each language the SAMPLE_DOCS documents with the
+least hashes of their id, up to DICTIONARY_BYTES (less where all languages together would need more than TOTAL_BYTES; no
+language is left out). A text is cut into blocks, so that the dictionary matters
 throughout a long one (a short text is taken in several rotations, as sizes are whole bytes); every block is compressed with every dictionary and the language with the smallest total wins.
 The answer is accepted if the runner-up needs clearly more bytes.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without any training row every text is;
 equal sizes go to the alphabetically first language; a single learned language scores 1; null languages do not train;
-a null doc_id is neither held out nor trained on; other columns are ignored.
+a null doc_id is neither held out nor trained on; a long text is compressed block by block; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LANGUAGES = 256
 SAMPLE_DOCS = 400  # documents of a language in its dictionary, at most
-DICTIONARY_BYTES = 256 << 10
+DICTIONARY_BYTES, TOTAL_BYTES = 256 << 10, 64 << 20
 BLOCK_BYTES = 2048
 SHORT_BYTES, ROTATIONS = 400, 6
 LEVEL = 6
 MIN_MARGIN = 0.01
-_LETTER = re.compile(r"[^\W\d_]").search
 
 
 def fit(labelled: DataFrame) -> dict[str, bytes]:
     """Raw dictionary of each language from labelled documents (doc_id, text, lang)."""
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    ranked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("at")).join(F.broadcast(common), "lang")
-    # a rank limit is applied in each task before the shuffle
-    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("k") <= SAMPLE_DOCS)
-    chosen = ranked.select("lang", "doc_id", "k")  # MAX_LANGUAGES * SAMPLE_DOCS rows at most
-    rows = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "k", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).collect()
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
+        return {}
+    size = min(DICTIONARY_BYTES, TOTAL_BYTES // len(counts))
+    # four times the documents wanted, by their hashes: what reaches a language's window does not grow with the input
+    share = F.try_element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * SAMPLE_DOCS / n)))), F.col("lang"))
+    at = F.xxhash64("doc_id")
+    few = labelled.where(F.pmod(at, F.lit(1 << 30)) < share * (1 << 30)).select("lang", "doc_id", at.alias("at"), F.substring("text", 1, size).alias("text"))
+    few = few.select("lang", "doc_id", "at", F.xxhash64("text").alias("tie"), F.octet_length("text").alias("bytes"), "text")
+    order = Window.partitionBy("lang").orderBy("at", "doc_id", "tie")
+    ranked = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
+    ranked = ranked.withColumn("before", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     found: dict[str, bytes] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["k"])):
-        found[row["lang"]] = (found.get(row["lang"], b"") + row["text"].lower().encode("utf-8", "replace") + b"\n")[:DICTIONARY_BYTES]
+    # texts of two dictionaries' length for a language, at most
+    for row in sorted(ranked.where(F.coalesce("before", F.lit(0)) < size).select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"])):
+        found[row["lang"]] = (found.get(row["lang"], b"") + row["text"].lower().encode("utf-8", "replace") + b"\n")[:size]
     return found
 
 
@@ -56,7 +60,7 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin)"""
-        if text is None or not self.compress or not _LETTER(text):
+        if text is None or not self.compress or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
         raw = text.lower().encode("utf-8", "replace")
         if len(raw) < SHORT_BYTES:  # sizes are whole bytes: rotations tell more
