@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.store import written
 
-LONGEST_WORD = 20
+LONGEST_WORD = 63  # letters of a label in a host name, at most
 BUCKETS = 1 << 16
 #: Words of at most SHORT letters are in many labels; the join deals each out to SALTS places.
 SHORT, SALTS = 3, 16
