@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.store import written
+from tidewater.llm.store import only, written
 
 RUN = 3
 #: Runs of fewer than RUN lines are compared too if they hold so many words (``passages``, the pipeline).
@@ -26,17 +26,13 @@ PASSAGE_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__text_key", F.xxhash64("text"))
-
-
 def repeated(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """(doc_id, __text_key, places): places of repeated lines among the document's lines with words."""
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_WORD))
     # without a bound in words no shorter run is a window
     many = F.transform(lines, lambda x: F.least(F.regexp_count(x, F.lit(f"{_WORD}+")), F.lit(words))) if words else F.array().cast("array<int>")
     sizes = range(1, run + 1) if words else (run,)
-    hashed = _keyed(docs.select("doc_id", "text")).where("text is not null").select("doc_id", "__text_key", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), many.alias("m"))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("__text_key")).where("text is not null").select("doc_id", "__text_key", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), many.alias("m"))
     held = lambda m: F.aggregate(m, F.lit(0), lambda a, x: a + x)
     hashed = written(hashed.where((F.size("h") >= run) | (held("m") >= words) if words else F.size("h") >= run), "lines")
 
@@ -77,18 +73,25 @@ def repeated(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataF
 
 def dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """All documents with the shortened text, and ``__lines`` and ``__removed``, the lines with words before and deleted."""
-    found = written(repeated(docs, run, words), "repeated").select(F.col("doc_id").alias("__id"), F.col("__text_key").alias("__key"), "places")
-    keyed = _keyed(docs)
+    with only(docs.sparkSession, "repeated") as keep:
+        found = keep(repeated(docs, run, words))
+    found = found.select(F.col("doc_id").alias("id"), F.col("__text_key").alias("text_key"), "places")
+    # the table's own columns go by number meanwhile, so that none of their names clashes
+    docs = docs.drop("__lines", "__removed")
+    numbers = {x: f"c{i}" for i, x in enumerate(docs.columns)}
+    own = docs.toDF(*numbers.values())
+    doc_id, text = own[numbers["doc_id"]], own[numbers["text"]]
     # never broadcast, so that a small input costs what a share of a large one does
-    joined = keyed.join(found.hint("merge"), keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
-    joined = joined.withColumn("__all", F.split("text", "\n", -1))
-    joined = joined.withColumn("__with_words", F.expr(f"filter(transform(__all, (x, i) -> if(x rlike '{_WORD.replace(chr(92), chr(92) * 2)}', i, -1)), i -> i >= 0)"))
-    joined = joined.withColumn("__gone", F.transform("places", lambda p: F.get("__with_words", p)))
-    kept = F.array_except(F.expr("sequence(0, size(__all) - 1)"), F.col("__gone"))
-    joined = joined.withColumn("__kept", F.when(F.col("places").isNotNull(), kept))
-    short = F.array_join(F.transform("__kept", lambda i: F.get("__all", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("places").isNotNull(), short).otherwise(F.col("text"))).select(
-        *docs.columns, F.coalesce(F.size("__with_words"), F.lit(0)).cast("long").alias("__lines"), F.greatest(F.size("__gone"), F.lit(0)).cast("long").alias("__removed")
+    joined = own.join(found.hint("merge"), doc_id.eqNullSafe(found["id"]) & (F.xxhash64(text) == found["text_key"]), "left")
+    joined = joined.withColumn("lines", F.split(text, "\n", -1))
+    joined = joined.withColumn("worded", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(_WORD), i).otherwise(-1)), lambda i: i >= 0))
+    joined = joined.withColumn("gone", F.transform("places", lambda p: F.get("worded", p)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    short = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    short = F.when(F.col("places").isNotNull(), short).otherwise(text)
+    return joined.select(
+        *((short if x == "text" else F.col(c)).alias(x) for x, c in numbers.items()),
+        F.coalesce(F.size("worded"), F.lit(0)).cast("long").alias("__lines"), F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("__removed"),
     )
 
 
