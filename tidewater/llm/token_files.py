@@ -10,7 +10,7 @@ lost executors):
 A short document is read by its block's id range, its offset and one small frame (``read_documents``).
 
 Edge cases: a null text is empty (only the end id); null document ids come first; repeated document ids are kept, in
-the order of a hash of their texts; an empty table gives empty files; other columns are ignored.
+the order of a hash of their texts; an empty table gives empty files; a long text is one frame; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.tokens import Encoder
@@ -35,11 +35,14 @@ LEVEL = 3
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """Dictionary from a bounded sample: the first SAMPLE_DOCS documents of 1 to SAMPLE_CHARS characters that Spark comes to.
+    """Dictionary from a bounded sample: of the SAMPLE_DOCS documents with the least hashes of their id, those of 1 to SAMPLE_CHARS characters.
 
     It only bears on the files' size; reading takes the dictionary that was written, and checks its hash.
     """
-    sample = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").limit(SAMPLE_DOCS).collect()
+    at = F.xxhash64("doc_id")
+    least = docs.where("doc_id is not null").select(at.alias("at")).orderBy("at").limit(SAMPLE_DOCS).collect()  # ids alone are read
+    few = docs.where(F.col("doc_id").isNotNull() & (at <= (least[-1]["at"] if least else 0)) & F.length("text").between(1, SAMPLE_CHARS))
+    sample = few.select("text", at.alias("at")).orderBy("at", F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
     encode = Encoder.at(tokenizer)
     pieces = [x for row in sample if (x := encode(row["text"]).tobytes())]
     try:
@@ -88,7 +91,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2) ->
     # bounds from the ids alone: ranging by repartitionByRange would read the texts once more
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or [] if parts > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda x: x < F.col("doc_id")))
+    part = _place(F.col("doc_id"), bounds)
     ordered = (
         docs.select("doc_id", "text").repartitionById(parts, F.when(F.col("doc_id").isNull(), 0).otherwise(part))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -96,6 +99,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2) ->
     ordered.mapInArrow(blocks, "part int, block int, dictionary_sha256 string, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
+def _place(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are below the value, with about twice the root of their number of comparisons."""
+    step = max(1, round(len(bounds) ** 0.5))
+    runs = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
+    below = lambda of: F.size(F.filter(of, lambda x: x < value))
+    run = below(F.lit([x[0] for x in runs[1:]]).cast("array<bigint>") if len(runs) > 1 else F.array().cast("array<bigint>"))
+    inside = F.element_at(F.array(*(F.array(*map(F.lit, x)).cast("array<bigint>") for x in runs)), run + 1)
+    return run * step + below(inside)
+
+
 _BLOCK = pa.schema([
     ("part", pa.int32()), ("block", pa.int32()), ("dictionary_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())),
     ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary()),
