@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 import pyarrow.compute as pc
 
-_KEEP = 1 << 20  # pieces remembered by a worker
+_KEEP = 1 << 19  # pieces remembered by a worker, some 100 MB
 _AT_ONCE = 1 << 20  # characters encoded at once, about
 _OPEN: dict[str, Encoder] = {}
 #: Letters, digits, punctuation and white space that every Unicode version classes alike.
