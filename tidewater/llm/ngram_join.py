@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import words as W
 from tidewater.llm.components import components
-from tidewater.llm.store import discard, with_ids, written
+from tidewater.llm.store import discard, only, with_ids, written
 
 SKETCH_BITS = 18
 MOST_MATCHES = 4
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_per_class(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the first of their class; documents without an id stay."""
-    away = near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id")
-    return docs.join(away, "doc_id", "left_anti")
+    """The documents that are the first of their class; documents without an id stay, and so do all rows of a first document's id."""
+    with only(docs.sparkSession, "away") as keep:
+        away = keep(near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct())
+    return with_ids(docs, away, ["doc_id"], "left_anti")

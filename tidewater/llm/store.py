@@ -75,7 +75,22 @@ def recorded(paths: list[str]):
     try:
         yield
     finally:
-        _RECORDERS.remove(paths)
+        _RECORDERS.pop()
+
+
+@contextmanager
+def only(spark: SparkSession, name: str):
+    """Yields ``written`` for the one table, under this name, that outlives the block; the others written in it are deleted at its end."""
+    paths: list[str] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(written(df, name))
+        return kept[-1]
+
+    with recorded(paths):
+        yield keep
+    remove(spark, [x for x in paths if x not in {_PATHS[table] for table in kept}])
 
 
 def text_batches(spark: SparkSession) -> None:
