@@ -1,9 +1,12 @@
 """Plain single-machine versions of the corpus operators' contracts."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -126,3 +129,53 @@ def line_dedup(rows, run=3):
         for d, k in sorted(found)[1:]:
             gone[d].update(texts[d][2][k : k + run])
     return {d: (len(at), len(gone[d]), None if t is None else "\n".join(x for i, x in enumerate(every) if i not in gone[d])) for d, (t, every, at) in texts.items()}
+
+
+def kneser_ney(texts, order=5):
+    """{n-gram: (probability, the same without its own share if it is there once)}, from strings alone."""
+    levels = [Counter("".join(x) for t in texts for x in zip(*(("\n" * (order - 1) + t)[i:] for i in range(order)), strict=False))]
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    below = {}
+    for k, level in enumerate(levels[::-1], 1):
+        n1, n2, n3, n4 = (sum(n == i for n in level.values()) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        d = [max(0.05, i - (i + 1) * y * b / a) if a else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        cut = {g: min(d[min(n, 3) - 1], n) for g, n in level.items()}
+        total, left, kinds = Counter(), Counter(), Counter()
+        for g, n in level.items():
+            total[g[:-1]] += n
+            left[g[:-1]] += cut[g]
+            kinds[g[:-1]] += 1
+        now = {}
+        for g, n in level.items():
+            c = g[:-1]
+            lower = below[g[1:]] if k > 1 else (1 / (kinds[c] + 1),) * 2
+            own, rest = (n - cut[g]) / total[c], left[c] / total[c]
+            now[g] = own + rest * lower[0], (own if n > 1 else 0) + rest * lower[1]
+        below = now
+    return below
+
+
+def quality_kept(rows, above, below, least, order=5, per=500):
+    """{doc_id: (nats a word or None, kept; None where the score is within rounding of a band's end)}"""
+    score, base = {}, {}
+    for lang in {r[2] for r in rows}:
+        mine = [(d, t) for d, t, x in rows if x == lang]
+        model = kneser_ney([t.lower() for _, t in mine if t], order)
+        for d, t in mine:
+            base[d] = base_counts(t)
+            padded = "\n" * (order - 1) + (t or "").lower()
+            score[d] = -sum(math.log(model[padded[i : i + order]][1]) for i in range(len(padded) - order + 1)) / base[d][0] if t and base[d][0] else None
+    found = {}
+    for lang in {r[2] for r in rows}:
+        ids = [d for d, _, x in rows if x == lang]
+        bins = np.array([math.floor(score[d] * per) for d in ids if not base[d][5] and score[d] is not None])
+        middle = np.median(bins) if len(bins) else 0
+        spread = 1.4826 * np.median(np.abs(bins - middle)) if len(bins) else 0
+        low, high = (middle + 0.5 - max(below * spread, least * per)) / per, (middle + 0.5 + max(above * spread, least * per)) / per
+        for d in ids:
+            x = score[d]
+            near = x is not None and not base[d][5] and min(abs(x - low), abs(x - high)) < 0.01
+            found[d] = x, None if near else not base[d][5] and (x is None or low <= x <= high)
+    return found

@@ -1,7 +1,7 @@
 """Quality rules: base counts, and perplexity bands of a Spark-counted modified Kneser-Ney model.
 
-The model is over n-grams of ORDER characters (code points as they stand, case and symbols included, in texts that start
-after ORDER - 1 line ends), one for each language of the column. Each task counts the distinct n-grams of its texts, Spark sums them over all documents, and joins and
+The model is over n-grams of ORDER characters (code points of the lower-cased text, symbols included, after ORDER - 1 line
+ends), one for each language of the column. Each task counts the distinct n-grams of its texts, Spark sums them over all documents, and joins and
 aggregations alone make the discounts, the continuation counts and the interpolated probabilities of every order. So the
 model grows with the input. Since all judged documents are counted, each of their n-grams has its probability in the
 highest order; lower orders enter through the interpolation.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import words as W
-from tidewater.llm.store import discard, written
+from tidewater.llm.store import discard, only, written
 
 ORDER = 5
 MIN_WORDS = 50
@@ -46,8 +46,8 @@ _VALUE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def points(text: str) -> np.ndarray:
-    """The text's code points after ORDER - 1 line ends."""
-    return np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    """The lower-cased text's code points after ORDER - 1 line ends."""
+    return np.frombuffer(("\n" * (ORDER - 1) + text.lower()).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def parts(c: np.ndarray):
@@ -236,7 +236,7 @@ def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
     rows = rows.withColumn("__lang_key", F.xxhash64("__lang"))
     probabilities = model(written(count_grams(rows.withColumnRenamed("__text", "text")), "grams"))
     carried = [f"c{i}" for i in range(len(carry))]
-    before, held, n_pass = [], [], 0
+    held, n_pass = [], 0
 
     def passed(rows: DataFrame, shards: list, base: bool) -> DataFrame:
         """One pass over the documents: the sum over these shards, and in the first pass the base counts."""
@@ -270,16 +270,14 @@ def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
     for shard in _shards(probabilities):
         held.append(shard)
         if len(held) == PASS_SHARDS:
-            before.append(rows := written(passed(rows, held, not n_pass), "sums"))
+            last, rows = rows, written(passed(rows, held, not n_pass), "sums")
             n_pass, held = n_pass + 1, []
-            discard(*before[:-1])
+            discard(last)
     if held or not n_pass:
         rows = passed(rows, held, not n_pass)
     score = F.when(F.col("__n_words") > 0, F.col("__sum") / F.col("__n_words")).alias("__log_ppl")
     names = [F.col(c).alias(x) for c, x in zip(carried, carry, strict=True)]
-    table = written(rows.select(*names, "__lang", *("__" + n for n, _ in _SCORED), score), "scored")
-    discard(*before)
-    return table
+    return rows.select(*names, "__lang", *("__" + n for n, _ in _SCORED), score)
 
 
 def bands(table: DataFrame) -> DataFrame:
@@ -293,7 +291,8 @@ def bands(table: DataFrame) -> DataFrame:
 
 
 def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:
-    table = scored(docs, carry)
+    with only(docs.sparkSession, "scored") as keep:
+        table = keep(scored(docs, carry))
     limits = written(bands(table), "bands")  # a row for each language
     inside = F.col("__log_ppl").between(F.col("__least"), F.col("__most"))
     return table.join(limits, "__lang", "left").withColumn("__kept", ~F.col("__base_failed") & F.coalesce(inside, F.lit(True)))
