@@ -132,3 +132,104 @@ def failure_kind(error: Column, status: Column, stage: Column) -> tuple[Column,
     for condition, name, again in reversed(rules):
         kind, retry = F.when(condition, name).otherwise(kind), F.when(condition, again).otherwise(retry)
     return kind, retry
+
+
+def repairs(changes: DataFrame, expected: DataFrame, target: DataFrame) -> DataFrame:
+    """The changes with ``repair`` for an unchanged path whose chunks (path, chunk_id, text_hash) differ in the target."""
+    off = differences(expected.select("path", "chunk_id", "text_hash"), target.select("path", "chunk_id", "text_hash")).select("path").distinct().withColumn("off", F.lit(True))
+    joined = changes.join(off, "path", "left")
+    return joined.select("path", F.when((F.col("change") == "unchanged") & F.col("off"), "repair").otherwise(F.col("change")).alias("change"))
+
+
+def obsolete(written: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """Rows to drop once all wanted ones are verified as written; none while one is missing."""
+    lack = wanted.select(*key).join(written.select(*key), key, "left_anti").limit(1).withColumn("lack", F.lit(True)).select("lack")
+    return written.join(wanted.select(*key), key, "left_anti").join(F.broadcast(lack), how="left_anti")
+
+
+def enqueue(requests: DataFrame, live: DataFrame) -> DataFrame:
+    """source_id, decision and seq: refuse an empty source, reuse a live job of the same snapshot and profile, else queue the next number.
+
+    requests: source_id, snapshot, profile, files; live: the latest live job of a source (source_id, snapshot, profile, seq).
+    """
+    old = live.select("source_id", F.col("snapshot").alias("s"), F.col("profile").alias("p"), F.col("seq").alias("old_seq"))
+    same = (F.col("snapshot") == F.col("s")) & (F.col("profile") == F.col("p"))
+    decision = F.when(F.col("files") == 0, "refused").when(same, "reused").otherwise("queued")
+    last = F.coalesce("old_seq", F.lit(0))
+    return requests.join(old, "source_id", "left").select("source_id", decision.alias("decision"), F.when(decision == "queued", last + 1).otherwise(last).cast("long").alias("seq"))
+
+
+def published(sources: DataFrame, jobs: DataFrame, profile: str) -> DataFrame:
+    """The sources after publication: a prepared job of the desired number and the current profile becomes active, the active one previous.
+
+    sources: id, active_job, previous_job, desired_seq, denied, restored; jobs: id, source_id, seq, status, profile. Restored
+    documents leave the deny list with the publication.
+    """
+    good = jobs.where(publishable(F.col("status"), F.col("seq"), F.col("seq"), F.col("profile"), F.lit(profile))).select(F.col("source_id").alias("id"), F.col("seq").alias("desired_seq"), F.col("id").alias("new_job"))
+    joined = sources.join(good, ["id", "desired_seq"], "left")
+    new = F.col("new_job").isNotNull()
+    return joined.select(
+        "id", F.coalesce("new_job", "active_job").alias("active_job"), F.when(new, F.col("active_job")).otherwise(F.col("previous_job")).alias("previous_job"), "desired_seq",
+        F.when(new, F.array_except("denied", "restored")).otherwise(F.col("denied")).alias("denied"),
+    )
+
+
+def rolled_back(sources: DataFrame) -> DataFrame:
+    """The pointers swapped and the desired number raised, so that no late job overtakes; nothing leaves the deny list."""
+    can = F.col("previous_job").isNotNull()
+    return sources.select(
+        "id", F.when(can, F.col("previous_job")).otherwise(F.col("active_job")).alias("active_job"), F.when(can, F.col("active_job")).otherwise(F.col("previous_job")).alias("previous_job"),
+        (F.col("desired_seq") + can.cast("int")).alias("desired_seq"), "denied",
+    )
+
+
+def resolved(pointers: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """key and whether its active store can be served: its rows are as many as the pointer (key, expected) says; closed otherwise."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return pointers.join(counts, key, "left").select(key, (F.coalesce("n", F.lit(0)) == F.col("expected")).alias("served"))
+
+
+def scope(old: Column, new: Column) -> Column:
+    """What a change of profiles (structs of parser, chunk, embedding and pipeline) makes anew; the widest counts."""
+    differs = lambda x: ~old[x].eqNullSafe(new[x])
+    return F.when(differs("parser"), "parse").when(differs("chunk"), "chunk").when(differs("embedding"), "embed").when(differs("pipeline"), "validate").otherwise("none")
+
+
+def purgeable(status: Column, pinned: Column, age_days: Column, days: int) -> Column:
+    """Reason that a quarantined generation stays, or eligible."""
+    return F.when(status != "quarantined", "not quarantined").when(pinned, "pinned").when(age_days < days, "too young").otherwise("eligible")
+
+
+def mutations(rows: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
+    """key and kind of the documents that a sync test changes: a seeded share of them, dealt to four kinds by another draw."""
+    draw = lambda salt: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed + salt), key)), 1, 8), 16, 10).cast("long")
+    kind = F.element_at(F.array(*map(F.lit, ("body", "metadata", "rename", "delete"))), (draw(1) % 4 + 1).cast("int"))
+    return rows.where(draw(0) < int(ratio * (1 << 32))).select(key, kind.alias("kind"))
+
+
+def cache_state(wanted: DataFrame, cache: DataFrame, key: str, check: str) -> DataFrame:
+    """Hits, misses and rebuilds of a stage cache: an entry whose check value differs is built anew."""
+    joined = wanted.select(key, F.col(check).alias("want")).join(cache.select(key, F.col(check).alias("have"), F.lit(True).alias("held")), key, "left")
+    return joined.agg(F.count_if(F.col("want") == F.col("have")).alias("hits"), F.count_if(F.col("held").isNull()).alias("misses"), F.count_if(F.col("held") & ~F.col("want").eqNullSafe(F.col("have"))).alias("rebuilt"))
+
+
+def served(rows: DataFrame, denied: DataFrame, key: str) -> DataFrame:
+    """What reads may see: the rows that are not denied."""
+    return rows.join(denied.select(key).distinct(), key, "left_anti")
+
+
+def vector_delta(before: DataFrame, after: DataFrame, key: str, vector: str) -> DataFrame:
+    """Largest absolute difference of a component between two versions, rows of one side alone and compared rows."""
+    joined = before.select(key, F.col(vector).alias("a")).join(after.select(key, F.col(vector).alias("b")), key, "full_outer")
+    most = F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))
+    return joined.agg(F.max(most).cast("double").alias("delta"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("alone"), F.count("*").alias("compared"))
+
+
+def retry_after(value: Column, now: Column) -> Column:
+    """Seconds of a Retry-After value: ``250ms``, seconds, or an HTTP date; null where it is none of them or past."""
+    date = F.try_to_timestamp(F.regexp_extract(value, r"^\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = (
+        F.when(value.rlike(r"^\d+ms$"), F.regexp_extract(value, r"^(\d+)", 1).try_cast("double") / 1000).when(value.rlike(r"^\d+(\.\d+)?s?$"), F.regexp_extract(value, r"^([\d.]+)", 1).try_cast("double"))
+        .otherwise((F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))
+    )
+    return F.when(wait >= 0, wait)
