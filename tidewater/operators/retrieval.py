@@ -62,29 +62,32 @@ def readable() -> Column:
 
 
 def term_stats(chunks: DataFrame, epsilon: float = 0.25) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings chunk_id term tf, lengths chunk_id dl, terms term df idf) over all chunks."""
+    """(postings chunk_id term tf dl, totals n avgdl, terms term df idf) over all chunks.
+
+    The text is split once; the shuffle of the postings serves the counts, the totals and the scores alike.
+    """
     tokenized = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
-    lengths = tokenized.select("chunk_id", F.size("terms").alias("dl"))
-    postings = tokenized.select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    total = lengths.agg(F.count("*").alias("n"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    exploded = tokenized.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    postings = exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    n = chunks.agg(F.count("*").alias("n"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all_tf"))
+    words = df.agg(F.sum("all_tf").alias("words"))
+    totals = n.crossJoin(F.broadcast(words)).select("n", (F.coalesce("words", F.lit(0)) / F.col("n")).alias("avgdl"))
+    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((epsilon * F.avg("raw")).alias("floor"))
     terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return postings, lengths, terms
+    return postings, totals, terms
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
     """query_id, chunk_id, score (6 digits) of all pairs that share a term; a repeated query term counts repeatedly."""
-    postings, lengths, terms = term_stats(chunks, config.epsilon)
+    postings, totals, terms = term_stats(chunks, config.epsilon)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     weighted = asked.join(terms, "term").select("query_id", "term", (F.col("qn") * F.col("idf")).alias("weight"))
-    average = lengths.agg(F.avg("dl").alias("avgdl"))
     norm = F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl"))
     part = F.col("weight") * F.col("tf") * (config.k1 + 1) / norm
-    # only the postings of asked terms are joined to the lengths
     return (
-        weighted.join(postings, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(average))
+        postings.join(weighted, "term").crossJoin(F.broadcast(totals))
         .groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     )
 
@@ -184,9 +187,16 @@ def with_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks.select("chunk_id", "parent_id"), "chunk_id").join(parents, "parent_id", "left")
 
 
+def served(chunks: DataFrame, denied: DataFrame) -> DataFrame:
+    """The chunks that reads may see: those of documents that are not denied."""
+    return allowed(chunks, chunks, denied)
+
+
 def hybrid(queries: DataFrame, chunks: DataFrame, denied: DataFrame, config: Config) -> DataFrame:
-    """The whole plan: both routes, fusion, cap, deny list. A query without a vector has the lexical route alone."""
-    hits = fused(vector_route(queries, chunks, config), lexical_route(queries, chunks, config), config)
+    """The whole plan: both routes without denied documents, fusion, cap, and the deny list once more. A query without a vector has the lexical route alone."""
+    seen = served(chunks, denied)
+    lexical = lexical_route(queries, seen, config, bm25_scores(queries, chunks, config))
+    hits = fused(vector_route(queries, seen, config), lexical, config)
     return allowed(capped(hits, chunks, config), chunks, denied)
 
 

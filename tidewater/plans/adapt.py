@@ -85,11 +85,11 @@ QUERIES = """
 asked AS (SELECT b.item_id AS query_id, b.text, e.embedding AS vector, NULL::VARCHAR AS scenario FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
 SCOPED = QUERIES.replace("NULL::VARCHAR", "CASE WHEN b.item_id % 4 = 0 THEN 'en' END")
 TERMS = """
-words AS (SELECT chunk_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS term FROM chunks),
-tf AS (SELECT chunk_id, term, count(*) AS tf FROM words GROUP BY ALL),
-dl AS (SELECT c.chunk_id, coalesce(w.n, 0) AS dl FROM chunks c LEFT JOIN (SELECT chunk_id, count(*) AS n FROM words GROUP BY ALL) w ON c.chunk_id = w.chunk_id),
+words AS MATERIALIZED (SELECT chunk_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS term FROM chunks),
+tf AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM words GROUP BY ALL),
+dl AS MATERIALIZED (SELECT c.chunk_id, coalesce(w.n, 0) AS dl FROM chunks c LEFT JOIN (SELECT chunk_id, count(*) AS n FROM words GROUP BY ALL) w ON c.chunk_id = w.chunk_id),
 total AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-raw AS (SELECT term, count(*) AS df, ln(any_value(total.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, total GROUP BY term),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(total.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, total GROUP BY term),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 BM25 = TERMS + """,
 qt AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS term FROM asked) GROUP BY ALL),
@@ -118,8 +118,12 @@ bm25_route AS (
 )"""
 
 
-def fusion(vector_weight: float = 1.0, lexical_weight: float = 1.0) -> str:
-    return ROUTES + f""",
+def fusion(vector_weight: float = 1.0, lexical_weight: float = 1.0, deny: bool = False) -> str:
+    routes = ROUTES
+    if deny:  # both routes leave denied documents out
+        routes = routes.replace("WHERE status = 'active' AND coalesce(chunk_type", "WHERE NOT denied AND status = 'active' AND coalesce(chunk_type")
+        routes = routes.replace("WHERE (access IS NULL OR access = 'employee') AND (status IS NULL", "WHERE NOT c.denied AND (access IS NULL OR access = 'employee') AND (status IS NULL")
+    return routes + f""",
 both_routes AS (
   SELECT query_id, chunk_id, score, rank, 0 AS route, 'vector' AS name, {vector_weight}::DOUBLE / (60 + rank) AS part FROM vector_route UNION ALL
   SELECT query_id, chunk_id, score, rank, 1, 'bm25', {lexical_weight}::DOUBLE / (60 + rank) FROM bm25_route

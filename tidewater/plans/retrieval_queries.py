@@ -86,18 +86,18 @@ def hybrid_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.capped(hits, c, A.CONFIG).select("query_id", "chunk_id", "fused", "routes", "rank", "final_rank")
 
 
-@query(f"WITH {A.CHUNKS}, {A.QUERIES}, {A.fusion()} SELECT query_id, chunk_id, fused, final_rank FROM final WHERE NOT denied")
+@query(f"WITH {A.CHUNKS}, {A.QUERIES}, {A.fusion(deny=True)} SELECT query_id, chunk_id, fused, final_rank FROM final WHERE NOT denied")
 def deny_filtered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _inputs(spark, sf_dir)
     return R.hybrid(q, c, A.denied(spark, sf_dir), A.CONFIG).select("query_id", "chunk_id", "fused", "final_rank")
 
 
-@query(f"""WITH {A.CHUNKS}, {A.QUERIES}, {A.fusion()} SELECT f.query_id, f.chunk_id, f.final_rank, f.parent_id, sha256(p.text) AS parent_sha256
-FROM final f LEFT JOIN chunks p ON p.chunk_id = f.parent_id AND p.chunk_type = 'parent' AND (p.access IS NULL OR p.access = 'employee') WHERE NOT f.denied""")
+@query(f"""WITH {A.CHUNKS}, {A.QUERIES}, {A.fusion(deny=True)} SELECT f.query_id, f.chunk_id, f.final_rank, f.parent_id, sha256(p.text) AS parent_sha256
+FROM final f LEFT JOIN chunks p ON p.chunk_id = f.parent_id AND p.chunk_type = 'parent' AND (p.access IS NULL OR p.access = 'employee') AND NOT p.denied WHERE NOT f.denied""")
 def hybrid_parent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _inputs(spark, sf_dir)
     hits = R.hybrid(q, c, A.denied(spark, sf_dir), A.CONFIG).select("query_id", "chunk_id", "final_rank")
-    return R.with_parents(hits, c).select("query_id", "chunk_id", "final_rank", "parent_id", F.sha2("parent_text", 256).alias("parent_sha256"))
+    return R.with_parents(hits, R.served(c, A.denied(spark, sf_dir))).select("query_id", "chunk_id", "final_rank", "parent_id", F.sha2("parent_text", 256).alias("parent_sha256"))
 
 
 @query(f"""WITH {A.CHUNKS}, {A.QUERIES}, {A.BM25}, best AS (SELECT b.query_id, b.chunk_id, c.collection, row_number() OVER (PARTITION BY b.query_id, c.collection ORDER BY b.score DESC, b.chunk_id) AS place FROM bm25 b JOIN chunks c USING (chunk_id) QUALIFY place <= 5)

@@ -75,17 +75,21 @@ def _keywords(spark):
     return spark.createDataFrame(_KEYS, "scenario string, nth int, keyword string")
 
 
-@query(f"""WITH {_KEYS_SQL}, w AS (SELECT conv_id * 100 + turn AS id, lower(text) AS text FROM conversations),
+@query(f"""WITH {_KEYS_SQL}, w AS (SELECT conv_id * 100 + turn AS id, lower(text || CASE turn % 5 WHEN 0 THEN ' Apache' WHEN 1 THEN ' apachee' WHEN 2 THEN ' token akia' WHEN 3 THEN ' apache token' ELSE '' END) AS text FROM conversations),
 h AS (SELECT w.id, k.scenario, k.nth, k.keyword, CASE WHEN contains(w.text, lower(k.keyword)) THEN lower(k.keyword) ELSE list_filter(regexp_extract_all(w.text, '[a-z0-9]+'), lambda x: levenshtein(x, lower(k.keyword)) <= 1)[1] END AS hit FROM w, k)
 SELECT id, min(scenario) AS scenario, arg_min(CASE WHEN lower(keyword) = hit THEN keyword ELSE keyword || '≈' || hit END, nth) AS matched FROM h WHERE hit IS NOT NULL GROUP BY id HAVING count(DISTINCT scenario) = 1""")
 def fuzzy_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = A.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    """Messages with a keyword, a misspelt one, several of one scenario and some of two planted by turn."""
+    planted = F.element_at(F.array(*map(F.lit, (" Apache", " apachee", " token akia", " apache token", ""))), (F.col("turn") % 5 + 1).cast("int"))
+    c = A.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat("text", planted).alias("text"))
     return D.spelled_intent(c, _keywords(spark)).select("id", "scenario", "matched")
 
 
-@query(f"""WITH {_KEYS_SQL} SELECT doc_id AS id, string_agg(DISTINCT scenario, ',' ORDER BY scenario) AS scenarios FROM documents, k WHERE contains(lower(text), lower(keyword)) GROUP BY doc_id HAVING count(DISTINCT scenario) >= 2""")
+@query(f"""WITH {_KEYS_SQL} SELECT doc_id AS id, string_agg(DISTINCT scenario, ',' ORDER BY scenario) AS scenarios FROM (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN ' Office Apache' WHEN doc_id % 4 = 1 THEN ' apache gnu' ELSE '' END AS text FROM documents), k WHERE contains(lower(text), lower(keyword)) GROUP BY doc_id HAVING count(DISTINCT scenario) >= 2""")
 def multi_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.several_problems(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), _keywords(spark)).select("id", "scenarios")
+    """Keywords of two scenarios, or two of one, are planted by doc_id."""
+    planted = F.when(F.col("doc_id") % 4 == 0, " reserved token").when(F.col("doc_id") % 4 == 1, " apache gnu").otherwise("")
+    return D.several_problems(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat("text", planted).alias("text")), _keywords(spark)).select("id", "scenarios")
 
 
 @query(r"""SELECT conv_id, turn, regexp_replace(replace(replace(replace(text, 'hello', ''), 'hi', ''), 'hey', ''), '[^\p{L}\p{N}_]', '', 'g') = '' AS greeting,
@@ -138,8 +142,13 @@ def frame_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", snapshots.frame_indices(F.col("total") + 1, (F.col("doc_id") % 5 + 20).cast("int"), 8).alias("frames"))
 
 
-@query(r"""SELECT doc_id, 'id: ' || doc_id AS head, sha256(text) AS whole, 2 AS chunks FROM documents WHERE NOT regexp_matches(text, '(^|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}])##\s') AND regexp_matches(text, '\S')""")
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(substr(coalesce(text, ''), 1, 90), '[^a-zA-Z0-9 ]', '', 'g')) AS i FROM documents),
+p AS (SELECT doc_id, i, '## A' || chr(10) || doc_id || chr(10) || '### deep' || chr(10) || '##no' AS a, '## B' || chr(10) || 'end' AS b FROM d)
+SELECT doc_id, 0 AS seq, 'parent' AS chunk_type, md5(i || chr(10) || a || chr(10) || chr(10) || b) AS digest FROM p UNION ALL SELECT doc_id, 1, 'child', md5(i) FROM p WHERE length(i) >= 60
+UNION ALL SELECT doc_id, 1 + (length(i) >= 60)::INT, 'child', md5(a) FROM p UNION ALL SELECT doc_id, 2 + (length(i) >= 60)::INT, 'child', md5(b) FROM p""")
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).where(~F.col("text").rlike(r"(^|[\n\r\x0B\x0C\x1C-\x1E\x85  ])##\s") & F.col("text").rlike(r"\S"))
-    parts = markdown.sections(docs.select("doc_id", F.col("text").alias("content")))
-    return parts.groupBy("doc_id").agg(F.concat(F.lit("id: "), F.first("doc_id")).alias("head"), F.max(F.when(F.col("seq") == 0, F.sha2("text", 256))).alias("whole"), F.count("*").cast("int").alias("chunks"))
+    """Every document as a page with an introduction (kept from 60 characters on), two headings, a deeper one and a line that only looks like one."""
+    intro = F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 90), "[^a-zA-Z0-9 ]", ""))
+    page = F.concat(intro, F.lit("\n## A\n"), F.col("doc_id").cast("string"), F.lit("\n### deep\n##no\n\n## B\nend"))
+    parts = markdown.sections(A.table(spark, sf_dir, "documents").select("doc_id", page.alias("content")))
+    return parts.select("doc_id", "seq", "chunk_type", F.md5(F.col("text").cast("binary")).alias("digest"))
