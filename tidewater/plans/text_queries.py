@@ -85,7 +85,7 @@ def fuzzy_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.spelled_intent(c, _keywords(spark)).select("id", "scenario", "matched")
 
 
-@query(f"""WITH {_KEYS_SQL} SELECT doc_id AS id, string_agg(DISTINCT scenario, ',' ORDER BY scenario) AS scenarios FROM (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN ' Office Apache' WHEN doc_id % 4 = 1 THEN ' apache gnu' ELSE '' END AS text FROM documents), k WHERE contains(lower(text), lower(keyword)) GROUP BY doc_id HAVING count(DISTINCT scenario) >= 2""")
+@query(f"""WITH {_KEYS_SQL} SELECT doc_id AS id, string_agg(DISTINCT scenario, ',' ORDER BY scenario) AS scenarios FROM (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN ' reserved token' WHEN doc_id % 4 = 1 THEN ' apache gnu' ELSE '' END AS text FROM documents), k WHERE contains(lower(text), lower(keyword)) GROUP BY doc_id HAVING count(DISTINCT scenario) >= 2""")
 def multi_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords of two scenarios, or two of one, are planted by doc_id."""
     planted = F.when(F.col("doc_id") % 4 == 0, " reserved token").when(F.col("doc_id") % 4 == 1, " apache gnu").otherwise("")
