@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import words as W
-from tidewater.llm.store import discard, only, written
+from tidewater.llm.store import BROADCAST_ROWS, discard, only, written
 
 ORDER = 5
 MIN_WORDS = 50
@@ -165,8 +165,9 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
         of = level.groupBy("lang").agg(*(F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
         y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
         discount = [F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(0.5 * i) for i in (1, 2, 3)]
-        # a row for each language
-        table = level.join(of.select("lang", *(x.alias(f"d{i}") for i, x in enumerate(discount, 1))), "lang")
+        of = written(of.select("lang", *(x.alias(f"d{i}") for i, x in enumerate(discount, 1))), "discounts")
+        # a row for each language: sent to the tasks, or else all of a language's n-grams would meet in one
+        table = level.join(F.broadcast(of) if of.count() <= BROADCAST_ROWS else of, "lang")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         table = table.select("lang", "gram", "n", F.least(d, F.col("n")).alias("d"), F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"))
         contexts = table.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"), F.count("*").alias("kinds"))
