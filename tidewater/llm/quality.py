@@ -56,9 +56,10 @@ def parts(c: np.ndarray):
         yield c[i : i + _CHUNK + ORDER - 1]
 
 
-def keys(c: np.ndarray, language: int) -> np.ndarray:
-    """Hash of each n-gram of ORDER code points, in a language with this hash."""
-    return W.windows(W.mixed((c.astype(np.uint64) + np.uint64(1)) * _VALUE + np.uint64(language & 0xFFFFFFFFFFFFFFFF)), ORDER)
+def keys(c: np.ndarray, language: int | np.ndarray) -> np.ndarray:
+    """Hash of each n-gram of ORDER code points, in a language with this hash (one for all, or one for each code point)."""
+    language = language if isinstance(language, np.ndarray) else np.uint64(language & 0xFFFFFFFFFFFFFFFF)
+    return W.windows(W.mixed((c.astype(np.uint64) + np.uint64(1)) * _VALUE + language), ORDER)
 
 
 class Sorted:
@@ -191,9 +192,10 @@ def _shards(probabilities: DataFrame):
 
     def scan(batches):
         for batch in batches:
-            number = batch.column("number").to_pylist()
-            h = [keys(np.frombuffer(g.encode("utf-32-le", "surrogatepass"), np.uint32), n)[0] for g, n in zip(batch.column("gram").to_pylist(), number, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), batch.column("logp")], ["key", "logp"])
+            c = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            number = np.repeat(batch.column("number").to_numpy().view(np.uint64), ORDER)
+            h = keys(c, number)[::ORDER] if len(c) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("logp")], ["key", "logp"])
 
     rows = probabilities.select("gram", F.xxhash64("lang").alias("number"), F.log("others").cast("float").alias("logp"))
     table = written(rows.mapInArrow(scan, "key long, logp float"), "model")
