@@ -169,7 +169,8 @@ def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     late ones, do not meet at all.
     """
     share = percent / (100 + percent)
-    tier = lambda size: F.floor(F.log(size) / np.log(1.02))
+    # a wider class adds few pairs at its ends, and far fewer copies of each posting
+    tier = lambda size: F.floor(F.log(size) / np.log(1.1))
     # T >= 2 * share * size for the smaller set
     left = placed.where(F.col("size") - F.col("pos") + F.col("need") - 1 >= F.ceil(F.col("size") * (2 * share) - 1e-6))
     left = left.select("token", tier(F.col("size")).alias("tier"), *(F.col(x).alias(y) for x, y in (("doc_id", "a"), ("size", "na"), ("need", "ma"), ("pos", "pa"), ("root", "ra"))))
