@@ -122,6 +122,24 @@ def _postings(docs: DataFrame, prefix: Prefix, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "token long, doc_id long, size int, need int, pos int")
 
 
+_POS_BITS, _NEED_BITS = 30, 3  # a text of 2**31 bytes has fewer than 2**30 words; need is MOST_MATCHES at most
+
+
+def _place(size: str, need: str, pos: str):
+    """Size, need and position in one long, so that a shuffled posting is short."""
+    return F.shiftleft(F.shiftleft(F.col(size).cast("long"), _NEED_BITS).bitwiseOR(F.col(need)), _POS_BITS).bitwiseOR(F.col(pos))
+
+
+def _unplaced(place: str) -> list:
+    """The columns size, need and pos of ``_place``."""
+    low = lambda column, bits: column.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    return [
+        F.shiftright(place, _NEED_BITS + _POS_BITS).cast("int").alias("size"),
+        low(F.shiftright(place, _POS_BITS), _NEED_BITS).alias("need"),
+        low(F.col(place), _POS_BITS).alias("pos"),
+    ]
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, shingles) of the documents with these ids."""
 
@@ -197,10 +215,11 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
     settled = written(copies.select(F.col("b").alias("doc_id")).distinct().join(single, "doc_id", "left_semi"), "settled")
     firsts = with_ids(docs.select("doc_id", "text"), settled, ["doc_id"], "left_anti")
 
-    # keys that two documents share; min and max are partly aggregated before the shuffle
+    # keys of more than one posting, counted partly before the shuffle; postings go to their keys as two longs
     prefixes = written(_postings(firsts, prefix, k), "prefixes")
-    shared = prefixes.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
-    postings = written(prefixes.join(shared.hint("merge"), "token"), "postings")
+    shared = prefixes.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    packed = prefixes.select("token", "doc_id", _place("size", "need", "pos").alias("place")).join(shared.hint("merge"), "token")
+    postings = written(packed.select("token", "doc_id", *_unplaced("place")), "postings")
     discard(prefixes, settled)
     open_ids = postings.select("doc_id").distinct()
     signatures = written(base.select("doc_id", F.col("n_shingles").alias("size"), "signature").join(open_ids, "doc_id", "left_semi"), "signatures")
