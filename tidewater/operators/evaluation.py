@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.text import citations
+from tidewater.functions.text import sentences as cited_sentences
+
 
 def release_retrieval(hits: DataFrame, gold: DataFrame, forbidden: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Per query: recall, mrr, all_gold and hit_rate at k (null without gold), forbidden hits and whether it passed.
@@ -101,3 +104,39 @@ def review_scores(observed: DataFrame, annotated: DataFrame, key: str) -> DataFr
     )
     ratio = lambda x: F.when(F.col("errors") > 0, F.lit(0.0)).otherwise(F.try_divide(x, F.col("claims")))
     return found.select("grouped", "claims", "errors", ratio(F.col("f")).alias("faithful"), ratio(F.col("c")).alias("correct"))
+
+
+def scored_answers(cases: DataFrame) -> DataFrame:
+    """Per case: facts_total, present, supported, cited, unknown and forbidden citations, and passed.
+
+    cases: case_id, answer, behaves, injected array<struct<document_id,text>> in prompt order, facts
+    array<struct<pattern,evidence>>, required and forbidden arrays of document ids. A fact is present if a sentence
+    matches its pattern, supported if a segment of its evidence does too, and cited if each such sentence cites one
+    of those segments. Null answers and arrays are empty ones; a case passes if it behaves, all facts are cited and
+    nothing required is missing or forbidden shown. One row holds one case, so nothing is shuffled.
+    """
+    said, shown = cited_sentences(F.coalesce("answer", F.lit(""))), F.col("injected")
+    empty = F.array().cast("array<bigint>")
+    rows = cases.select(
+        "case_id", F.coalesce("behaves", F.lit(False)).alias("behaves"), F.coalesce("facts", F.array().cast(cases.schema["facts"].dataType)).alias("facts"),
+        F.coalesce("injected", F.array().cast(cases.schema["injected"].dataType)).alias("injected"), F.coalesce("required", empty).alias("required"),
+        F.coalesce("forbidden", empty).alias("forbidden"), citations(F.coalesce("answer", F.lit(""))).alias("cites"),
+        F.transform(said, lambda s: F.struct(F.regexp_replace(s, r"\[证据[1-9][0-9]*\]", "").alias("text"), citations(s).alias("cites"))).alias("said"),
+    )
+    local = lambda f: F.filter("said", lambda s: F.regexp_like(s["text"], f["pattern"]))
+    numbers = lambda f: F.filter(F.transform(shown, lambda d, i: F.when(F.array_contains(f["evidence"], d["document_id"]) & F.regexp_like(d["text"], f["pattern"]), (i + 1).cast("string"))), lambda x: x.isNotNull())
+    each = F.transform("facts", lambda f: F.struct(local(f).alias("local"), numbers(f).alias("numbers")))
+    judged = rows.withColumn("each", each).withColumn("each", F.transform("each", lambda e: F.struct(
+        (F.size(e["local"]) > 0).alias("present"), ((F.size(e["local"]) > 0) & (F.size(e["numbers"]) > 0)).alias("supported"),
+        ((F.size(e["local"]) > 0) & F.forall(e["local"], lambda s: F.arrays_overlap(s["cites"], e["numbers"]))).alias("cited"))))
+    place = lambda n: F.coalesce(n.try_cast("int"), F.lit(2**31 - 1))
+    ids = F.transform("injected", lambda d: d["document_id"])
+    at = F.filter(F.transform("cites", lambda n: F.get("injected", place(n) - 1)["document_id"]), lambda x: x.isNotNull())
+    count = lambda name: F.size(F.filter("each", lambda e: e[name]))
+    scored = judged.select(
+        "case_id", "behaves", F.size("facts").alias("facts_total"), count("present").alias("present"), count("supported").alias("supported"), count("cited").alias("cited"),
+        F.size(F.filter("cites", lambda n: place(n) > F.size("injected"))).alias("unknown"), F.size(F.array_intersect("forbidden", at)).alias("forbidden_cited"),
+        F.size(F.array_intersect("forbidden", ids)).alias("forbidden_shown"), F.size(F.array_except("required", ids)).alias("required_missing"),
+    )
+    good = F.expr("behaves AND cited = facts_total AND supported = facts_total AND unknown + forbidden_cited + forbidden_shown + required_missing = 0")
+    return scored.withColumn("passed", good).drop("behaves")

@@ -56,10 +56,16 @@ def outcomes(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count_if(F.expr("delta > 0")).alias("improved"), F.count_if(F.expr("delta = 0")).alias("tied"), F.count_if(F.expr("delta < 0")).alias("regressed"))
 
 
+def _drawn(seed: int) -> Column:
+    """A number of 32 bits from the seed, the resample and the draw."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "resample", "draw")), 1, 8), 16, 10).cast("long")
+
+
 def bootstrap(values: DataFrame, value: str, family: str, resamples: int, seed: int) -> DataFrame:
     """Cluster bootstrap of a mean: families are drawn with replacement by a seeded hash; low and high bounds of 95 %.
 
-    Only (family, sum, n) rows take part, once for each resample and draw.
+    Only (family, sum, n) rows take part, once for each resample and draw. The bounds are the means at places 2.5 % and
+    97.5 % of the sorted ones, of 4,000 the 100th and the 3,900th.
     """
     families = values.groupBy(family).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     numbered = families.withColumn("i", F.row_number().over(Window.orderBy(family)) - 1)
@@ -67,7 +73,7 @@ def bootstrap(values: DataFrame, value: str, family: str, resamples: int, seed:
     spark = values.sparkSession
     draws = spark.range(resamples).withColumnRenamed("id", "resample").crossJoin(F.broadcast(count))
     draws = draws.select("resample", "families", F.explode(F.sequence(F.lit(1).cast("long"), F.col("families"))).alias("draw"))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "resample", "draw"), "families"))
+    draws = draws.withColumn("i", _drawn(seed) % F.col("families"))
     means = draws.join(F.broadcast(numbered), "i").groupBy("resample").agg((F.sum("s") / F.sum("n")).alias("mean"))
     return means.agg(nearest_rank("mean", 2.5).alias("low"), nearest_rank("mean", 97.5).alias("high"))
 
@@ -79,3 +85,19 @@ def regressions(baseline: DataFrame, current: DataFrame) -> DataFrame:
         failed(current).join(failed(baseline), "case_id", "left_anti").withColumn("change", F.lit("newly_failed"))
         .unionByName(failed(baseline).join(failed(current), "case_id", "left_anti").withColumn("change", F.lit("fixed")))
     )
+
+
+def ratio_bounds(ratios: DataFrame, group: str, key: str, ratio: str, resamples: int = 2000, seed: int = 1749, least: int = 3) -> DataFrame:
+    """Per group: pairs, the median ratio and 95 % bounds of the medians of resamples drawn by a seeded hash.
+
+    Bounds are null for fewer than ``least`` pairs. The trials of a group are numbered by key and sent to all draws, so
+    this is for trials, some hundreds a group.
+    """
+    order = Window.partitionBy(group).orderBy(key)
+    numbered = ratios.where(F.col(ratio).isNotNull()).select(group, F.col(ratio).alias("r"), (F.row_number().over(order) - 1).cast("long").alias("i"))
+    sizes = numbered.groupBy(group).agg(F.count("*").alias("pairs"), linear("r", 50).alias("ratio"))
+    draws = sizes.where(F.col("pairs") >= least).select(group, "pairs", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    draws = draws.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pairs")))).withColumn("i", _drawn(seed) % F.col("pairs"))
+    medians = draws.join(numbered, [group, "i"]).groupBy(group, "resample").agg(linear("r", 50).alias("m"))
+    bounds = medians.groupBy(group).agg(nearest_rank("m", 2.5).alias("low"), nearest_rank("m", 97.5).alias("high"))
+    return sizes.join(bounds, group, "left")

@@ -190,10 +190,13 @@ def family_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("family").agg(F.round(F.avg("delta"), 9).alias("delta"), F.count("*").alias("questions"))
 
 
-@query()
+@query(f"""WITH {A.CHUNKS}, {A.QUERIES}, {A.fusion()}, {A.GOLD}{_METHODS}, f AS (SELECT h.family, sum(h.mrr - v.mrr) AS s, count(*) AS n FROM r h JOIN r v ON h.query_id = v.query_id AND h.method = 'hybrid' AND v.method = 'vector' GROUP BY h.family),
+b AS (SELECT row_number() OVER (ORDER BY family) - 1 AS i, s, n FROM f), c AS (SELECT count(*) AS families FROM f),
+d AS (SELECT resample, ('0x' || substr(md5('7301:' || resample || ':' || draw), 1, 8))::BIGINT % families AS i FROM c, (SELECT unnest(range(4000)) AS resample), (SELECT unnest(range(1, 101)) AS draw) WHERE draw <= families),
+m AS (SELECT resample, sum(s) / sum(n) AS mean FROM d JOIN b USING (i) GROUP BY resample) SELECT round(quantile_disc(mean, 0.025), 9) AS low, round(quantile_disc(mean, 0.975), 9) AS high FROM m""")
 def family_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = M.paired(_methods(spark, sf_dir), ["query_id", "family"], "method", "mrr", "vector", "hybrid")
-    return M.bootstrap(pairs, "delta", "family", 4000, 7301)
+    return M.bootstrap(pairs, "delta", "family", 4000, 7301).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query(f"""WITH {A.CHUNKS}, {A.QUERIES}, {A.fusion()}, {A.GOLD}{_METHODS}
