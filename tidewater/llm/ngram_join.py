@@ -130,14 +130,11 @@ def _place(size: str, need: str, pos: str):
     return F.shiftleft(F.shiftleft(F.col(size).cast("long"), _NEED_BITS).bitwiseOR(F.col(need)), _POS_BITS).bitwiseOR(F.col(pos))
 
 
-def _unplaced(place: str) -> list:
-    """The columns size, need and pos of ``_place``."""
+def _unplaced(rows: DataFrame, side: str, place: str = "place") -> DataFrame:
+    """The rows with the columns n, m and p of a side (size, need and position) in place of a ``_place``."""
     low = lambda column, bits: column.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    return [
-        F.shiftright(place, _NEED_BITS + _POS_BITS).cast("int").alias("size"),
-        low(F.shiftright(place, _POS_BITS), _NEED_BITS).alias("need"),
-        low(F.col(place), _POS_BITS).alias("pos"),
-    ]
+    found = {f"n{side}": F.shiftright(place, _NEED_BITS + _POS_BITS).cast("int"), f"m{side}": low(F.shiftright(place, _POS_BITS), _NEED_BITS), f"p{side}": low(F.col(place), _POS_BITS)}
+    return rows.withColumns(found).drop(place)
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -189,16 +186,18 @@ def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     share = percent / (100 + percent)
     # a wider class adds few pairs at its ends, and far fewer copies of each posting
     tier = lambda size: F.floor(F.log(size) / np.log(1.1))
+    named = lambda rows, x, *more: rows.select("token", *more, F.col("doc_id").alias(x), F.col("root").alias(f"r{x}"), F.col("place").alias(f"place{x}"))
+    sized = _unplaced(placed.withColumn("at", F.col("place")), "x", "at")
+    rest = F.col("nx") - F.col("px") + F.col("mx") - 1
     # T >= 2 * share * size for the smaller set
-    left = placed.where(F.col("size") - F.col("pos") + F.col("need") - 1 >= F.ceil(F.col("size") * (2 * share) - 1e-6))
-    left = left.select("token", tier(F.col("size")).alias("tier"), *(F.col(x).alias(y) for x, y in (("doc_id", "a"), ("size", "na"), ("need", "ma"), ("pos", "pa"), ("root", "ra"))))
-    most = F.least(F.floor((F.col("size") - F.col("pos") + F.col("need") - 1) / share + 1e-6) - F.col("size"), F.col("size"))
-    least = F.ceil(F.col("size") * (percent / 100) - 1e-6)
-    right = placed.withColumn("most", most).where(F.col("most") >= least)
-    right = right.select("token", F.explode(F.sequence(tier(least), tier(F.col("most")))).alias("tier"), *(F.col(x).alias(y) for x, y in (("doc_id", "b"), ("size", "nb"), ("need", "mb"), ("pos", "pb"), ("root", "rb"), ("most", "most"))))
+    left = named(sized.where(rest >= F.ceil(F.col("nx") * (2 * share) - 1e-6)), "a", tier(F.col("nx")).alias("tier"))
+    most = F.least(F.floor(rest / share + 1e-6) - F.col("nx"), F.col("nx"))
+    least = F.ceil(F.col("nx") * (percent / 100) - 1e-6)
+    right = named(sized.withColumn("most", most).where(F.col("most") >= least), "b", F.explode(F.sequence(tier(least), tier(F.col("most")))).alias("tier"))
     once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     fits = once & (F.col("ra") != F.col("rb")) & _possible(percent)
-    return left.join(right, ["token", "tier"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("ma", "mb")).alias("need")).where("n >= need").select("a", "b")
+    met = _unplaced(_unplaced(left.join(right, ["token", "tier"]), "a", "placea"), "b", "placeb")
+    return met.where(fits).groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("ma", "mb")).alias("need")).where("n >= need").select("a", "b")
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
@@ -218,18 +217,19 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKE
     # keys of more than one posting, counted partly before the shuffle; postings go to their keys as two longs
     prefixes = written(_postings(firsts, prefix, k), "prefixes")
     shared = prefixes.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    packed = prefixes.select("token", "doc_id", _place("size", "need", "pos").alias("place")).join(shared.hint("merge"), "token")
-    postings = written(packed.select("token", "doc_id", *_unplaced("place")), "postings")
+    packed = prefixes.select("token", "doc_id", _place("size", "need", "pos").alias("place"))
+    postings = written(packed.join(shared.hint("merge"), "token"), "postings")
     discard(prefixes, settled)
     open_ids = postings.select("doc_id").distinct()
     signatures = written(base.select("doc_id", F.col("n_shingles").alias("size"), "signature").join(open_ids, "doc_id", "left_semi"), "signatures")
 
     # the most central document of a token: most of its prefix is shared
     central = postings.groupBy("doc_id").agg(F.count("*").alias("degree"))
-    hub = postings.join(central, "doc_id").groupBy("token").agg(F.max(F.struct("degree", -F.col("doc_id"), "size", "need", "pos")).alias("hub"))
-    hub = hub.select("token", (-F.col("hub.col2")).alias("a"), *(F.col(f"hub.{x}").alias(y) for x, y in (("size", "na"), ("need", "ma"), ("pos", "pa"))))
-    star = postings.select("token", *(F.col(x).alias(y) for x, y in (("doc_id", "b"), ("size", "nb"), ("need", "mb"), ("pos", "pb")))).join(hub, "token")
-    star = star.where("a <> b").where(_possible(percent)).groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("ma", "mb")).alias("need"))
+    hub = postings.join(central, "doc_id").groupBy("token").agg(F.max(F.struct("degree", -F.col("doc_id"), "place")).alias("hub"))
+    hub = hub.select("token", (-F.col("hub.col2")).alias("a"), F.col("hub.place").alias("placea"))
+    star = postings.select("token", F.col("doc_id").alias("b"), F.col("place").alias("placeb")).join(hub, "token").where("a <> b")
+    star = _unplaced(_unplaced(star, "a", "placea"), "b", "placeb")
+    star = star.where(_possible(percent)).groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("ma", "mb")).alias("need"))
     # pairs that share fewer keys of this hub than their prefixes ask for wait for the open pairs, where all keys count
     star = written(star.where("n >= need"), "star")
 
