@@ -23,6 +23,18 @@ def snapshot_hash(files: DataFrame, commit: str) -> DataFrame:
     return files.agg(F.sha2(F.concat(F.lit('{"commit":"' + commit + '","files":{'), listed, F.lit("}}")), 256).alias("snapshot_hash"))
 
 
+def verified(files: DataFrame) -> DataFrame:
+    """commit, files, broken (files whose bytes have another hash) and ok of each export: all its files and its whole hash are right.
+
+    Exports are small by their limits, so the paths of one fit into one row.
+    """
+    entry = F.concat(F.lit('"'), "path", F.lit('":"'), "sha256", F.lit('"'))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", entry.alias("entry")))), lambda x: x["entry"]), ",")
+    stated = F.sha2(F.concat(F.lit('{"commit":"'), "commit", F.lit('","files":{'), "listed", F.lit("}}")), 256)
+    found = files.groupBy("commit", "snapshot_hash").agg(listed.alias("listed"), F.count("*").alias("files"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("broken"))
+    return found.select("commit", "files", "broken", F.coalesce((F.col("broken") == 0) & (stated == F.col("snapshot_hash")), F.lit(False)).alias("ok"))
+
+
 def violations(files: DataFrame) -> DataFrame:
     """Limits that a snapshot breaks: rule and value."""
     total = files.agg(F.count("*").alias("files"), F.max(F.length("content")).alias("largest"), F.sum(F.length("content")).alias("bytes"), (F.count("*") - F.count_distinct("path")).alias("repeated"))
