@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, language, line_dedup, ngram_join, packing, pii, quality, substring_dedup, token_files, urls
+from tidewater.llm import decontaminate, hard_negatives, language, line_dedup, mixing, ngram_join, packing, pii, quality, substring_dedup, token_files, urls, whitening
 from tidewater.llm.store import importable, new_path
 from tidewater.llm.tokens import vocabulary
 
@@ -77,14 +77,45 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_digest(line_dedup.passages(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is moved by one first, so that neighbours of other labels exist."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH rows AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positive AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS place FROM scored WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY n.score DESC, n.other)::INT AS rank, n.other AS negative_id, p.positive_score, n.score AS negative_score
+FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
     every = (
         op1_ngram_join, op2_decontamination, op3_quality_rules, op4_best_fit_packing, op5_substring_dedup, op6_pii,
         op7_language_id, op8_url_filter, op9_token_files, op10_line_dedup, op10_passage_dedup,
+        op11_hard_negatives, op12_whitening, op13_mixing,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB statements of the queries that SQL can express."""
-    return {"op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op10_line_dedup": line_dedup.ORACLE_SQL, "op11_hard_negatives": OP11_SQL}
