@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.text import tokens
 from tidewater.operators.retrieval import Config
 
 TODAY = 20240101
@@ -53,6 +54,16 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(F.broadcast(items), F.contains(docs["text"], F.col("passage"))).select("query_id", F.col("doc_id").alias("chunk_id"))
 
 
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, scope (language) and vector of each document with words: signed counts of hashed words in 64 places."""
+    words = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("word"))
+    hashed = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 4), 16, 10).cast("long")
+    counts = words.withColumn("h", hashed).groupBy("doc_id", "lang", (F.col("h") % 64).cast("int").alias("at")).agg(F.sum(F.when(F.col("h") % 128 < 64, 1.0).otherwise(-1.0)).alias("value"))
+    held = F.map_from_entries(F.collect_list(F.struct("at", "value")))
+    found = counts.groupBy("doc_id", "lang").agg(held.alias("held"))
+    return found.select(F.col("doc_id").alias("id"), F.col("lang").alias("scope"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("held", i), F.lit(0.0))).alias("vector"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     rated = F.pmod(F.col("conv_id") * 31 + F.col("turn"), F.lit(4))
@@ -147,6 +158,14 @@ final AS (
 
 GOLD = """
 gold AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
+TEXT_VECTORS = """
+hashed AS (
+  SELECT doc_id, lang, ('0x' || substr(md5(word), 1, 4))::BIGINT AS h FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS word FROM documents)
+), places AS (SELECT doc_id, lang, h % 64 AS place, sum(CASE WHEN h % 128 < 64 THEN 1.0 ELSE -1.0 END)::DOUBLE AS value FROM hashed GROUP BY ALL
+), text_vectors AS MATERIALIZED (
+  SELECT doc_id AS id, any_value(lang) AS scope, list_transform(range(64), lambda i: coalesce(list_sum(list_filter(list_zip(list(place), list(value)), lambda x: x[1] = i).list_transform(lambda x: x[2])), 0)::DOUBLE) AS vector
+  FROM places GROUP BY doc_id
+)"""
 MESSAGES = """
 messages AS (
   SELECT conv_id * 100 + turn AS id, conv_id AS conversation_id, turn AS seq, role, text AS content,
