@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import tokens
+from tidewater.operators import lexical_index as L
 
 QUERY_BLOCK = 1024
 
@@ -61,37 +61,6 @@ def readable() -> Column:
     return F.col("access").isNull() | (F.col("access") == "employee")
 
 
-def term_stats(chunks: DataFrame, epsilon: float = 0.25) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings chunk_id term tf dl, totals n avgdl, terms term df idf) over all chunks.
-
-    The text is split once; the shuffle of the postings serves the counts, the totals and the scores alike.
-    """
-    tokenized = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
-    exploded = tokenized.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    postings = exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    n = chunks.agg(F.count("*").alias("n"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all_tf"))
-    words = df.agg(F.sum("all_tf").alias("words"))
-    totals = n.crossJoin(F.broadcast(words)).select("n", (F.coalesce("words", F.lit(0)) / F.col("n")).alias("avgdl"))
-    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.agg((epsilon * F.avg("raw")).alias("floor"))
-    terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return postings, totals, terms
-
-
-def bm25_scores(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
-    """query_id, chunk_id, score (6 digits) of all pairs that share a term; a repeated query term counts repeatedly."""
-    postings, totals, terms = term_stats(chunks, config.epsilon)
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    weighted = asked.join(terms, "term").select("query_id", "term", (F.col("qn") * F.col("idf")).alias("weight"))
-    norm = F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl"))
-    part = F.col("weight") * F.col("tf") * (config.k1 + 1) / norm
-    return (
-        postings.join(weighted, "term").crossJoin(F.broadcast(totals))
-        .groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    )
-
-
 def _blocks(queries: DataFrame) -> Iterator[list]:
     block = []
     for row in queries.orderBy("query_id").toLocalIterator():
@@ -147,10 +116,13 @@ def vector_route(queries: DataFrame, chunks: DataFrame, config: Config) -> DataF
     return ranked(kept, ["query_id"], [F.desc("score"), F.col("chunk_id")]).select("query_id", "chunk_id", "score", "rank")
 
 
-def lexical_route(queries: DataFrame, chunks: DataFrame, config: Config, scores: DataFrame | None = None) -> DataFrame:
+def indexed(chunks: DataFrame, config: Config) -> L.LexicalIndex:
+    return L.build(chunks, config.k1, config.b, config.epsilon)
+
+
+def lexical_route(queries: DataFrame, chunks: DataFrame, config: Config, index: L.LexicalIndex | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank of the lexical route: best 2 * recall, filter, best recall."""
-    scores = bm25_scores(queries, chunks, config) if scores is None else scores
-    best = ranked(scores, ["query_id"], [F.desc("score"), F.col("chunk_id")], "first", 2 * config.recall)
+    best = L.topk(index or indexed(chunks, config), queries, 2 * config.recall)
     meta = chunks.select("chunk_id", "access", "status", "chunk_type", "valid_to", F.col("scenario").alias("theirs"))
     asked = queries.select("query_id", "scenario")
     kept = best.join(meta, "chunk_id").join(F.broadcast(asked), "query_id").where(usable_by_terms(config.today) & (F.col("scenario").isNull() | (F.col("scenario") == F.col("theirs"))))
@@ -192,10 +164,10 @@ def served(chunks: DataFrame, denied: DataFrame) -> DataFrame:
     return allowed(chunks, chunks, denied)
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, denied: DataFrame, config: Config) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, denied: DataFrame, config: Config, index: L.LexicalIndex | None = None) -> DataFrame:
     """The whole plan: both routes without denied documents, fusion, cap, and the deny list once more. A query without a vector has the lexical route alone."""
     seen = served(chunks, denied)
-    lexical = lexical_route(queries, seen, config, bm25_scores(queries, chunks, config))
+    lexical = lexical_route(queries, seen, config, index or indexed(chunks, config))
     hits = fused(vector_route(queries, seen, config), lexical, config)
     return allowed(capped(hits, chunks, config), chunks, denied)
 

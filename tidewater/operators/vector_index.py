@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.storage import SMALL_ROWS, new_path, written
+from tidewater.storage import SMALL_ROWS, importable, new_path, written
 
 #: Bounds: rows that centroids are fitted on, rows of a block, queries of a panel, angles of a ring (radians).
 SAMPLE_ROWS, BLOCK_ROWS, PANEL_ROWS, RING = 16384, 2048, 256, 0.05
@@ -88,6 +88,7 @@ def spherical_means(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
 def build(rows: DataFrame, lists: int | None = None, path: str | None = None, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> Index:
     """Index of rows (id long, vector array, optionally scope string and copies long); about the root of their number of lists."""
     spark = rows.sparkSession
+    importable(spark)
     path = path or new_path(spark, "vector-index")
     for name, default in (("scope", F.lit(None).cast("string")), ("copies", F.lit(1).cast("long"))):
         rows = rows if name in rows.columns else rows.withColumn(name, default)
@@ -166,6 +167,7 @@ def _probed(index: Index, queries: DataFrame, probes: int | None) -> DataFrame:
 def _scored(index: Index, queries: DataFrame, probes: int | None, pick: Callable, kinds: str) -> DataFrame:
     """``pick`` (query ids, scores, ids, copies, list) over every product of a block with a panel of its queries."""
     spark = queries.sparkSession
+    importable(spark)
     blocks = index.blocks(spark)
     meta = blocks.select("block", F.col("list").alias("of"), F.col("scope").alias("theirs"), "lo", "hi")
     probed = _probed(index, queries, probes)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import tokens
+from tidewater.operators import lexical_index as L
 from tidewater.operators.retrieval import Config
 
 TODAY = 20240101
@@ -36,6 +37,26 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple, L.LexicalIndex] = {}
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> L.LexicalIndex:
+    """The lexical index of ``documents``: built once for a version of its files (names, lengths and times), as long as it is there."""
+    docs = table(spark, sf_dir, "documents")
+    file_system = lambda path: path.getFileSystem(spark._jsc.hadoopConfiguration())
+    version = []
+    for name in sorted(docs.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = file_system(path).getFileStatus(path)
+        version.append((name, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, CONFIG.k1, CONFIG.b, CONFIG.epsilon, *version)
+    found = _INDEXES.get(key)
+    path = found and spark._jvm.org.apache.hadoop.fs.Path(found.postings_path)
+    if not found or not file_system(path).exists(path):
+        found = _INDEXES[key] = L.build(docs.select(F.col("doc_id").alias("chunk_id"), "text"), CONFIG.k1, CONFIG.b, CONFIG.epsilon)
+    return found
+
+
 def denied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
 from tidewater.functions import vectors as V
+from tidewater.operators import lexical_index as L
 from tidewater.operators import metrics as M
 from tidewater.operators import retrieval as R
+from tidewater.operators import vector_index as I
 from tidewater.plans import adapt as A
 
 Q, SQL = {}, {}
@@ -30,13 +32,13 @@ def _inputs(spark: SparkSession, sf_dir: str, scenario: bool = False):
 
 @query(f"WITH {A.CHUNKS}, {A.TERMS} SELECT term, df, round(idf, 9) AS idf FROM idf")
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.term_stats(A.chunks(spark, sf_dir))[2].select("term", "df", F.round("idf", 9).alias("idf"))
+    return A.lexical(spark, sf_dir).terms(spark).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {A.CHUNKS}, {A.QUERIES}, {A.BM25} SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25 QUALIFY rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = _inputs(spark, sf_dir)
-    return R.ranked(R.bm25_scores(q, c, A.CONFIG), ["query_id"], [F.desc("score"), F.col("chunk_id")], most=10)
+    best = L.topk(A.lexical(spark, sf_dir), A.queries(spark, sf_dir), 10)
+    return R.ranked(best, ["query_id"], [F.desc("score"), F.col("chunk_id")])
 
 
 @query(f"""WITH {A.CHUNKS}, {A.QUERIES}, s AS (SELECT query_id, chunk_id, round(list_cosine_similarity(vector::DOUBLE[], embedding::DOUBLE[]), 4) AS score FROM asked, chunks WHERE vector IS NOT NULL AND embedding IS NOT NULL)
@@ -53,7 +55,7 @@ def vector_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {A.CHUNKS}, {A.SCOPED}, {A.ROUTES} SELECT query_id, chunk_id, score, rank FROM bm25_route")
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lexical_route(*_inputs(spark, sf_dir, True), A.CONFIG)
+    return R.lexical_route(*_inputs(spark, sf_dir, True), A.CONFIG, A.lexical(spark, sf_dir))
 
 
 @query(f"""WITH {A.CHUNKS}, {A.QUERIES}, {A.ROUTES}, s AS (SELECT v.*, row_number() OVER (PARTITION BY v.query_id, coalesce(c.source_url, c.chunk_id::VARCHAR) ORDER BY v.rank) AS nth FROM vector_route v JOIN chunks c USING (chunk_id))
@@ -65,7 +67,7 @@ def vector_only_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fused(spark, sf_dir, config=A.CONFIG):
     q, c = _inputs(spark, sf_dir)
-    return R.fused(R.vector_route(q, c, config), R.lexical_route(q, c, config), config), c
+    return R.fused(R.vector_route(q, c, config), R.lexical_route(q, c, config, A.lexical(spark, sf_dir)), config), c
 
 
 @query(f"WITH {A.CHUNKS}, {A.QUERIES}, {A.fusion()} SELECT query_id, chunk_id, fused, score, routes, rank FROM fused")
@@ -89,14 +91,14 @@ def hybrid_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {A.CHUNKS}, {A.QUERIES}, {A.fusion(deny=True)} SELECT query_id, chunk_id, fused, final_rank FROM final WHERE NOT denied")
 def deny_filtered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _inputs(spark, sf_dir)
-    return R.hybrid(q, c, A.denied(spark, sf_dir), A.CONFIG).select("query_id", "chunk_id", "fused", "final_rank")
+    return R.hybrid(q, c, A.denied(spark, sf_dir), A.CONFIG, A.lexical(spark, sf_dir)).select("query_id", "chunk_id", "fused", "final_rank")
 
 
 @query(f"""WITH {A.CHUNKS}, {A.QUERIES}, {A.fusion(deny=True)} SELECT f.query_id, f.chunk_id, f.final_rank, f.parent_id, sha256(p.text) AS parent_sha256
 FROM final f LEFT JOIN chunks p ON p.chunk_id = f.parent_id AND p.chunk_type = 'parent' AND (p.access IS NULL OR p.access = 'employee') AND NOT p.denied WHERE NOT f.denied""")
 def hybrid_parent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _inputs(spark, sf_dir)
-    hits = R.hybrid(q, c, A.denied(spark, sf_dir), A.CONFIG).select("query_id", "chunk_id", "final_rank")
+    hits = R.hybrid(q, c, A.denied(spark, sf_dir), A.CONFIG, A.lexical(spark, sf_dir)).select("query_id", "chunk_id", "final_rank")
     return R.with_parents(hits, R.served(c, A.denied(spark, sf_dir))).select("query_id", "chunk_id", "final_rank", "parent_id", F.sha2("parent_text", 256).alias("parent_sha256"))
 
 
@@ -104,7 +106,7 @@ def hybrid_parent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, chunk_id, collection, place, row_number() OVER (PARTITION BY query_id ORDER BY collection, place) AS rank FROM best""")
 def hybrid_multi_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _inputs(spark, sf_dir)
-    scores = R.bm25_scores(q, c, A.CONFIG).join(c.select("chunk_id", "collection"), "chunk_id")
+    scores = L.scores(A.lexical(spark, sf_dir), q).join(c.select("chunk_id", "collection"), "chunk_id")
     best = R.ranked(scores, ["query_id", "collection"], [F.desc("score"), F.col("chunk_id")], "place", 5)
     return R.concatenated(best, [F.col("collection"), F.col("place")]).select("query_id", "chunk_id", "collection", "place", "rank")
 
@@ -117,7 +119,7 @@ def retrieval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stages(spark, sf_dir):
     q, c = _inputs(spark, sf_dir)
-    vector, lexical = R.vector_route(q, c, A.CONFIG), R.lexical_route(q, c, A.CONFIG)
+    vector, lexical = R.vector_route(q, c, A.CONFIG), R.lexical_route(q, c, A.CONFIG, A.lexical(spark, sf_dir))
     hits = R.fused(vector, lexical, A.CONFIG)
     final = R.allowed(R.capped(hits, c, A.CONFIG), c, A.denied(spark, sf_dir))
     frames = [x.select("query_id", "chunk_id", F.lit(n).alias("stage")) for n, x in (("vector", vector), ("bm25", lexical), ("fused", hits), ("final", final))]
@@ -167,7 +169,7 @@ r AS (SELECT m.method, g.query_id, g.query_id % 5 AS family, g.query_id % 2 = 0
 
 def _methods(spark, sf_dir):
     q, c = _inputs(spark, sf_dir)
-    vector, lexical = R.vector_route(q, c, A.CONFIG), R.lexical_route(q, c, A.CONFIG)
+    vector, lexical = R.vector_route(q, c, A.CONFIG), R.lexical_route(q, c, A.CONFIG, A.lexical(spark, sf_dir))
     hits = [(n, x.select("query_id", "chunk_id", "rank")) for n, x in (("vector", vector), ("bm25", lexical), ("hybrid", R.fused(vector, lexical, A.CONFIG)))]
     gold = A.gold(spark, sf_dir)
     rows = None
@@ -233,11 +235,10 @@ def evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
 SELECT vec_id, other, score FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) = 1""")
 def nearest_same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = A.table(spark, sf_dir, "embeddings")
-    items = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("scenario"), "embedding")
-    asked = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("scenario"))
-    best = R.vector_scores(asked, items, 2).where("query_id <> chunk_id")
-    return R.ranked(best, ["query_id"], [F.desc("score"), F.col("chunk_id")], "nth", 1).select(F.col("query_id").alias("vec_id"), F.col("chunk_id").alias("other"), "score")
+    """The index answers all rows as queries: they travel to its blocks in panels, none through the driver."""
+    items = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("scope"), F.col("embedding").alias("vector"))
+    best = I.search(I.build(items), items.where("scope is not null").withColumnRenamed("id", "query_id"), 2).where("query_id <> id")
+    return R.ranked(best, ["query_id"], [F.desc("score"), F.col("id")], "nth", 1).select(F.col("query_id").alias("vec_id"), F.col("id").alias("other"), "score")
 
 
 @query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AS finite, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS own FROM embeddings")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not installed (a checkout run by its path); call it before a plan takes a Python function."""
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, environment.get("PYTHONPATH", "")) if x)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a small input has fewer parts than there are cores; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
 
