@@ -131,8 +131,9 @@ def line_dedup(rows, run=3):
     return {d: (len(at), len(gone[d]), None if t is None else "\n".join(x for i, x in enumerate(every) if i not in gone[d])) for d, (t, every, at) in texts.items()}
 
 
-def kneser_ney(texts, order=5):
-    """{n-gram: (probability, the same without its own share if it is there once)}, from strings alone."""
+def kneser_ney(texts, order=5, parts=False):
+    """{n-gram: (probability, the same without its own share if it is there once)}, from strings alone; with ``parts`` the
+    n-gram's count, what its occurrences give, and what the lower orders give, for the highest order."""
     levels = [Counter("".join(x) for t in texts for x in zip(*(("\n" * (order - 1) + t)[i:] for i in range(order)), strict=False))]
     for _ in range(order - 1):
         levels.append(Counter(g[1:] for g in levels[-1]))
@@ -152,7 +153,7 @@ def kneser_ney(texts, order=5):
             c = g[:-1]
             lower = below[g[1:]] if k > 1 else (1 / (kinds[c] + 1),) * 2
             own, rest = (n - cut[g]) / total[c], left[c] / total[c]
-            now[g] = own + rest * lower[0], (own if n > 1 else 0) + rest * lower[1]
+            now[g] = (n, own, rest * lower[1]) if parts and k == order else (own + rest * lower[0], (own if n > 1 else 0) + rest * lower[1])
         below = now
     return below
 
@@ -162,11 +163,13 @@ def quality_kept(rows, above, below, least, order=5, per=500):
     score, base = {}, {}
     for lang in {r[2] for r in rows}:
         mine = [(d, t) for d, t, x in rows if x == lang]
-        model = kneser_ney([t.lower() for _, t in mine if t], order)
+        model = kneser_ney([t.lower() for _, t in mine if t], order, parts=True)
         for d, t in mine:
             base[d] = base_counts(t)
             padded = "\n" * (order - 1) + (t or "").lower()
-            score[d] = -sum(math.log(model[padded[i : i + order]][1]) for i in range(len(padded) - order + 1)) / base[d][0] if t and base[d][0] else None
+            grams = Counter(padded[i : i + order] for i in range(len(padded) - order + 1))
+            part = lambda g, m: model[g][1] * max(model[g][0] - m - 0.75, 0) / (model[g][0] - 0.75) + model[g][2]  # noqa: E731  without the text's own m
+            score[d] = -sum(m * math.log(part(g, m)) for g, m in grams.items()) / base[d][0] if t and base[d][0] else None
     found = {}
     for lang in {r[2] for r in rows}:
         ids = [d for d, _, x in rows if x == lang]

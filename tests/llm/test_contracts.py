@@ -111,6 +111,27 @@ def test_quality_rejects_junk(spark, docs):
     assert len([d for d, _, _ in planted if kept[d]]) <= 1
 
 
+def test_no_text_vouches_for_itself(spark, docs):
+    """Texts of made-up words, each four times in mixed order, go as those go that have each word once."""
+    rng = np.random.default_rng(12)
+    planted = []
+    for i in range(20):
+        words = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(60)] * (4 if i % 2 else 1)
+        planted.append((10**6 + i, " ".join(rng.permutation(words)), "en"))
+    table = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string"))
+    found = {r["doc_id"]: r for r in quality.judge(table).collect()}
+    assert not any(found[d]["base_failed"] or found[d]["kept"] for d, _, _ in planted)
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    names = ["__lang", "__n_words", "__least", "__most", "__kept", "__sum", "__text", "c0", "c1", "__log_ppl", "__base_failed", "n"]
+    rows = [(i, " ".join(f"word{j} of{i}" for j in range(60)), "en", *range(len(names))) for i in range(8)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "lang string", *(f"`{x}` int" for x in names)]))
+    for table in (df, df.where("doc_id < 0")):
+        assert sorted(map(tuple, quality.kept(table).collect())) == sorted(map(tuple, table.collect()))
+        assert quality.judge(table).count() == table.count()
+
+
 def test_packing(docs, odd):
     tokenizer = Tokenizer.from_file(vocabulary())
     for df, rows in both(docs, odd):

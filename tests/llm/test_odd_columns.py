@@ -19,3 +19,11 @@ def test_leaks_go_whatever_the_id(spark):
     left = [(r["doc_id"], r["text"]) for r in decontaminate.clean(df, benchmark).collect()]
     assert sorted(left, key=repr) == sorted([(7, "clean words"), (8, None), (None, "")], key=repr)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, benchmark).collect()} == {(None, 1), (7, 1)}
+
+
+def test_stages_keep_columns_of_the_counts_names(spark):
+    df = spark.createDataFrame([(1, LINES, 5, 6), (2, LINES + "\nmore words", 5, 6), (3, None, 5, 6), (None, "", 5, 6), (4, LINES, 7, 8)], "doc_id long, text string, __lines int, __removed int")
+    left = line_dedup.deduplicated(df)
+    assert left.columns == df.columns
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([(1, LINES, 5, 6), (2, "more words", 5, 6), (3, None, 5, 6), (None, "", 5, 6)], key=repr)
+    assert line_dedup.deduplicated(df.where("false")).collect() == []

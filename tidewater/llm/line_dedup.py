@@ -9,7 +9,7 @@ then position). Windows that are not at their first place are repeated; overlapp
 lines are deleted. The first place of a line always stays.
 
 Edge cases: a null text has no lines and stays null; texts without a window lose nothing; lines are compared as they
-are, case and spaces included; rows that repeat doc_id and text are one document; other columns stay; an empty table
+are, case and spaces included; a null doc_id comes before all others, so it is a first place; rows that repeat doc_id and text are one document; other columns stay; an empty table
 gives an empty result.
 """
 
@@ -71,13 +71,17 @@ def repeated(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataF
     return late.groupBy("doc_id", "__text_key").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(start, start + size - 1)")))).alias("places"))
 
 
-def dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """All documents with the shortened text, and ``__lines`` and ``__removed``, the lines with words before and deleted."""
+COUNTS = ("__lines", "__removed")
+
+
+def dedup(docs: DataFrame, run: int = RUN, words: int | None = None, counts: tuple[str, str] = COUNTS) -> DataFrame:
+    """All documents with the shortened text, and under the names ``counts`` the lines with words before and deleted (columns
+    of the table that have these very names give way; ``deduplicated`` takes names that it has not)."""
     with only(docs.sparkSession, "repeated") as keep:
         found = keep(repeated(docs, run, words))
     found = found.select(F.col("doc_id").alias("id"), F.col("__text_key").alias("text_key"), "places")
     # the table's own columns go by number meanwhile, so that none of their names clashes
-    docs = docs.drop("__lines", "__removed")
+    docs = docs.drop(*counts)
     numbers = {x: f"c{i}" for i, x in enumerate(docs.columns)}
     own = docs.toDF(*numbers.values())
     doc_id, text = own[numbers["doc_id"]], own[numbers["text"]]
@@ -91,18 +95,20 @@ def dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFram
     short = F.when(F.col("places").isNotNull(), short).otherwise(text)
     return joined.select(
         *((short if x == "text" else F.col(c)).alias(x) for x, c in numbers.items()),
-        F.coalesce(F.size("worded"), F.lit(0)).cast("long").alias("__lines"), F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("__removed"),
+        F.coalesce(F.size("worded"), F.lit(0)).cast("long").alias(counts[0]), F.greatest(F.size("gone"), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def passages(docs: DataFrame, counts: tuple[str, str] = COUNTS) -> DataFrame:
     """``dedup`` of runs of RUN lines and of all shorter runs of PASSAGE_WORDS words."""
-    return dedup(docs, RUN, PASSAGE_WORDS)
+    return dedup(docs, RUN, PASSAGE_WORDS, counts)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with texts shortened by ``passages``; those that lost all their lines with words go."""
-    found = passages(docs).where("__removed = 0 or __removed < __lines").drop("__lines", "__removed")
+    free = "_" * max(map(len, docs.columns))
+    lines, removed = (f"{free}{x}" for x in COUNTS)
+    found = passages(docs, (lines, removed)).where((F.col(removed) == 0) | (F.col(removed) < F.col(lines))).drop(lines, removed)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 

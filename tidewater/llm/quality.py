@@ -6,9 +6,13 @@ aggregations alone make the discounts, the continuation counts and the interpola
 model grows with the input. Since all judged documents are counted, each of their n-grams has its probability in the
 highest order; lower orders enter through the interpolation.
 
-The model is stored as arrays of n-gram hashes in ascending order with their log-probabilities, in shards of at most
-SHARD_ENTRIES (16 MiB each in a worker for 2**20): a shard goes round as a broadcast and adds its part to each
-document's sum, in one pass over the documents for every PASS_SHARDS of them; the sums stand beside the documents in between.
+A text does not vouch for itself: what it holds of an n-gram's occurrences is taken off the count before the probability
+is taken, so an n-gram that only this text has is worth what the lower orders give, however often it is repeated there.
+
+The model is stored as arrays of n-gram hashes in ascending order with their counts and the two parts of their probability,
+in shards of at most SHARD_ENTRIES (20 MiB each in a worker for 2**20): a shard goes round as a broadcast and adds its part
+to each document's sum, in one pass over the documents for every PASS_SHARDS of them; the sums stand beside the documents in
+between, and the broadcasts are destroyed after their pass.
 
 A text's perplexity is that of its words: its characters' summed negative log-probability by the number of its words.
 Symbols that are glued to words cost a word more, texts cut up by symbols of their own less; by the character both would
@@ -19,8 +23,9 @@ deviations from the median.
 
 Edge cases: a null text has no words; an empty one no perplexity; documents whose language is null are one language;
 a language whose texts all score alike rejects nothing by perplexity; repeated doc_ids are judged row by row; an empty
-table gives an empty result; a table without ``lang`` is one language; other columns are ignored; very long texts are
-scored and counted in parts of _CHUNK characters, so a task's memory does not grow with them.
+table gives an empty result; a table without ``lang`` is one language; other columns are ignored, whatever their names, and
+``kept`` returns them as they are; very long texts are counted and scored in parts of _CHUNK characters, so a task's memory
+grows with the distinct n-grams of a text alone.
 """
 
 from __future__ import annotations
@@ -151,9 +156,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, p, others): interpolated modified Kneser-Ney probability of each n-gram's last character after the
-    others; ``others`` is the same without the own share of n-grams that are there once, so that a text does not vouch
-    for itself.
+    """(lang, gram, p, others, n, own, back): interpolated modified Kneser-Ney probability of each n-gram's last character after
+    the others; ``others`` is the same without the own share of n-grams that are there once. p is the sum of ``own``, what
+    the n occurrences give, and of the lower orders' part; ``back`` is that part without own shares.
 
     The highest order uses the counts, each lower one the number of distinct characters before. The lowest order is
     interpolated with the uniform distribution over the language's characters and one unseen.
@@ -179,15 +184,38 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
             table, lower = table.join(below.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lower"), F.col("others").alias("lower_others")), ["lang", "rest"]), F.col("lower")
         rest = F.col("left") / F.col("total")
         own = (F.col("n") - F.col("d")) / F.col("total")
-        others = F.when(F.col("n") > 1, own).otherwise(0.0) + rest * (lower if k == 1 else F.col("lower_others"))
-        below = table.select("lang", "gram", (own + rest * lower).alias("p"), others.alias("others"))
+        back = rest * (lower if k == 1 else F.col("lower_others"))
+        others = F.when(F.col("n") > 1, own).otherwise(0.0) + back
+        below = table.select("lang", "gram", (own + rest * lower).alias("p"), others.alias("others"), *([F.col("n"), own.alias("own"), back.alias("back")] if k == order else []))
         if k < order:
             below = written(below, "level")
     return below
 
 
+_PARTS = ("n", "own", "back")
+#: What a remaining count is lowered by before it is taken as a share of the whole one.
+DISCOUNT = 0.75
+
+
+def left_out(n: np.ndarray, own: np.ndarray, back: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """Log-probabilities of n-grams when ``mine`` of their n occurrences are not counted."""
+    return np.log(own * np.maximum(n - mine - DISCOUNT, 0.0) / (n - DISCOUNT) + back)
+
+
+def counted(text: str, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text, as hashes, and how often it has each."""
+    found, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for c in parts(points(text)):
+        h, m = np.unique(keys(c, number), return_counts=True)
+        if len(found):
+            h, place = np.unique(np.concatenate([found, h]), return_inverse=True)
+            m = np.bincount(place, np.concatenate([n, m])).astype(np.int64)
+        found, n = h, m
+    return found, n
+
+
 def _shards(probabilities: DataFrame):
-    """Arrays (hashes in ascending order, log-probabilities) of at most about SHARD_ENTRIES n-grams each, one after another."""
+    """Arrays (hashes in ascending order, counts, own and back) of at most about SHARD_ENTRIES n-grams each, one after another."""
     spark = probabilities.sparkSession
 
     def scan(batches):
@@ -195,16 +223,16 @@ def _shards(probabilities: DataFrame):
             c = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
             number = np.repeat(batch.column("number").to_numpy().view(np.uint64), ORDER)
             h = keys(c, number)[::ORDER] if len(c) else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("logp")], ["key", "logp"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(batch.column(x) for x in _PARTS)], ["key", *_PARTS])
 
-    rows = probabilities.select("gram", F.xxhash64("lang").alias("number"), F.log("others").cast("float").alias("logp"))
-    table = written(rows.mapInArrow(scan, "key long, logp float"), "model")
+    rows = probabilities.select("gram", F.xxhash64("lang").alias("number"), *(F.col(x).cast("float").alias(x) for x in _PARTS))
+    table = written(rows.mapInArrow(scan, "key long, n float, own float, back float"), "model")
     shards = -(-table.count() // SHARD_ENTRIES)
     for i in range(shards):
         got = (table.where(F.pmod(F.shiftrightunsigned("key", 8), F.lit(shards)) == i) if shards > 1 else table).toArrow()
-        h, logp = got["key"].to_numpy().view(np.uint64), got["logp"].to_numpy()
+        h = got["key"].to_numpy().view(np.uint64)
         by = np.argsort(h)
-        yield spark.sparkContext.broadcast((h[by], logp[by]))
+        yield spark.sparkContext.broadcast((h[by], *(got[x].to_numpy()[by] for x in _PARTS)))
     discard(table)
 
 
@@ -233,8 +261,8 @@ _SCORED = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa
 _SCORED_DDL = "__n_words long, __word_chars long, __n_symbols long, __n_dup_lines long, __n_repeat_words long, __base_failed boolean"
 
 
-def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns to carry, and each document's base counts, language and mean negative log-probability of a word (nats), all of these prefixed by __."""
+def scored(docs: DataFrame, carry: list[str], keep) -> DataFrame:
+    """The columns to carry as c0, c1 ..., and each document's base counts, language and mean negative log-probability of a word (nats), all of these prefixed by __. ``keep`` writes the result."""
     rows = docs.select(*(F.col(x).alias(f"c{i}") for i, x in enumerate(carry)), F.col("text").alias("__text"), _language(docs))
     rows = rows.withColumn("__lang_key", F.xxhash64("__lang"))
     probabilities = model(written(count_grams(rows.withColumnRenamed("__text", "text")), "grams"))
@@ -246,7 +274,7 @@ def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
         keep = [x for x in rows.columns if x != "__sum"]
 
         def scan(batches):
-            tables = [(Sorted(shard.value[0]), shard.value[1]) for shard in shards]
+            tables = [(Sorted(shard.value[0]), shard.value[1:]) for shard in shards]
             for batch in batches:
                 out, sums = [], []
                 earlier = [0.0] * batch.num_rows if base else batch.column("__sum").to_pylist()
@@ -255,12 +283,11 @@ def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
                     if base:
                         counts = base_counts(text)
                         out.append((*counts, counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]))
-                    for c in parts(points(text)) if text else ():
-                        h = keys(c, number)
-                        for shard in tables:
-                            find, logp = shard
-                            at, hit = find(h)
-                            sum_ -= float((logp[at] if hit.all() else logp[at[hit]]).sum(dtype=np.float64))
+                    h, mine = counted(text, number) if text else (np.empty(0, np.uint64), None)
+                    for find, values in tables if len(h) else ():
+                        at, hit = find(h)
+                        at, m = at[hit], mine[hit]
+                        sum_ -= float((m * left_out(*(x[at].astype(np.float64) for x in values), m)).sum())
                     sums.append(sum_)
                 found = [pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), _SCORED, strict=True)] if out else []
                 if batch.num_rows:
@@ -274,13 +301,17 @@ def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
         held.append(shard)
         if len(held) == PASS_SHARDS:
             last, rows = rows, written(passed(rows, held, not n_pass), "sums")
+            for x in held:
+                x.destroy()
             n_pass, held = n_pass + 1, []
             discard(last)
     if held or not n_pass:
         rows = passed(rows, held, not n_pass)
     score = F.when(F.col("__n_words") > 0, F.col("__sum") / F.col("__n_words")).alias("__log_ppl")
-    names = [F.col(c).alias(x) for c, x in zip(carried, carry, strict=True)]
-    return rows.select(*names, "__lang", *("__" + n for n, _ in _SCORED), score)
+    table = keep(rows.select(*carried, "__lang", *("__" + n for n, _ in _SCORED), score))
+    for x in held:
+        x.destroy()
+    return table
 
 
 def bands(table: DataFrame) -> DataFrame:
@@ -295,7 +326,7 @@ def bands(table: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     with only(docs.sparkSession, "scored") as keep:
-        table = keep(scored(docs, carry))
+        table = scored(docs, carry, keep)
     limits = written(bands(table), "bands")  # a row for each language
     inside = F.col("__log_ppl").between(F.col("__least"), F.col("__most"))
     return table.join(limits, "__lang", "left").withColumn("__kept", ~F.col("__base_failed") & F.coalesce(inside, F.lit(True)))
@@ -304,9 +335,10 @@ def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """Every document with its counts, base_failed, log_ppl and kept."""
     found = _judged(docs, ["doc_id"])
-    return found.select("doc_id", *(F.col(f"__{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "kept")))
+    return found.select(F.col("c0").alias("doc_id"), *(F.col(f"__{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "kept")))
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that all rules keep, with all their columns, without a shuffle of the texts."""
-    return _judged(docs, docs.columns).where("__kept").select(*docs.columns)
+    found = _judged(docs, docs.columns).where("__kept")
+    return found.select(*(F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)))
