@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.selection import running_max
 
-def feedback_summary(messages: DataFrame) -> DataFrame:
-    """total counts every role; the rate is of the rated ones, 0 without any."""
+
+def feedback_summary(messages: DataFrame, *by: str) -> DataFrame:
+    """total counts every role; the rate is of the rated ones, 0 without any. One row, or one for each value of ``by``."""
     up, down = F.count_if(F.expr("feedback = 'up'")), F.count_if(F.expr("feedback = 'down'"))
-    return messages.agg(F.count("*").alias("total"), up.alias("up"), down.alias("down"), (F.count("*") - up - down).alias("unrated")).withColumn(
+    return messages.groupBy(*by).agg(F.count("*").alias("total"), up.alias("up"), down.alias("down"), (F.count("*") - up - down).alias("unrated")).withColumn(
         "down_rate", F.when(F.col("up") + F.col("down") > 0, F.round(F.col("down") / (F.col("up") + F.col("down")), 3)).otherwise(0.0)
     )
 
@@ -18,13 +20,13 @@ def last_trace_before(messages: DataFrame, traces: DataFrame, node: str) -> Data
     """Each message (id, conversation_id, at) with the trace of highest id of a node that is not later; a left join.
 
     Messages and traces of a conversation are merged by time and the highest trace id so far is carried along, so no
-    pair of a message and a trace is ever formed.
+    pair of a message and a trace is ever formed; ``running_max`` carries it from range to range of a long conversation.
     """
     steps = traces.where(F.col("node") == node).select("conversation_id", F.col("at"), F.struct(F.col("id").alias("trace_id"), "n_sources").alias("trace"), F.lit(None).cast("long").alias("id"))
     asked = messages.select("conversation_id", "at", F.lit(None).cast(steps.schema["trace"].dataType).alias("trace"), "id")
     # at equal times traces come before messages
-    so_far = Window.partitionBy("conversation_id").orderBy("at", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = steps.unionByName(asked).withColumn("best", F.max("trace").over(so_far))
+    order = [F.col("at"), F.col("id").isNotNull(), F.coalesce("id", "trace.trace_id")]
+    merged = running_max(steps.unionByName(asked), "conversation_id", order, "trace", "best")
     return merged.where("id is not null").select("id", "conversation_id", F.col("best.trace_id").alias("trace_id"), F.col("best.n_sources").alias("n_sources"))
 
 

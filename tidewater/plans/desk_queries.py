@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import decisions as D
 from tidewater.operators import metrics as M
+from tidewater.operators import selection as N
 from tidewater.operators import service_desk as S
 from tidewater.plans import adapt as A
 
@@ -24,10 +25,9 @@ def query(sql: str | None = None):
 
 
 @query(f"""WITH {A.MESSAGES} SELECT tenant_id, count(*) AS total, count(*) FILTER (WHERE feedback = 'up') AS up, count(*) FILTER (WHERE feedback = 'down') AS down,
-count(*) FILTER (WHERE feedback IS NULL) AS unrated, round(count(*) FILTER (WHERE feedback = 'down') / count(feedback), 3) AS down_rate FROM messages WHERE tenant_id = 1 GROUP BY tenant_id""")
+count(*) FILTER (WHERE feedback IS NULL) AS unrated, round(count(*) FILTER (WHERE feedback = 'down') / count(feedback), 3) AS down_rate FROM messages GROUP BY tenant_id""")
 def feedback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.feedback_summary(A.messages(spark, sf_dir).where("tenant_id = 1"))
-    return found.select(F.lit(1).cast("long").alias("tenant_id"), "*")
+    return S.feedback_summary(A.messages(spark, sf_dir), "tenant_id")
 
 
 _ASOF = f"""WITH {A.TRACES}, m AS (SELECT event_id AS id, user_id AS conversation_id, ts AS at FROM events WHERE event_type = 'signup'),
@@ -52,9 +52,9 @@ def feedback_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id AS id, user_id, event_type AS action, props AS detail FROM events WHERE user_id % 3 = 1 ORDER BY event_id DESC LIMIT 50 OFFSET 100")
+@query("SELECT event_id AS id, user_id, event_type AS action, props AS detail FROM events ORDER BY event_id DESC LIMIT 50 OFFSET 100")
 def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.table(spark, sf_dir, "events").where("user_id % 3 = 1").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("action"), F.col("props").alias("detail"))
+    rows = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("action"), F.col("props").alias("detail"))
     return S.page(rows, 50, 100)
 
 
@@ -150,15 +150,10 @@ def step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN count(*) >= 200 THEN round(quantile_cont(elapsed_ms, 0.95), 6) END AS linear_p95, round(median(elapsed_ms), 6) AS median,
 round(list_sort(list(elapsed_ms))[(floor((count(*) - 1) * 0.9))::INT + 1], 2) AS floor_p90 FROM traces WHERE elapsed_ms IS NOT NULL GROUP BY node""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = A.traces(spark, sf_dir).where("elapsed_ms IS NOT NULL")
-    # the value at a floored index has no aggregate of its own: rank and size give it without gathering a group
-    ranks = Window.partitionBy("node")
-    placed = t.select("node", "elapsed_ms", F.row_number().over(ranks.orderBy("elapsed_ms")).alias("r"), F.count("*").over(ranks).alias("n"))
-    floors = placed.where(F.col("r") == F.floor((F.col("n") - 1) * 0.9) + 1).select("node", F.round("elapsed_ms", 2).alias("floor_p90"))
-    return t.groupBy("node").agg(
-        F.count("*").alias("n"), *(M.nearest_rank("elapsed_ms", p).alias(f"p{p}") for p in (50, 95, 99)), F.round(M.linear("elapsed_ms", 95, 200), 6).alias("linear_p95"),
-        F.round(M.linear("elapsed_ms", 50), 6).alias("median"),
-    ).join(floors, "node")
+    kinds = {"p50": ("nearest", 50), "p95": ("nearest", 95), "p99": ("nearest", 99), "linear_p95": ("linear", 95), "median": ("linear", 50), "floor_p90": ("floor", 90)}
+    found = N.percentiles(A.traces(spark, sf_dir), "node", "elapsed_ms", kinds)
+    enough = F.when(F.col("n") >= 200, F.round("linear_p95", 6))
+    return found.select("node", "n", "p50", "p95", "p99", enough.alias("linear_p95"), F.round("median", 6).alias("median"), F.round("floor_p90", 2).alias("floor_p90"))
 
 
 @query("""WITH s AS (SELECT user_id, epoch_ms(ts) AS a, epoch_ms(ts) + 3600000 AS b FROM events), e AS (SELECT user_id, a AS at, 1 AS d FROM s UNION ALL SELECT user_id, b, -1 FROM s),

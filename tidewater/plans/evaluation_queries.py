@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import evaluation as E
 from tidewater.operators import metrics as M
+from tidewater.operators import selection as N
 from tidewater.plans import adapt as A
 
 Q, SQL = {}, {}
@@ -165,13 +166,13 @@ def review_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, min(value) AS least, quantile_cont(value, 0.25) AS q1, median(value) AS middle, quantile_cont(value, 0.75) AS q3, max(value) AS most FROM events GROUP BY event_type")
 def quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p, name: M.linear("value", p).alias(name)
-    return A.table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("value").alias("least"), q(25, "q1"), q(50, "middle"), q(75, "q3"), F.max("value").alias("most"))
+    kinds = {"least": ("nearest", 0), "q1": ("linear", 25), "middle": ("linear", 50), "q3": ("linear", 75), "most": ("nearest", 100)}
+    return N.percentiles(A.table(spark, sf_dir, "events"), "event_type", "value", kinds).drop("n")
 
 
 @query("SELECT event_type AS outcome, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def latency_by_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("outcome")).agg(F.count("*").alias("n"), *(M.nearest_rank("value", p).alias(f"p{p}") for p in (50, 95, 99)))
+    return N.percentiles(A.table(spark, sf_dir, "events"), "event_type", "value", {f"p{p}": ("nearest", p) for p in (50, 95, 99)}).withColumnRenamed("event_type", "outcome")
 
 
 @query("SELECT lang, quality, toxic, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")

@@ -135,10 +135,10 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).groupBy("lang").agg(H.digest(F.col("doc_id"), F.col("source")).alias("digest"))
 
 
-@query("""WITH f AS (SELECT doc_id % 600 AS total, doc_id % 5 + 20 AS fps, least(8, greatest(1, floor((doc_id % 600) / ((doc_id % 5 + 20) * 3)) + 1))::INT AS n, doc_id FROM documents WHERE doc_id % 600 > 0)
+@query("""WITH f AS (SELECT doc_id % 600 AS total, doc_id % 5 + 20 AS fps, least(8, greatest(1, floor((doc_id % 600) / ((doc_id % 5 + 20) * 3)) + 1))::INT AS n, doc_id FROM documents)
 SELECT doc_id, CASE WHEN n = 1 THEN [total::INT] ELSE list_transform(range(0, n), lambda i: round(i * total / (n - 1))::INT) END AS frames FROM f""")
 def frame_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).where("doc_id % 600 > 0").withColumn("total", (F.col("doc_id") % 600).cast("int"))
+    d = _docs(spark, sf_dir).withColumn("total", (F.col("doc_id") % 600).cast("int"))
     return d.select("doc_id", snapshots.frame_indices(F.col("total") + 1, (F.col("doc_id") % 5 + 20).cast("int"), 8).alias("frames"))
 
 
