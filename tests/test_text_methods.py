@@ -51,7 +51,9 @@ def test_segmentation(spark, small):
     assert G.segmented(spark.createDataFrame([(1, "中文")], "id long, text string"), words.where("false"), small=small, terms=()).collect() == [(1, ["中", "文"])]
 
 
-def test_ratio_is_difflibs():
+@pytest.mark.parametrize("cells", [1 << 22, 0])
+def test_ratio_is_difflibs(cells, monkeypatch):
+    monkeypatch.setattr(S, "CELLS", cells)
     rng = np.random.default_rng(2)
     say = lambda n, k: "".join(rng.choice(list("abcdefghij 证书"[:k]), n))
     pairs = [(say(rng.integers(0, 40), 6), say(rng.integers(0, 40), 6)) for _ in range(150)]

@@ -134,6 +134,42 @@ def failure_kind(error: Column, status: Column, stage: Column) -> tuple[Column,
     return kind, retry
 
 
+#: Codes by which a service states an exhausted or missing plan as a rate limit, and database codes that pass.
+QUOTA_CODES = ("1113", "1308", "1309", "1310", "1311", "1313", "1314", "1315", "1316", "1317", "1318", "1319", "1320", "1321")
+DATABASE_TRANSIENT = (1040, 1205, 1213, 2006, 2013)
+LONGEST_WAIT = 300.0
+
+
+def failure_kind_detailed(error: Column, status: Column, stage: Column, code: Column, delay: Column, may_retry: Column) -> tuple[Column, Column]:
+    """``failure_kind`` with what a service or system says of itself, in front of it: a code of its own (quotas, databases), the
+    wait that it asks for, and whether it forbids a retry (``may_retry`` false)."""
+    known, again = failure_kind(error, status, stage)
+    database = code.try_cast("int").isin(*DATABASE_TRANSIENT) | F.contains(F.lower(code), F.lit("locked"))
+    rules = [
+        ((error == "status") & code.isin(*QUOTA_CODES), F.lit("upstream_quota"), F.lit(False)),
+        ((error == "status") & (delay > LONGEST_WAIT), F.lit("provider_long_wait"), F.lit(False)),
+        ((error == "status") & ~may_retry, known, F.lit(False)),
+        ((error == "database") & database, F.lit("database_transient"), F.lit(True)),
+        (error == "database", F.lit("database_configuration"), F.lit(False)),
+        ((error == "os") & (code == "ENOSPC"), F.lit("storage_full"), F.lit(False)),
+        ((error == "os") & code.isin("EAGAIN", "EINTR", "EIO", "ETIMEDOUT", "ECONNRESET"), F.lit("storage_transient"), F.lit(True)),
+        (error == "os", F.lit("storage_error"), F.lit(False)),
+    ]
+    for condition, name, retry in reversed(rules):
+        hit = F.coalesce(condition, F.lit(False))
+        known, again = F.when(hit, name).otherwise(known), F.when(hit, retry).otherwise(again)
+    return known, again
+
+
+def deny_changes(known: DataFrame, active: DataFrame, restored: DataFrame, denied: DataFrame, by: list[str]) -> DataFrame:
+    """The deny list after a publication as rows of ``by``: denied ones and known ones that are not active, without restored ones.
+
+    Row by row, by anti joins: no list of a source's documents is gathered.
+    """
+    gone = known.select(*by).distinct().join(active.select(*by), by, "left_anti")
+    return gone.unionByName(denied.select(*by)).distinct().join(restored.select(*by), by, "left_anti")
+
+
 def repairs(changes: DataFrame, expected: DataFrame, target: DataFrame) -> DataFrame:
     """The changes with ``repair`` for an unchanged path whose chunks (path, chunk_id, text_hash) differ in the target."""
     off = differences(expected.select("path", "chunk_id", "text_hash"), target.select("path", "chunk_id", "text_hash")).select("path").distinct().withColumn("off", F.lit(True))

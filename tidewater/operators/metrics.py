@@ -35,6 +35,11 @@ def failure_stage(in_vector: Column, in_lexical: Column, in_fused: Column, in_fi
     )
 
 
+def missing_reason(recalled: Column, fused: Column, limited: Column) -> Column:
+    """Where a gold label that is not in the result was lost; the names are fixed values."""
+    return F.when(~recalled, "absent_both_candidate_routes").when(~fused, "raw_rrf_top10_truncation").when(~limited, "per_source_limit_after_rrf").otherwise("final_top5_truncation")
+
+
 def nearest_rank(x: str, percent: int) -> Column:
     """The value at ceil(n * percent / 100) of the sorted values."""
     return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {x})")

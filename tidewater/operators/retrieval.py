@@ -141,6 +141,23 @@ def fused(vector: DataFrame, lexical: DataFrame, config: Config) -> DataFrame:
     return ranked(grouped, ["query_id"], [F.desc("fused"), F.col("route"), F.col("place"), F.col("chunk_id")], most=pool).drop("route", "place")
 
 
+def pool_size(config: Config, rerank: bool, candidates: int = 16) -> int:
+    """Hits that fusion passes on: twice what is asked for; a reranker gets at least ``candidates``."""
+    return max(2 * config.top_k, candidates) if rerank else max(2 * config.top_k, config.pool)
+
+
+def reranked(hits: DataFrame, scores: DataFrame) -> DataFrame:
+    """The pool in the order of a reranker's scores (query_id, chunk_id, relevance), before any source is capped. Hits without
+    a score follow in their old order; ``rank`` is the new place, ``fused_rank`` the old one."""
+    scored = hits.withColumnRenamed("rank", "fused_rank").join(scores.select("query_id", "chunk_id", "relevance"), ["query_id", "chunk_id"], "left")
+    return ranked(scored, ["query_id"], [F.desc_nulls_last("relevance"), F.col("fused_rank")])
+
+
+def hop_scenario(hop: Column, scenario: Column, registered: list[str]) -> Column:
+    """The scenario that filters a search: on the first hop and if it is registered; null is no filter."""
+    return F.when((hop == 1) & scenario.isin(*registered), scenario)
+
+
 def capped(hits: DataFrame, chunks: DataFrame, config: Config, rank: str = "rank") -> DataFrame:
     """At most source_cap hits of a source, in the global order, then the first top_k."""
     sources = hits.join(chunks.select("chunk_id", F.coalesce("source_url", F.col("chunk_id").cast("string")).alias("source")), "chunk_id")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tidewater.storage import importable, written
 
 PANEL, SLICE = 64, 512
+#: Runs of two texts that are kept, some 16 MB.
+CELLS = 1 << 22
 #: In a text of so many characters, those that make up more than a hundredth of it begin no block.
 LONG = 200
 
@@ -31,23 +33,45 @@ def _popular(b: np.ndarray) -> np.ndarray:
     return (n > len(b) // 100 + 1)[place] if len(b) >= LONG else np.zeros(len(b), bool)
 
 
+def _runs(a: np.ndarray, part: np.ndarray, free: np.ndarray):
+    """For each character of a: lengths of the common runs that end at it and at each character of the other text."""
+    run = np.zeros(len(part) + 1, np.int32)
+    for x in a:
+        run[1:] = np.where((part == x) & free, run[:-1] + 1, 0)
+        yield run[1:]
+
+
 def matching(a: np.ndarray, b: np.ndarray) -> int:
-    """Characters in matching blocks: the longest one (first in a, then in b), then the same left and right of it."""
+    """Characters in matching blocks: the longest one (first in a, then in b), then the same left and right of it.
+
+    The runs of the whole texts are kept if they fit into CELLS; a part of them is then one look at a rectangle, whose
+    edges cut runs short. Of longer texts every part makes its runs again, row by row.
+    """
     popular = _popular(b)
+    held = np.array([r.copy() for r in _runs(a, b, ~popular)], np.int32) if 0 < len(a) * len(b) <= CELLS else None
+
+    def longest(a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int]:
+        """Size, and where it begins in a and in b."""
+        if held is not None:
+            inside = np.minimum(held[a0:a1, b0:b1], np.arange(1, b1 - b0 + 1, dtype=np.int32))
+            np.minimum(inside, np.arange(1, a1 - a0 + 1, dtype=np.int32)[:, None], out=inside)
+            i, j = divmod(int(inside.argmax()), b1 - b0)
+            size = int(inside[i, j])
+            return size, a0 + i - size + 1, b0 + j - size + 1
+        size, at_a, at_b = 0, a0, b0
+        for i, run in enumerate(_runs(a[a0:a1], b[b0:b1], ~popular[b0:b1])):
+            if (most := int(run.max())) > size:
+                size, at_a, at_b = most, a0 + i - most + 1, b0 + int(run.argmax()) - most + 1
+        return size, at_a, at_b
+
     total, todo = 0, [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
         if a0 == a1 or b0 == b1:
             continue
-        part, free = b[b0:b1], ~popular[b0:b1]
-        size, at_a, at_b = 0, a0, b0
-        run = np.zeros(b1 - b0 + 1, np.int32)
-        for i in range(a0, a1):
-            same = (part == a[i]) & free
-            run[1:] = np.where(same, run[:-1] + 1, 0)
-            longest = int(run.max())
-            if longest > size:
-                size, at_a, at_b = longest, i - longest + 1, b0 + int(run.argmax()) - longest
+        size, at_a, at_b = longest(a0, a1, b0, b1)
+        if not size:
+            at_a, at_b = a0, b0
         while at_a > a0 and at_b > b0 and a[at_a - 1] == b[at_b - 1]:
             at_a, at_b, size = at_a - 1, at_b - 1, size + 1
         while at_a + size < a1 and at_b + size < b1 and a[at_a + size] == b[at_b + size]:
@@ -100,6 +124,9 @@ def similar(rows: DataFrame, asked: Column, floor: float) -> DataFrame:
                 out.append((id_, len(found), best[1], -best[0]))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else schema.empty_table()
 
+    # few bytes, much work: the groups are spread whatever their size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    left, right = left.repartition(parts, "family_key", "slice", "panel"), right.repartition(parts, "family_of", "slice_of", "panel_of")
     pairs = left.groupBy("family_key", "slice", "panel").cogroup(right.groupBy("family_of", "slice_of", "panel_of"))
     found = pairs.applyInArrow(product, "id long, similar long, other long, ratio double")
     best = F.struct(-F.col("ratio"), "other")

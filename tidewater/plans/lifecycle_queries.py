@@ -76,10 +76,10 @@ def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT source, unnest(known) AS doc_id, coalesce(active, []) AS active, coalesce(restored, []) AS restored FROM g)
 SELECT source, count(*) FILTER (WHERE NOT list_contains(active, doc_id) AND NOT list_contains(restored, doc_id)) AS n, coalesce(sum(doc_id) FILTER (WHERE NOT list_contains(active, doc_id) AND NOT list_contains(restored, doc_id)), 0)::BIGINT AS total FROM d GROUP BY source""")
 def deny_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = lambda condition: F.collect_set(F.when(condition, F.col("doc_id")))
-    d = A.table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("doc_id").alias("known"), ids(F.col("doc_id") % 3 != 0).alias("active"), ids(F.col("doc_id") % 9 == 0).alias("restored"))
-    denied = L.deny_update(F.array().cast("array<bigint>"), F.col("known"), F.col("active"), F.col("restored"))
-    return d.select("source", denied.alias("denied")).select("source", F.size("denied").cast("long").alias("n"), F.aggregate("denied", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    d, by = A.table(spark, sf_dir, "documents").select("source", "doc_id"), ["source", "doc_id"]
+    denied = L.deny_changes(d, d.where("doc_id % 3 <> 0"), d.where("doc_id % 9 = 0"), d.where("false"), by)
+    sums = denied.groupBy("source").agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"))
+    return d.select("source").distinct().join(sums, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
