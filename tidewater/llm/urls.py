@@ -2,10 +2,13 @@
 
 Concatenated names in hosts are split by unigram Viterbi: the substrings of each distinct host label, up to LONGEST_WORD
 letters, are joined to the counts of all words of all pages' visible text. The multinomial naive Bayes counts the tokens
-of every page that a rule decides, hashed to BUCKETS places, so its size is fixed.
+of every page that a rule decides, hashed to BUCKETS places, so its size is fixed. What the rule itself matched of host and
+path is no feature (it would only teach the rules), and both classes weigh alike: their counts are scaled to one total, so
+that tokens that training has not seen speak for neither, and there is no prior. ``held_out`` measures it on pages that
+rules decide but that it has not learned from.
 
 Edge cases: a url that is null or has no ``://`` has empty host and path; without decided pages everything else is
-allowed; a page without html adds no words; repeated page_ids are judged row by row; other columns are ignored.
+allowed; a page whose tokens are all unknown is allowed; a page without html adds no words; repeated page_ids are judged row by row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +49,14 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
+def beyond_rule(host: Column, path: Column, rule: Column) -> tuple[Column, Column]:
+    """Host and path without what the rule matched of them."""
+    domain = F.substring_index(rule, "/", 1)
+    start = F.length(rule) - F.length(domain)
+    rest = F.substring(host, F.lit(1), F.greatest(F.length(host) - F.length(domain), F.lit(0)))
+    return F.rtrim(rest, F.lit(".")), F.substring(path, start + 1, F.length(path))
+
+
 def lexicon(pages: DataFrame) -> DataFrame:
     """(word, n): counts of all lower-case words of the pages' visible text."""
     bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
@@ -130,7 +141,9 @@ def _bucket(token: str) -> int:
 
 
 def train(decided: DataFrame, words: DataFrame) -> np.ndarray | None:
-    """Log-odds of block per bucket, with the prior at the end, from all (host, path, verdict) rows; None if a class has none."""
+    """Log-odds of block per bucket from all (host, path, rule, verdict) rows; None if a class has none."""
+    free_host, free_path = beyond_rule(F.col("host"), F.col("path"), F.col("rule"))
+    decided = decided.select(free_host.alias("host"), free_path.alias("path"), "verdict")
 
     def scan(batches):
         for batch in batches:
@@ -148,17 +161,18 @@ def train(decided: DataFrame, words: DataFrame) -> np.ndarray | None:
     of_hosts = found.where("label is not null").join(words, "label").select("block", "n", F.explode("words").alias("word"))
     bucket = F.pmod(F.crc32(F.concat(F.lit("h:"), "word").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket")
     rows = found.where("label is null").select("block", "bucket", "n").unionByName(of_hosts.select("block", bucket, "n"))
-    seen = np.ones((2, BUCKETS))
+    seen = np.zeros((2, BUCKETS))
     pages = [0, 0]
     for r in rows.groupBy("block", "bucket").agg(F.sum("n").alias("n")).collect():
         if r["bucket"] < 0:
             pages[r["block"]] = r["n"]
         else:
             seen[r["block"], r["bucket"]] += r["n"]
-    if not all(pages):
+    totals = seen.sum(axis=1)
+    if not all(pages) or not totals.all():
         return None
-    odds = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
-    return np.append(odds, math.log(pages[1] / pages[0]))
+    seen = 1 + seen * (totals.mean() / totals)[:, None]
+    return np.log(seen[1]) - np.log(seen[0])
 
 
 def host_scores(hosts: DataFrame, words: DataFrame, shared) -> DataFrame:
@@ -175,6 +189,30 @@ def host_scores(hosts: DataFrame, words: DataFrame, shared) -> DataFrame:
     return found.select("host", F.aggregate("scores", F.lit(0.0), lambda a, x: a + x).alias("host_score"))
 
 
+def held_out(pages: DataFrame, rules: list[tuple[str, str]], part: Column) -> DataFrame:
+    """verdict (the rule's) and predicted of the decided pages in ``part`` (a condition on page_id), learned from the others.
+
+    The model sees the held-out pages as it saw its own: without what the rule matched.
+    """
+    host, path = host_path(F.col("url"))
+    rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
+    decided = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), ruled.alias("verdict")).where("rule is not null")
+    hosts = written(split_hosts(decided), "hosts")
+    words = written(segmented(hosts.select(F.explode("labels").alias("label")).distinct(), lexicon(pages)), "segments")
+    shared = pages.sparkSession.sparkContext.broadcast(train(decided.where(~part), words))
+    free_host, free_path = beyond_rule(F.col("host"), F.col("path"), F.col("rule"))
+    rest = decided.where(part).select("page_id", free_host.alias("host"), free_path.alias("path"), "verdict")
+    scored = rest.join(host_scores(written(split_hosts(rest), "rest-hosts"), words, shared), "host", "left")
+
+    def scan(batches):
+        odds = shared.value
+        for batch in batches:
+            scores = [(row["host_score"] or 0.0) + sum(odds[_bucket(x)] for x in path_tokens(row["path"])) if odds is not None else -1.0 for row in batch.select(["path", "host_score"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("verdict"), pa.array(["block" if x > 0 else "allow" for x in scores], pa.string())], ["page_id", "verdict", "predicted"])
+
+    return scored.mapInArrow(scan, "page_id long, verdict string, predicted string")
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict, block_probability (null where a rule decides)."""
     host, path = host_path(F.col("url"))
@@ -184,7 +222,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     decided, others = parsed.where("rule is not null"), parsed.where("rule is null")
     hosts = written(split_hosts(parsed), "hosts")
     words = written(segmented(hosts.select(F.explode("labels").alias("label")).distinct(), lexicon(pages)), "segments")
-    odds = train(decided.select("host", "path", "verdict"), words)
+    odds = train(decided, words)
     shared = pages.sparkSession.sparkContext.broadcast(odds)
     others = others.withColumn("host_score", F.lit(0.0)) if odds is None else others.join(host_scores(hosts, words, shared), "host", "left")
 
@@ -193,7 +231,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         for batch in batches:
             verdicts, chances = [], []
             for row in batch.select(["path", "host_score"]).to_pylist():
-                score = -1.0 if odds is None else odds[-1] + (row["host_score"] or 0.0) + sum(odds[_bucket(x)] for x in path_tokens(row["path"]))
+                score = -1.0 if odds is None else (row["host_score"] or 0.0) + sum(odds[_bucket(x)] for x in path_tokens(row["path"]))
                 chances.append(1 / (1 + math.exp(-max(-500.0, min(500.0, score)))))
                 verdicts.append("block" if score > 0 else "allow")
             yield pa.RecordBatch.from_arrays(
