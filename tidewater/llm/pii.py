@@ -18,6 +18,7 @@ as much for each as one with few.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +45,10 @@ _CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
 CREDENTIALS = r"(?i:password|passwd|pwd|secret|token|api_key|apikey|pin|login)[\"']?[\x20]?[:=][\x20]?[\"']?"
 _CREDENTIALS_START = "PpSsTtAaLl"
 #: Where each further kind may be: a word of key characters with a digit or the value that is given to a credential's name, ...
+_GIVEN = "{GIVEN}"  # where the patterns take the given names
 CANDIDATES = {
     "secret": rf"(?=[{_CREDENTIALS_START}])(?<![A-Za-z])(?:{CREDENTIALS})[^\x00-\x20\"',;:=]{{4,}}+|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{{12,}}+",
-    "name": rf"(?=[A-Z])(?<![\p{{L}}])(?:(?:{TITLES})\.?[\x20](?:{_CAP}[\x20-])?{_CAP}|(?:{GIVEN})[\x20](?:[A-Z]\.[\x20])?{_CAP})(?![\p{{L}}])",
+    "name": rf"(?=[A-Z])(?<![\p{{L}}])(?:(?:{TITLES})\.?[\x20](?:{_CAP}[\x20-])?{_CAP}|(?:{_GIVEN})[\x20](?:[A-Z]\.[\x20])?{_CAP})(?![\p{{L}}])",
     "address": rf"(?=[A-Z0-9])(?<![\p{{L}}0-9])(?:[0-9]{{1,5}}[\x20](?:{_CAP}[\x20]){{1,3}}(?:{STREETS})|{_CAP}(?:straße|strasse|weg|gasse|platz)[\x20][0-9]{{1,4}}|(?:Calle|Avenida|Rue|Avenue|Place)[\x20](?:(?:de|del|la|des|du)[\x20])*{_CAP},?[\x20][0-9]{{1,4}})(?![\p{{L}}0-9])",
     "birth": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9/-])",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -54,7 +56,7 @@ CANDIDATES = {
 }
 #: A cheaper test that keeps the pattern off most texts.
 _MAY = {
-    "secret": r"[0-9]|[:=]", "name": rf"(?=[A-Z])(?:{TITLES}|{GIVEN})[\x20.]", "address": r"[A-Z][\p{L}]+,?[\x20][0-9]|[0-9][\x20][A-Z]",
+    "secret": r"[0-9]|[:=]", "name": rf"(?=[A-Z])(?:{TITLES}|{_GIVEN})[\x20.]", "address": r"[A-Z][\p{L}]+,?[\x20][0-9]|[0-9][\x20][A-Z]",
     "birth": r"[0-9][./-][0-9]{1,2}[./-][0-9]", "id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "tel": r"[0-9)][\x20/-]?[0-9]{3,4}[\x20-][0-9]{3}",
 }
 #: Words before a candidate that speak for its kind.
@@ -62,20 +64,30 @@ _BEFORE = {
     "secret": rf"(?i)(?:^|[^a-z0-9])(?:{NAMES})[\x20\"':=]*$", "name": r"(?i)(?:name|signed|dear|by|from|contact|regards)[\x20:,]*$",
     "address": r"(?i)(?:address|lives|at|located|street|anschrift|dirección|adresse|to)[\x20:,]*$",
     "birth": r"(?i)(?:born|birth|dob|birthday|geboren|geb\.|nacid[oa]|née?)[\x20:,]*(?:on|am|el|le)?[\x20]?$",
-    "id": r"(?i)(?:ssn|social|security|id|number|no\.?|nr\.?)[\x20:#]*$", "tel": r"(?i)(?:tel|telefon|phone|call|mobile|cell|fax|teléfono|téléphone|at)[\x20.:]*$",
+    "id": r"(?i)(?:ssn|social|social[\x20]security|security[\x20](?:number|no\.?|id)|national[\x20]id|personal[\x20]id|my[\x20]id)[\x20:#]*(?:is[\x20])?$", "tel": r"(?i)(?:tel|telefon|phone|call|mobile|cell|fax|teléfono|téléphone|at)[\x20.:]*$",
 }
 _SHAPE = {
     "secret": r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{10,}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})$",
-    "name": rf"^(?:{TITLES})\b", "address": rf"(?:{STREETS}|straße|strasse|gasse)\b", "birth": r"(?:19[0-9]{2}|200[0-9])",
-    "id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", "tel": r"^(?:\D*[0-9]){9,12}\D*$",
+    "name": rf"^(?:{TITLES})\b|^(?:{_GIVEN})[\x20]", "address": rf"(?:{STREETS}|straße|strasse|gasse)\b", "birth": r"(?:19[0-9]{2}|200[0-9])",
+    "id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", "tel": r"^(?=(?:\D*[0-9]){9,12}\D*$)[(0]",
 }
 _HARMLESS = {
     "secret": r"^(?:[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}.*|[A-Za-z]+[-_/=+]*[0-9]{1,4}|[0-9_+/=-]+|.*[A-Za-z]{2,}[/_-][A-Za-z]{2,}.*)$",
     "name": rf"(?:{STREETS})$", "address": r"^[0-9]{4}[\x20]", "birth": r"20[2-9][0-9]", "id": r"^(?:[0-9])\1", "tel": r"^[0-9]{4}-[0-9]{4}-",
 }
+#: Words before a candidate that speak against any kind, and against one.
+_AGAINST = r"(?i)(?:version|page|isbn|license|chapter|copyright|section)[\x20]*$"
+_AGAINST_KIND = {
+    "id": r"(?i)(?:part|item|order|model|serial|invoice|article|catalogue|catalog|sku|ref|lot|case|ticket)(?:[\x20](?:no\.?|nr\.?|number|id))?[\x20:#.]*$",
+    "tel": r"(?i)(?:ratio|score|range|lines?|rows?|pages?|order|part|item|model|serial|invoice|ref|lot)(?:[\x20](?:no\.?|nr\.?|number|of))?[\x20:#.]*$",
+    "name": r"(?i)(?:street|avenue|the|hotel|university|museum|airport|bridge|hurricane)[\x20]$",
+}
 #: Votes of the labelers, in order: shape, mixture, gazetteer, assignment, harmless forms, plain words.
 LABELERS = 6
 _ROUNDS = 60
+MOST_NAMES = 10_000
+#: What labelers are believed to be before any vote is counted, as that many candidates of either class would show it.
+PRIOR_ROWS = 300
 
 
 _SPAN = "struct<start:int,end:int,value:string,before:string>"
@@ -141,7 +153,19 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"email": email, "ip": ip, "card": card, "phone": phone}
 
 
-def candidates(text: Column) -> Column:
+def gazetteer(names) -> str:
+    """Alternation of given names, from a bounded table's rows or a list; GIVEN is the default of all functions here."""
+    found = sorted({n.strip() for n in names if n and n.strip()})
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} given names")
+    return "|".join(re.escape(n).replace("\\ ", "[\\x20]") for n in found) or "(?!)"
+
+
+def _with(pattern: str, given: str) -> str:
+    return pattern.replace(_GIVEN, given)
+
+
+def candidates(text: Column, given: str = GIVEN) -> Column:
     """array<struct<rank, start, end, value, before>> of all further kinds' candidates."""
 
     def as_kind(rank: int):
@@ -155,7 +179,7 @@ def candidates(text: Column) -> Column:
 
         return of
 
-    return F.concat(*(F.transform(_where(text.rlike(_MAY[k]), places(text, CANDIDATES[k])), as_kind(KINDS.index(k))) for k in KINDS[BASE:]))
+    return F.concat(*(F.transform(_where(text.rlike(_with(_MAY[k], given)), places(text, _with(CANDIDATES[k], given))), as_kind(KINDS.index(k))) for k in KINDS[BASE:]))
 
 
 def _by_kind(rank: Column, of) -> Column:
@@ -166,52 +190,64 @@ def _by_kind(rank: Column, of) -> Column:
     return found
 
 
-def votes(rank: Column, value: Column, before: Column) -> list[Column]:
+def votes(rank: Column, value: Column, before: Column, given: str = GIVEN) -> list[Column]:
     """1, -1 or 0 of each labeler."""
     kinds = value.rlike("[0-9]").cast("int") + value.rlike("[a-z]").cast("int") + value.rlike("[A-Z]").cast("int")
     variety = F.size(F.array_distinct(F.split(value, "")))
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     secret = rank == BASE
     return [
-        vote(_by_kind(rank, lambda k: value.rlike(_SHAPE[k])), secret & (F.length(value) < 14)),
+        vote(_by_kind(rank, lambda k: value.rlike(_with(_SHAPE[k], given))), secret & (F.length(value) < 14)),
         vote(secret & (F.length(value) >= 16) & (kinds >= 2) & (variety >= 9), F.when(secret, (kinds < 2) | (variety < 6)).otherwise(variety < 4)),
         vote(_by_kind(rank, lambda k: before.rlike(_BEFORE[k])), F.lit(False)),
         vote(before.rlike(r"[\p{L}0-9_][\x20]?[:=][\x20]?[\"']?$"), before.rlike(r"[A-Za-z/][.,/]$") & secret),
-        vote(F.lit(False), _by_kind(rank, lambda k: value.rlike(_HARMLESS[k])) | before.rlike(r"(?i)(?:version|page|isbn|license|chapter|copyright|section)[\x20]*$")),
+        vote(F.lit(False), _by_kind(rank, lambda k: value.rlike(_HARMLESS[k])) | before.rlike(_AGAINST) | F.coalesce(_by_kind(rank, lambda k: before.rlike(_AGAINST_KIND.get(k, "(?!)"))), F.lit(False))),
         vote(secret & value.rlike("[0-9].*[A-Za-z].*[0-9].*[A-Za-z]"), secret & value.rlike("^[a-zA-Z]+[0-9]{1,2}$|^[0-9]{1,2}[a-zA-Z]+$")),
     ]
 
 
 def estimate(counts: dict[tuple[int, ...], int]) -> tuple[dict[tuple[int, ...], float], list[list[list[float]]]]:
-    """Expectation-maximisation on vote patterns: posterior of each, and per labeler P(vote | class)."""
+    """Expectation-maximisation on vote patterns: posterior of each, and per labeler P(yes, none, no | class).
+
+    It is anchored, so that few or one-sided patterns cannot turn the classes round: what labelers are believed to be counts
+    like PRIOR_ROWS candidates of either class, and a labeler whose yes comes to speak against the class, or whose no comes
+    to speak for it, says nothing.
+    """
     index = {1: 0, 0: 1, -1: 2}
-    # to begin with, votes are right more often than not
-    chance = [[[0.45, 0.4, 0.15], [0.15, 0.4, 0.45]] for _ in range(LABELERS)]
+    # votes are right more often than not
+    believed = [[0.45, 0.4, 0.15], [0.15, 0.4, 0.45]]
+    chance = [[list(row) for row in believed] for _ in range(LABELERS)]
     prior = 0.3
     posterior: dict[tuple[int, ...], float] = {}
+    total = sum(counts.values())
     for _ in range(_ROUNDS):
         for pattern in counts:
             odds = math.log(prior / (1 - prior)) + sum(math.log(chance[k][0][index[v]] / chance[k][1][index[v]]) for k, v in enumerate(pattern))
             posterior[pattern] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
-        total = sum(counts.values())
-        prior = min(0.95, max(0.05, sum(counts[p] * posterior[p] for p in counts) / total)) if total else prior
+        yes = sum(counts[p] * posterior[p] for p in counts)
+        # never so low that one labeler's yes is nothing among many candidates that none speaks of
+        prior = min(0.95, max(0.3, (yes + 0.3 * PRIOR_ROWS) / (total + PRIOR_ROWS)))
         for k in range(LABELERS):
-            seen = [[0.5, 0.5, 0.5], [0.5, 0.5, 0.5]]
+            seen = [[PRIOR_ROWS * x for x in row] for row in believed]
             for pattern, n in counts.items():
                 seen[0][index[pattern[k]]] += n * posterior[pattern]
                 seen[1][index[pattern[k]]] += n * (1 - posterior[pattern])
-            chance[k] = [[x / sum(row) for x in row] for row in seen]
+            rows = [[x / sum(row) for x in row] for row in seen]
+            if rows[0][0] < rows[1][0] or rows[0][2] > rows[1][2]:
+                rows = [[(a + b) / 2 for a, b in zip(*rows, strict=True)]] * 2
+            chance[k] = rows
     return posterior, chance
 
 
-def features(rank: Column, value: Column, before: Column) -> Column:
+def features(rank: Column, value: Column, before: Column, given: str = GIVEN) -> Column:
     """Names of a candidate's features, its kind first; at most a few hundred for a kind."""
     word = F.regexp_extract(F.lower(before), r"([a-z_]+)[^a-z_]*$", 1)
     letters = F.concat(*(F.when(value.rlike(x), F.lit(y)).otherwise(F.lit("-")) for x, y in (("[a-z]", "a"), ("[A-Z]", "A"), ("[0-9]", "0"), ("[g-zG-Z]", "z"), ("[_+/=-]", "_"))))
     parts = (
         ("word", F.pmod(F.crc32(word.cast("binary")), F.lit(128))), ("letters", letters), ("length", F.least(F.length(value) / 4, F.lit(16)).cast("int")),
         ("digits", (10 * F.length(F.regexp_replace(value, "[^0-9]", "")) / F.length(value)).cast("int")),
-        ("mark", F.regexp_extract(before, r"([^A-Za-z0-9])$", 1).isin('"', "'", ":", "=", "(", "[")), ("shape", _by_kind(rank, lambda k: value.rlike(_SHAPE[k]))),
+        ("mark", F.regexp_extract(before, r"([^A-Za-z0-9])$", 1).isin('"', "'", ":", "=", "(", "[")), ("shape", _by_kind(rank, lambda k: value.rlike(_with(_SHAPE[k], given)))),
+        ("context", _by_kind(rank, lambda k: before.rlike(_BEFORE[k]))), ("against", _by_kind(rank, lambda k: before.rlike(_AGAINST_KIND.get(k, "(?!)")))),
     )
     return F.array(*(F.concat_ws(":", rank, F.lit(name), of.cast("string")) for name, of in parts))
 
@@ -220,13 +256,13 @@ def _table(pairs: dict[str, float]) -> Column:
     return F.map_from_arrays(F.array(*(F.lit(k) for k in pairs)), F.array(*(F.lit(float(v)) for v in pairs.values()))) if pairs else F.expr("map('', 0D)")
 
 
-def train(found: DataFrame) -> dict[str, float]:
+def train(found: DataFrame, given: str = GIVEN) -> dict[str, float]:
     """Log-odds of each feature, and of each kind's prior (``rank:prior``), from all candidates (rank, value, before).
 
     Labelers' reliabilities and the classifier are a kind's own.
     """
     each = [F.col(x) for x in ("rank", "value", "before")]
-    voted = found.select("rank", F.concat_ws(",", *votes(*each)).alias("pattern"), features(*each).alias("features"))
+    voted = found.select("rank", F.concat_ws(",", *votes(*each, given)).alias("pattern"), features(*each, given).alias("features"))
     counts: dict[int, dict[tuple[int, ...], int]] = {}
     for r in voted.groupBy("rank", "pattern").agg(F.count("*").alias("n")).collect():  # at most 3**LABELERS rows for a kind
         counts.setdefault(r["rank"], {})[tuple(map(int, r["pattern"].split(",")))] = r["n"]
@@ -252,19 +288,19 @@ def _as_span(rank: int):
     return lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), x["end"].alias("end"))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id and spans: array<struct<start, rank, kind, end>> in order, the base kinds' ranks being 0 to 3."""
+def find(docs: DataFrame, given: str = GIVEN) -> DataFrame:
+    """doc_id and spans: array<struct<start, rank, kind, end>> in order, the base kinds' ranks being 0 to 3. ``given``: see ``gazetteer``."""
     text = F.coalesce("text", F.lit(""))
     spans = base_spans(F.col("text"))
     base = F.concat(*(F.transform(spans[k], _as_span(i)) for i, k in enumerate(KINDS[:BASE])))
-    found = docs.select("doc_id", text.alias("text")).select("doc_id", F.array_sort(base).alias("base"), candidates(F.col("text")).alias("candidates"))
+    found = docs.select("doc_id", text.alias("text")).select("doc_id", F.array_sort(base).alias("base"), candidates(F.col("text"), given).alias("candidates"))
     found = written(found, "pii")
-    table = _table(train(found.select(F.explode("candidates").alias("c")).select("c.rank", "c.value", "c.before")))
+    table = _table(train(found.select(F.explode("candidates").alias("c")).select("c.rank", "c.value", "c.before"), given))
     odds = lambda x: F.coalesce(F.try_element_at(table, x), F.lit(0.0))
-    each = lambda c: (c["rank"], c["value"], c["before"])
+    each = lambda c: (c["rank"], c["value"], c["before"], given)
     score = lambda c: F.aggregate(features(*each(c)), odds(F.concat_ws(":", c["rank"], F.lit("prior"))), lambda a, f: a + odds(f))
-    # no labeler's word, no span
-    backed = lambda c: F.greatest(*votes(*each(c))) > 0
+    # no labeler's word, no span; and none against the word of what is harmless
+    backed = lambda c: (F.greatest(*votes(*each(c))) > 0) & (votes(*each(c))[4] >= 0)
     meets = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
     taken = F.filter("candidates", lambda c: backed(c) & (score(c) > 0) & ~F.exists("base", lambda b: meets(b, c)))
     found = found.select("doc_id", "base", taken.alias("taken"))
