@@ -7,6 +7,7 @@ import brute
 import numpy as np
 import oracle
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from tidewater.llm import decontaminate, language, line_dedup, ngram_join, packing, pii, quality, queries, substring_dedup, token_files, urls
@@ -201,6 +202,32 @@ def test_language(docs):
     assert all(0 <= r["score"] <= 1 for r in held)
 
 
+def test_language_against_plain_compression(docs):
+    """The smallest output of one-shot compression with each dictionary, over whole texts."""
+    model = language.fit(docs.where(language.fold() != 2))
+    assert len(model) > 1
+    dictionaries = {lang: zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for lang, raw in sorted(model.items())}
+    size = lambda lang, x: len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=dictionaries[lang], write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+
+    def plain(text):
+        if text is None or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        raw = text.lower().encode("utf-8", "replace")
+        parts = [raw[i : i + language.BLOCK_BYTES] for i in range(0, len(raw), language.BLOCK_BYTES)]
+        if len(raw) < language.SHORT_BYTES:
+            w = raw.split()
+            parts = [b" ".join(w[k:] + w[:k]) for k in {len(w) * i // language.ROTATIONS for i in range(language.ROTATIONS)}]
+        sizes = sorted((sum(size(lang, x) for x in parts), lang) for lang in dictionaries)
+        return sizes[0][1], sizes[1][0] / (sizes[0][0] + sizes[1][0])
+
+    rows = pairs(docs.where("doc_id % 7 = 0")) + [(-1, None), (-2, "123 !"), (-3, "ok"), (-4, "Straße é " * 400)]
+    table = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.classify(table, model).collect()}
+    for d, t in rows:
+        lang, score = plain(t)
+        assert got[d][0] == lang and abs(got[d][1] - score) < 1e-12
+
+
 def test_language_undetermined(odd):
     got = {r["doc_id"]: r["lang_pred"] for r in language.classify(odd, {"aa": b"abc " * 50, "bb": b"xyz " * 50}).collect()}
     assert got[1] == got[2] == got[3] == "und" and got[4] in ("aa", "bb")
@@ -266,13 +293,17 @@ def test_decontamination(spark, docs):
 
 
 def test_simhash_blocks():
+    """RADIUS differing bits of all 120, at random and spread as evenly as they can be, leave a block within reach."""
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        a = int(rng.integers(0, 1 << 63))
+    bits, radius, width = decontaminate.BITS, decontaminate.RADIUS, decontaminate.BLOCK_BITS
+    even = [width * (k % decontaminate.BLOCKS) + k // decontaminate.BLOCKS for k in range(radius)]
+    for n in range(200):
+        a = int.from_bytes(rng.bytes(bits // 8), "little")
         b = a
-        for bit in rng.choice(63, decontaminate.RADIUS, replace=False):
+        for bit in even if n % 4 == 0 else rng.choice(bits, radius, replace=False):
             b ^= 1 << int(bit)
-        assert set(decontaminate.blocks(a)) & set(decontaminate.blocks(b))
+        own = {(k, (b >> (width * k)) & ((1 << width) - 1)) for k in range(decontaminate.BLOCKS)}  # a window's own values
+        assert own & set(decontaminate.blocks(a))
 
 
 def test_empty_tables(spark, odd):
