@@ -59,6 +59,15 @@ def test_topk(spark, small, monkeypatch):
         assert all(abs(r["score"] - got[(r["query_id"], r["chunk_id"])]) < 1.5e-6 for r in found)
 
 
+def test_containing(spark):
+    rows = [(i, t) for i, t in texts() if i is not None] + [(5000, "xw1 w2 w3y"), (5001, "see: w1 w2 w3."), (5002, "防火墙错误码"), (5003, "a.b c.d")]
+    queries = [(1, "w1 w2 w3"), (2, "w2"), (3, "错误"), (4, "w1 nowhere w3"), (5, ".b c."), (6, ""), (7, None), (8, rows[3][1]), (9, rows[8][1][1:-1])]
+    frame = lambda x, key: spark.createDataFrame(x, f"{key} long, text string")
+    docs = frame(rows, "chunk_id").repartition(4)
+    got = sorted(map(tuple, L.containing(L.build(docs), frame(queries, "query_id"), docs).collect()))
+    assert got == sorted((q, i) for q, p in queries for i, t in rows if p is not None and t is not None and p in t)
+
+
 def test_blocks_are_bounded(spark):
     index = L.build(spark.createDataFrame(texts(), "chunk_id long, text string"))
     postings = index.postings(spark)

@@ -213,3 +213,24 @@ def topk(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
         kth = found(panel, rows.where(F.col("slice") < len(few)), list(few)).where(F.col("place") == k).select("query_id", F.col("score").alias("kth"))
         panel = written(panel.drop("kth").join(kth, "query_id", "left"), "panels")
     return found(panel, rows, list(range(slices))).drop("place")
+
+
+def containing(index: LexicalIndex, queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of texts (chunk_id, text) that hold a query's text word for word.
+
+    A text that does holds every whole word inside the query's text, so only the documents of the rarest of these are
+    looked at. A query without such a word (its outermost words may be parts of longer ones, and Han runs have no ends)
+    is compared with all texts.
+    """
+    whole = F.regexp_replace("text", r"^[\p{L}\p{N}]+|[\p{L}\p{N}]+$", "")
+    inner = F.when(F.col("text").rlike(r"\p{IsHan}"), F.array().cast("array<string>")).otherwise(tokens(whole))
+    asked_for = written(queries.where("text is not null").select("query_id", F.col("text").alias("passage"), inner.alias("inner")), "passages")
+    known = asked_for.select("query_id", F.explode(F.array_distinct("inner")).alias("term")).join(index.terms(queries.sparkSession).select("term", "df"), "term", "left")
+    # a word that no document has is the rarest of all
+    rarest = known.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    found = index.postings(queries.sparkSession).select("term", "ids").join(rarest, "term").select("query_id", F.explode("ids").alias("chunk_id")).distinct()
+    near = texts.select("chunk_id", "text").join(found, "chunk_id").join(asked_for.select("query_id", "passage"), "query_id").where(F.contains("text", F.col("passage")))
+    rest = asked_for.where(F.size("inner") == 0).select("query_id", "passage")
+    if rest.isEmpty():
+        return near.select("query_id", "chunk_id")
+    return near.select("query_id", "chunk_id").unionByName(texts.join(rest, F.contains("text", F.col("passage"))).select("query_id", "chunk_id"))

@@ -125,7 +125,7 @@ def lexical_route(queries: DataFrame, chunks: DataFrame, config: Config, index:
     best = L.topk(index or indexed(chunks, config), queries, 2 * config.recall)
     meta = chunks.select("chunk_id", "access", "status", "chunk_type", "valid_to", F.col("scenario").alias("theirs"))
     asked = queries.select("query_id", "scenario")
-    kept = best.join(meta, "chunk_id").join(F.broadcast(asked), "query_id").where(usable_by_terms(config.today) & (F.col("scenario").isNull() | (F.col("scenario") == F.col("theirs"))))
+    kept = best.join(meta, "chunk_id").join(asked, "query_id").where(usable_by_terms(config.today) & (F.col("scenario").isNull() | (F.col("scenario") == F.col("theirs"))))
     return ranked(kept, ["query_id"], [F.desc("score"), F.col("chunk_id")], most=config.recall).select("query_id", "chunk_id", "score", "rank")
 
 

@@ -69,10 +69,10 @@ def queries(spark: SparkSession, sf_dir: str, scenario: bool = False) -> DataFra
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that hold a query's text word for word: the query set against all rows."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    docs = table(spark, sf_dir, "documents")
-    return docs.join(F.broadcast(items), F.contains(docs["text"], F.col("passage"))).select("query_id", F.col("doc_id").alias("chunk_id"))
+    """Chunks that hold a query's text word for word."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return L.containing(lexical(spark, sf_dir), items, docs)
 
 
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
