@@ -152,3 +152,16 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(intro, F.lit("\n## A\n"), F.col("doc_id").cast("string"), F.lit("\n### deep\n##no\n\n## B\nend"))
     parts = markdown.sections(A.table(spark, sf_dir, "documents").select("doc_id", page.alias("content")))
     return parts.select("doc_id", "seq", "chunk_type", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9 ]', '', 'g')) AS t, lang FROM documents),
+c AS (SELECT doc_id, 0 AS seq, 0 AS char_start, 'parent' AS chunk_type, t AS text, t, lang FROM d UNION ALL
+  SELECT doc_id, 1, s.s::INT, 'child', substr(t, s.s + 1, 1800), t, lang FROM d, (SELECT unnest(range(0, 2000000, 1800)) AS s) s WHERE t <> '' AND s.s <= length(t) - 1)
+SELECT substr(sha256('kb'), 1, 12) || ':' || doc_id || ':r' || (doc_id % 3) || '#' || seq || CASE WHEN chunk_type = 'child' THEN ':' || char_start ELSE '' END AS chunk_id, chunk_type, md5(text) AS digest,
+sha256('{"lang":"' || lang || '","source_id":"own"}' || chr(10) || t) AS doc_hash, 'kb' AS source_id, lang FROM c""")
+def generation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's parent and cut children with their ids, and metadata that a document's own cannot override."""
+    clean = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^a-zA-Z0-9 ]", ""))
+    docs = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("p/"), F.col("doc_id").cast("string")).alias("path"), clean.alias("content"), F.create_map(F.lit("lang"), "lang", F.lit("source_id"), F.lit("own")).alias("meta"))
+    found = markdown.generation_chunks(docs, "kb", F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")))
+    return found.select("chunk_id", "chunk_type", F.md5(F.col("text").cast("binary")).alias("digest"), *(F.col("metadata")[x].alias(x) for x in ("doc_hash", "source_id", "lang")))

@@ -78,6 +78,26 @@ def bounded(text: Column, most: int = 1800) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("char_start"), F.substring(text, s + 1, F.lit(most)).alias("text")))
 
 
+def generation_chunks(docs: DataFrame, source: str, revision: Column, most: int = 1800) -> DataFrame:
+    """Chunks of a generation: chunk_id, seq, char_start, chunk_type, text and the metadata that reads filter by.
+
+    docs: doc_id, path, content, meta (map). A parent keeps its whole text; children longer than ``most`` are cut, so that an
+    embedding service cuts none. Ids hold the source's hash, the document and its revision, children their start too, so two
+    generations never share an id unless their texts are the same. Every chunk carries doc_id, source_id, revision and hash.
+    """
+    keyed = docs.withColumn("revision", revision).withColumn("doc_hash", F.sha2(F.concat(F.to_json("meta"), F.lit("\n"), "content"), 256))
+    parts = sections(keyed.select("doc_id", "content"))
+    pieces = F.when(F.col("chunk_type") == "child", bounded(F.col("text"), most)).otherwise(F.array(F.struct(F.lit(0).alias("char_start"), F.col("text").alias("text"))))
+    cut = parts.select("doc_id", "seq", "chunk_type", F.inline(pieces)).join(keyed.select("doc_id", "path", "meta", "revision", "doc_hash"), "doc_id")
+    namespace = F.concat_ws(":", F.substring(F.sha2(F.lit(source).cast("binary"), 256), 1, 12), F.col("doc_id").cast("string"), "revision")
+    own = F.concat(namespace, F.lit("#"), F.col("seq").cast("string"))
+    chunk_id = F.when(F.col("chunk_type") == "parent", own).otherwise(F.concat(own, F.lit(":"), F.col("char_start").cast("string")))
+    injected = F.map_from_arrays(F.array(*map(F.lit, ("doc_id", "source_id", "doc_revision", "doc_hash", "source_url"))), F.array(F.col("doc_id").cast("string"), F.lit(source), "revision", "doc_hash", "path"))
+    # what is injected wins over a document's own metadata of that name
+    metadata = F.map_from_entries(F.concat(F.filter(F.map_entries("meta"), lambda e: ~F.map_contains_key(injected, e["key"])), F.map_entries(injected)))
+    return cut.select(chunk_id.alias("chunk_id"), "doc_id", "seq", "char_start", "chunk_type", "text", metadata.alias("metadata"))
+
+
 def image_references(docs: DataFrame) -> DataFrame:
     """doc_id, nth, target of relative images; absolute, external, anchor and data targets are passed over."""
     found = F.regexp_extract_all("content", F.lit(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(1))
