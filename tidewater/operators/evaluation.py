@@ -140,3 +140,26 @@ def scored_answers(cases: DataFrame) -> DataFrame:
     )
     good = F.expr("behaves AND cited = facts_total AND supported = facts_total AND unknown + forbidden_cited + forbidden_shown + required_missing = 0")
     return scored.withColumn("passed", good).drop("behaves")
+
+
+def release_report(suite: DataFrame, results: DataFrame, key: list[str]) -> DataFrame:
+    """Per mode: cases, passed, failed and missing ones, and the sums of facts over all cases; a case without a result is missing.
+
+    suite: mode, the key's columns, facts_total; results: mode, the key's columns, passed, facts. Repeated results of a case
+    fail it.
+    """
+    judged = _judged(suite, results, key)
+    count = lambda state: F.count_if(F.col("state") == state).alias(state)
+    return judged.groupBy("mode").agg(F.count("*").alias("total"), count("passed"), count("failed"), count("missing"), F.sum("facts").alias("facts"), F.sum("facts_total").alias("facts_total"))
+
+
+def release_failures(suite: DataFrame, results: DataFrame, key: list[str]) -> DataFrame:
+    """A row for each case that failed or is missing: mode, the key's columns and state. No list of a mode is gathered."""
+    return _judged(suite, results, key).where("state <> 'passed'").select("mode", *key, "state")
+
+
+def _judged(suite: DataFrame, results: DataFrame, key: list[str]) -> DataFrame:
+    by = ["mode", *key]
+    one = results.groupBy(*by).agg(F.count("*").alias("n"), F.bool_and(F.coalesce("passed", F.lit(False))).alias("passed"), F.max("facts").alias("facts"))
+    state = F.when(F.col("n").isNull(), "missing").when((F.col("n") == 1) & F.col("passed"), "passed").otherwise("failed")
+    return suite.select(*by, "facts_total").join(one, by, "left").select(*by, "facts_total", F.coalesce("facts", F.lit(0)).alias("facts"), state.alias("state"))

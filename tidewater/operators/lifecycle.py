@@ -103,6 +103,12 @@ def claim(jobs: DataFrame, desired: DataFrame, now: Column) -> DataFrame:
     return jobs.join(desired.select(F.col("id").alias("source_id"), "desired_seq"), "source_id").select("id", decision.alias("decision"), F.when(decision == "claim", F.col("fence") + 1).otherwise(F.col("fence")).alias("fence"))
 
 
+def next_jobs(jobs: DataFrame, desired: DataFrame, now: Column) -> DataFrame:
+    """The job that each source would claim now: of those that may be claimed the one of the highest seq, with its next fence."""
+    open_ = claim(jobs, desired, now).where("decision = 'claim'").join(jobs.select("id", "source_id", "seq"), "id")
+    return open_.groupBy("source_id").agg(F.max_by(F.struct("id", "fence"), F.struct("seq", "id")).alias("x")).select("source_id", "x.id", "x.fence")
+
+
 def backoff(attempt: Column, retry_after: Column | None = None, base: float = 2.0, most: float = 300.0) -> Column:
     """Seconds to wait: exponential, at least what the service asked for, capped; jitter is left out."""
     wait = F.least(base * F.pow(F.lit(2.0), F.greatest(attempt - 1, F.lit(0))), F.lit(most))
