@@ -51,6 +51,21 @@ def test_segmentation(spark, small):
     assert G.segmented(spark.createDataFrame([(1, "中文")], "id long, text string"), words.where("false"), small=small, terms=()).collect() == [(1, ["中", "文"])]
 
 
+def test_large_dictionary_sends_no_other_pieces(spark, monkeypatch):
+    """Beyond the common words, only pieces that are words of the dictionary travel, and the cut is the same."""
+    monkeypatch.setattr(G, "COMMON_ROWS", 5)
+    rng = np.random.default_rng(4)
+    han = list("证书续期过防火墙中文错码误拨号连接失败客户端配置路由表")
+    words = {"".join(rng.choice(han, n)): int(rng.integers(1, 50)) for n in range(1, 8) for _ in range(60)}
+    rows = [(i, "".join([*rng.choice(list(words), 40), " x ", *rng.choice(han, 30)])) for i in range(50)]
+    docs, dictionary = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([*words.items()], "word string, freq long")
+    sent = G.candidates(docs.select(docs.id.alias("key"), "text"), G.word_filter(dictionary, len(words))).collect()
+    true = {(i, t[a:b]) for i, t in rows for a in range(len(t)) for b in range(a + 1, min(len(t), a + G.LONGEST) + 1) if t[a:b] in words}
+    assert true <= set(map(tuple, sent)) and len(sent) <= 1.01 * len(true)
+    cut = lambda small: {r["id"]: r["terms"] for r in G.segmented(docs, dictionary, small=small).collect()}
+    assert cut(100) == cut(1 << 20)
+
+
 @pytest.mark.parametrize("cells", [1 << 22, 0])
 def test_ratio_is_difflibs(cells, monkeypatch):
     monkeypatch.setattr(S, "CELLS", cells)
