@@ -45,6 +45,17 @@ def test_exact_search(spark, table):
             assert [(x[1], x[2]) for x in sorted(found[i])] == [(j, -m) for m, j in want], i
 
 
+def test_rows_travel_once_to_a_slice(spark, table):
+    """All rows as queries: a panel and a slice meet once, not each query and each block."""
+    index = I.build(table, block_rows=8)
+    queries = I._queries(table.withColumnRenamed("id", "query_id"), F.lit(3.2))
+    width = lambda query_ids, score, ids, copies, lists: I.pa.RecordBatch.from_arrays([I.pa.array([len(query_ids)]), I.pa.array([score.shape[1]])], ["queries", "rows"])
+    products = I._scored(index, queries, None, width, "queries long, rows long").collect()
+    blocks = index.blocks(spark)
+    assert blocks.groupBy("slice").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] <= I.SLICE_ROWS
+    assert len(products) < blocks.count() / 2 and max(r["rows"] for r in products) > 100
+
+
 def test_recall_of_probes(spark, table):
     bare = table.drop("scope")
     index = I.build(bare)
