@@ -1,10 +1,15 @@
 """The inverted-file index against exhaustive search: ties, copies, zero and odd vectors, one list of a third of all rows."""
 
+import hashlib
+
+import duckdb
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import vector_index as I
+from tidewater.plans import index_queries
 
 
 def rows_of(seed=1, clusters=12, n=900, d=16):
@@ -78,6 +83,20 @@ def test_duplicates(spark, table):
     assert got == want and sum(n > 0 for n, _, _ in want.values()) > 50
 
 
+def test_duplicate_report_of_odd_documents(spark, tmp_path):
+    """Unknown languages, copies, texts without words and words that cancel out, against the statement."""
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 128
+    words = [f"w{i}" for i in range(900)]
+    zero = next(f"{a} {b}" for a in words[:200] for b in words if abs(place(a) - place(b)) == 64)
+    texts = ["w1 w2 w3 w4", "w1 w2 w3 w4", zero, "", None, "w1 w2 w3 w4 w5", " ".join(words[:300]), " ".join(words[:301])]
+    rows = [(100 * i + j, t, lang) for i, t in enumerate(texts) for j, lang in enumerate(["en", "en", None, None, "de"])]
+    rows += [(1000 + 100 * i, t, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.differences(index_queries.duplicate_report(spark, str(tmp_path)), index_queries.SQL["duplicate_report"], con) == ""
+
+
 def test_empty(spark, table):
     none = table.where("false")
     index = I.build(none)
