@@ -77,6 +77,14 @@ def test_blocks_are_bounded(spark):
     assert over.count() == 0
 
 
+def test_term_stats_write_no_postings(spark, monkeypatch):
+    docs = spark.createDataFrame(texts(), "chunk_id long, text string").repartition(5)
+    want = {r["term"]: (r["df"], round(r["idf"], 9)) for r in L.build(docs).terms(spark).collect()}
+    monkeypatch.setattr(L, "build", None)
+    assert {r["term"]: (r["df"], round(r["idf"], 9)) for r in L.term_stats(docs).collect()} == want
+    assert L.term_stats(docs.where("false")).collect() == []
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "chunk_id long, text string")
     asked = spark.createDataFrame([(1, "a")], "query_id long, text string")

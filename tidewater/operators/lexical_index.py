@@ -117,6 +117,17 @@ def build(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float =
     return LexicalIndex(*paths, n, words, epsilon * (mean or 0.0), k1, b)
 
 
+def term_stats(chunks: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """term, df, idf as of ``build``, without postings: only the terms' partial counts travel."""
+    chunks = chunks.where("chunk_id is not null")
+    n = chunks.count()
+    terms = spread(chunks.select("text")).select(F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
+    counts = written(terms.groupBy("term").agg(F.count("*").alias("df")), "term-counts")
+    raw = _raw_idf(F.col("df"), n)
+    mean = counts.agg(F.avg(raw)).first()[0]
+    return counts.select("term", "df", F.when(raw < 0, F.lit(epsilon * (mean or 0.0))).otherwise(raw).alias("idf"))
+
+
 def asked(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """query_id, term, weight (how often a query has the term, times its inverse document frequency), df and most, the
     upper bound of what the term gives any document."""
