@@ -118,3 +118,17 @@ def test_strict_types(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i long, t string")
     got = {r["i"]: tuple(r["x"]) for r in df.select("i", answers.strict(F.col("t"), fields).alias("x")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("together", [1 << 19, 50])
+def test_pairs_are_compared_together(together, monkeypatch):
+    """Every pair of a product in few rounds, also those given up early and those too large to keep."""
+    monkeypatch.setattr(S, "TOGETHER", together)
+    monkeypatch.setattr(S, "CELLS", 20000)
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefghij 证书"[: rng.integers(2, 13)]), rng.integers(0, 260))) for _ in range(24)] + ["", "", "a"]
+    mine, may = [S.codes(t) for t in texts], [np.array([j for j in range(len(texts)) if j != i and (i + j) % 3], np.int64) for i in range(len(texts))]
+    for floor in (0.0, 0.2, 0.6):
+        for a, some, (at, ratios) in zip(texts, may, S._near(mine, mine, may, floor), strict=True):
+            want = {int(j): r for j in some if (r := difflib.SequenceMatcher(None, a, texts[j]).ratio()) >= floor}
+            assert dict(zip(at.tolist(), ratios.tolist(), strict=True)) == want
