@@ -91,3 +91,20 @@ def test_empty(spark):
     index = L.build(none)
     assert L.scores(index, asked).collect() == [] and L.topk(index, asked, 3).collect() == []
     assert L.topk(L.build(spark.createDataFrame([(1, "a b")], none.schema)), asked.where("false"), 3).collect() == []
+
+
+@pytest.mark.parametrize("panels", [16, 1])
+def test_topk_of_groups_shuffles_no_postings(spark, panels, monkeypatch):
+    """The best of each group without the scores of all pairs; nothing but results is exchanged."""
+    for name, value in (("BLOCK_DOCS", 8), ("PANEL_QUERIES", 3), ("BROADCAST_PANELS", panels)):
+        monkeypatch.setattr(L, name, value)
+    rows = [(i, t, "ab"[i % 3 == 0]) for i, t in texts() if i is not None]
+    index = L.build(spark.createDataFrame(rows, "chunk_id long, text string, group string").repartition(5))
+    asked = spark.createDataFrame([(1, "w5 w7 w9"), (2, "w250 w1 w1"), *[(10 + i, rows[i * 7][1]) for i in range(8)]], "query_id long, text string")
+    best = {}
+    for r in L.scores(index, asked).collect():
+        best.setdefault((r["query_id"], "ab"[r["chunk_id"] % 3 == 0]), []).append((-r["score"], r["chunk_id"]))
+    found = L.topk(index, asked, 4, grouped=True)
+    assert sorted(r[:3] for r in map(tuple, found.collect())) == sorted((*key, i) for key, x in best.items() for _, i in sorted(x)[:4])
+    # what several readers take was made once
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -1,9 +1,10 @@
 """A BM25 index of impact-bounded posting blocks, written once and read by all lexical routes.
 
-Documents are tokenized once, in blocks of bounded size. A row of the index is one term in one block of documents: their
-ids, term frequencies and lengths, and the greatest share that the term can give any of them (its impact, before the
-inverse document frequency). A top-k search adds these bounds up for a query and a block and passes over the block if they
-do not reach the query's k-th score so far, so the result is exact.
+Documents are tokenized once, in blocks of bounded size, where they are read: nothing is shuffled but the terms' counts. A
+row of the index is one block: its documents with their lengths and groups, and for each term their places and term
+frequencies. Panels of queries travel to the blocks. A top-k search adds up, for a query and a block, the greatest shares
+that the terms give any of its documents (their impacts) and passes over the block if these do not reach the query's k-th
+score so far in the task, so the result is exact.
 
 Edge cases: a null or empty text is a document without terms, which counts for the mean length; rows that repeat an id are
 documents of their own; terms in more than half of all documents take epsilon times the mean inverse frequency, and a
@@ -24,17 +25,19 @@ from pyspark.sql import functions as F
 from tidewater.functions.text import tokens
 from tidewater.storage import importable, new_path, spread, written
 
-#: Queries of a panel and blocks of a slice, about: what one task scores at once.
-PANEL_QUERIES, SLICE_BLOCKS = 128, 64
+#: Queries of a panel, about; panels that go to every task whole, of more that many meet a part of the blocks; SLICE_BLOCKS bears on nothing now.
+PANEL_QUERIES, BROADCAST_PANELS, SLICE_BLOCKS = 128, 16, 64
 #: Bounds of a block: documents and tokens (one longer document is a block of its own).
 BLOCK_DOCS, BLOCK_TOKENS = 128, 1 << 18
-_POSTINGS = "term string, block long, ids array<long>, tfs array<int>, lengths array<int>, impact double"
+_BLOCK = "block long, documents array<long>, lengths array<int>, groups array<string>, entries array<struct<term:string,places:array<int>,tfs:array<int>>>"
+#: Blocks are large rows: bytes of a row group, which readers hold whole.
+GROUP_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Paths of the postings and of the terms (term, df), the number of documents and of their tokens, the floor of
-    inverse document frequencies, and the parameters that the impacts were made with."""
+    """Paths of the blocks and of the terms (term, df), the number of documents and of their tokens, the floor of
+    inverse document frequencies, and the parameters of the shares."""
 
     postings_path: str
     terms_path: str
@@ -44,75 +47,83 @@ class LexicalIndex:
     k1: float
     b: float
 
+    def blocks(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(_BLOCK).parquet(self.postings_path)
+
     def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(_POSTINGS).parquet(self.postings_path)
+        """term, block, ids, tfs, lengths and impact, a row for each term of a block."""
+        each = self.blocks(spark).select("block", "documents", "lengths", F.explode("entries").alias("e"))
+        of = lambda name: F.transform("e.places", lambda i: F.get(name, i))
+        rows = each.select("e.term", "block", of("documents").alias("ids"), "e.tfs", of("lengths").alias("lengths"))
+        return rows.withColumn("impact", F.array_max(F.zip_with("tfs", "lengths", lambda tf, n: self.share(tf.cast("double"), n.cast("double")))))
 
     def terms(self, spark: SparkSession) -> DataFrame:
-        """term, df, impact (the highest of its blocks), idf."""
-        terms = spark.read.schema("term string, df long, impact double").parquet(self.terms_path)
+        """term, df, idf."""
+        terms = spark.read.schema("term string, df long").parquet(self.terms_path)
         raw = _raw_idf(F.col("df"), self.n)
-        return terms.select("term", "df", "impact", F.when(raw < 0, F.lit(self.floor)).otherwise(raw).alias("idf"))
+        return terms.select("term", "df", F.when(raw < 0, F.lit(self.floor)).otherwise(raw).alias("idf"))
+
+    @property
+    def mean(self) -> float:
+        return self.words / self.n if self.words else 1.0
 
     def share(self, tf: Column, length: Column) -> Column:
         """What a term gives a document, before its inverse document frequency."""
-        mean = self.words / self.n if self.words else 1.0
-        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / mean))
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.mean))
 
 
 def _raw_idf(df: Column, n: int) -> Column:
     return F.log(F.lit(float(n)) - df + 0.5) - F.log(df + 0.5)
 
 
-def _blocks(k1: float, b: float, mean: float):
-    """Rows of the index from batches of (chunk_id, terms); blocks are numbered inside the task."""
-
-    def blocks(batches):
-        task = TaskContext.get().partitionId() << 32
-        block, ids, lists, held = 0, [], [], 0
-
-        def made():
-            terms = pa.concat_arrays(lists)
-            sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
-            coded = terms.flatten().dictionary_encode()
-            keys, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
-            term, doc = np.divmod(keys, len(ids))
-            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.empty(0, np.int64)
-            share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / mean))
-            offsets = pa.array(np.r_[first, len(term)].astype(np.int32))
-            listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
-            impact = np.maximum.reduceat(share, first) if len(first) else np.empty(0)
-            columns = [coded.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), task + block, np.int64)), listed(np.array(ids, np.int64)[doc]), listed(tf.astype(np.int32)), listed(sizes[doc].astype(np.int32)), pa.array(impact)]
-            return pa.RecordBatch.from_arrays(columns, ["term", "block", "ids", "tfs", "lengths", "impact"])
-
-        for batch in batches:
-            terms, sizes = batch.column("terms"), pc.list_value_length(batch.column("terms")).to_pylist()
-            start = 0
-            for i, (id_, size) in enumerate(zip(batch.column("chunk_id").to_pylist(), sizes, strict=True)):
-                if ids and (len(ids) == BLOCK_DOCS or held + size > BLOCK_TOKENS):
-                    if i > start:
-                        lists.append(terms.slice(start, i - start))
-                    yield made()
-                    block, ids, lists, held, start = block + 1, [], [], 0, i
-                ids.append(id_)
-                held += size
-            lists.append(terms.slice(start))
-        if ids:
-            yield made()
-
-    return blocks
+def _blocks(batches):
+    """Rows of the index from batches of (chunk_id, group, terms); blocks are numbered inside the task."""
+    task = TaskContext.get().partitionId() << 32
+    block, ids, groups, lists, held = 0, [], [], [], 0
+
+    def made():
+        terms = pa.concat_arrays(lists)
+        sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+        coded = terms.flatten().dictionary_encode()
+        keys, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
+        term, doc = np.divmod(keys, len(ids))
+        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.empty(0, np.int64)
+        offsets = pa.array(np.r_[first, len(term)].astype(np.int32))
+        listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32)))
+        entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(term[first])), listed(doc), listed(tf)], ["term", "places", "tfs"])
+        whole = pa.ListArray.from_arrays(pa.array([0, len(entries)], pa.int32()), entries)
+        columns = [pa.array([task + block]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([groups], pa.list_(pa.string())), whole]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _BLOCK.split(", ")])
+
+    for batch in batches:
+        terms, sizes = batch.column("terms"), pc.list_value_length(batch.column("terms")).to_pylist()
+        start = 0
+        for i, (id_, group, size) in enumerate(zip(batch.column("chunk_id").to_pylist(), batch.column("group").to_pylist(), sizes, strict=True)):
+            if ids and (len(ids) == BLOCK_DOCS or held + size > BLOCK_TOKENS):
+                if i > start:
+                    lists.append(terms.slice(start, i - start))
+                yield made()
+                block, ids, groups, lists, held, start = block + 1, [], [], [], 0, i
+            ids.append(id_)
+            groups.append(group)
+            held += size
+        lists.append(terms.slice(start))
+    if ids:
+        yield made()
 
 
 def build(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> LexicalIndex:
-    """Index of chunks (chunk_id long, text). One pass counts the words, for the mean length; the next makes the blocks."""
+    """Index of chunks (chunk_id long, text, optionally group string, which a search may rank apart)."""
     spark = chunks.sparkSession
     importable(spark)
-    tokenized = spread(chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")).select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
-    n, words = tokenized.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-    blocks = tokenized.mapInArrow(_blocks(k1, b, words / n if words else 1.0), _POSTINGS)
-    # a term of very many blocks goes to several places
+    group = F.col("group").cast("string") if "group" in chunks.columns else F.lit(None).cast("string")
+    rows = spread(chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), group.alias("group"), "text"))
+    tokenized = rows.select("chunk_id", "group", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
     paths = new_path(spark, "postings"), new_path(spark, "term-counts")
-    postings = written(blocks.repartition("term", F.pmod("block", F.lit(16))).sortWithinPartitions("term", "block"), "", paths[0])
-    terms = written(postings.groupBy("term").agg(F.sum(F.size("ids")).cast("long").alias("df"), F.max("impact").alias("impact")), "", paths[1])
+    blocks = written(tokenized.mapInArrow(_blocks, _BLOCK), "", paths[0], group_bytes=GROUP_BYTES)
+    n, words = blocks.agg(F.coalesce(F.sum(F.size("documents")), F.lit(0)), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))).first()
+    counts = blocks.select(F.inline(F.transform("entries", lambda e: F.struct(e["term"].alias("term"), F.size(e["places"]).alias("n")))))
+    terms = written(counts.groupBy("term").agg(F.sum("n").cast("long").alias("df")), "", paths[1])
     mean = terms.agg(F.avg(_raw_idf(F.col("df"), n))).first()[0]
     return LexicalIndex(*paths, n, words, epsilon * (mean or 0.0), k1, b)
 
@@ -129,11 +140,9 @@ def term_stats(chunks: DataFrame, epsilon: float = 0.25) -> DataFrame:
 
 
 def asked(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """query_id, term, weight (how often a query has the term, times its inverse document frequency), df and most, the
-    upper bound of what the term gives any document."""
+    """query_id, term, weight: how often a query has the term, times its inverse document frequency."""
     terms = queries.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    weight = F.col("qn") * F.col("idf")
-    return terms.join(index.terms(queries.sparkSession), "term").select("query_id", "term", weight.alias("weight"), "df", F.greatest(weight * F.col("impact"), F.lit(0.0)).alias("most"))
+    return terms.join(index.terms(queries.sparkSession), "term").select("query_id", "term", (F.col("qn") * F.col("idf")).alias("weight"))
 
 
 def _parts(index: LexicalIndex, rows: DataFrame, *keep: str) -> DataFrame:
@@ -148,82 +157,119 @@ def scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     return _parts(index, rows).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
 
 
-_PANEL = "panel long, slice long, query_id long, terms array<string>, weights array<double>, kth double"
-_BEST = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
-
-
-def _product(k: int):
-    """The k best documents of each query of a panel in a slice of blocks: per block one product of weights and shares."""
-
-    def best(panel: pa.Table, rows: pa.Table) -> pa.Table:
-        if not panel.num_rows or not rows.num_rows:
-            return _BEST.empty_table()
-        names = rows.column("term").combine_chunks().dictionary_encode()
-        place = {t: i for i, t in enumerate(names.dictionary.to_pylist())}
-        queries = panel.column("query_id").to_numpy()
-        weights = np.zeros((len(queries), len(place)))
-        for i, (terms, values) in enumerate(zip(panel.column("terms").to_pylist(), panel.column("weights").to_pylist(), strict=True)):
-            for term, value in zip(terms, values, strict=True):
-                if term in place:
-                    weights[i, place[term]] = value
-        kth = np.nan_to_num(panel.column("kth").to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0)
-        found, at = np.full((len(queries), k), -np.inf), np.zeros((len(queries), k), np.int64)
-        codes, impacts, blocks = names.indices.to_numpy(), rows.column("impact").to_numpy(), rows.column("block").to_numpy()
-        flat = lambda name: rows.column(name).combine_chunks().flatten().to_numpy()
-        sizes = pc.list_value_length(rows.column("ids").combine_chunks()).to_numpy(zero_copy_only=False)
-        ids, shares, ends = flat("ids"), flat("shares"), np.cumsum(sizes)
-        order = np.argsort(blocks, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
-            own = weights[:, codes[some]]
-            # scores are rounded to six digits, so a bound may lie that much below one
-            alive = np.flatnonzero(np.maximum(own * impacts[some], 0.0).sum(axis=1) >= np.maximum(kth, found[:, -1]) - 1e-5)
-            if not len(alive):
+_BEST = pa.schema([("query_id", pa.int64()), ("group", pa.string()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+
+
+def _met(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """Every block with every panel of the queries' terms (query_id, term, weight): few panels go to each task whole, of more
+    a part meets a part of the blocks."""
+    spark = terms.sparkSession
+    importable(spark)
+    terms = written(terms, "asked")
+    panels = max(1, -(-terms.select("query_id").distinct().count() // PANEL_QUERIES))
+    one = terms.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(panels)).alias("panel")).agg(*(F.collect_list(x).alias(name) for x, name in (("query_id", "asking"), ("term", "terms"), ("weight", "weights"))))
+    few = panels <= BROADCAST_PANELS
+    return spread(index.blocks(spark)).crossJoin(F.broadcast(one) if few else written(one.repartition(-(-panels // BROADCAST_PANELS)), "panels"))
+
+
+class _Panel:
+    """Queries, their terms as places in a vocabulary, and weights."""
+
+    def __init__(self, row: dict):
+        self.queries, self.of = np.unique(np.array(row["asking"], np.int64), return_inverse=True)
+        coded = pa.array(row["terms"], pa.string()).dictionary_encode()
+        self.vocabulary, self.codes, self.weights = coded.dictionary, coded.indices.to_numpy(), np.array(row["weights"], np.float64)
+
+    def own(self, codes: np.ndarray) -> np.ndarray:
+        """Weights of the queries by these terms."""
+        at = np.full(len(self.vocabulary), -1)
+        at[codes] = np.arange(len(codes))
+        some = np.flatnonzero(at[self.codes] >= 0)
+        out = np.zeros((len(self.queries), len(codes)))
+        out[self.of[some], at[self.codes[some]]] = self.weights[some]
+        return out
+
+
+def _matches(batches):
+    """For each block and panel: the panel, the block's documents, lengths and groups, the terms that both have, and for
+    each posting the term's place among these, its document's place and its term frequency."""
+    panels: dict[int, _Panel] = {}
+    for batch in batches:
+        entries = batch.column("entries")
+        terms, places, tfs = entries.values.flatten()
+        start, inner = entries.offsets.to_numpy(), places.offsets.to_numpy()
+        places, tfs = places.values.to_numpy(), tfs.values.to_numpy()
+        for i, panel in enumerate(batch.column("panel").to_pylist()):
+            if panel not in panels:
+                panels[panel] = _Panel({x: batch.column(x)[i].as_py() for x in ("asking", "terms", "weights")})
+            asks = panels[panel]
+            codes = pc.fill_null(pc.index_in(terms.slice(start[i], start[i + 1] - start[i]), asks.vocabulary), -1).to_numpy()
+            some = np.flatnonzero(codes >= 0)
+            if not len(some):
                 continue
-            postings = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in some])
-            documents, column = np.unique(ids[postings], return_inverse=True)
-            given = np.zeros((len(some), len(documents)))
-            np.add.at(given, (np.repeat(np.arange(len(some)), sizes[some]), column), shares[postings])
-            score = np.floor(own[alive] @ given * 1e6 + 0.5) / 1e6
-            score, both = np.hstack([found[alive], np.where(score > 0, score, -np.inf)]), np.hstack([at[alive], np.broadcast_to(documents, score.shape)])
-            first = np.lexsort((both, -score), axis=1)[:, :k]
-            found[alive], at[alive] = np.take_along_axis(score, first, 1), np.take_along_axis(both, first, 1)
-        q, j = np.nonzero(np.isfinite(found))
-        return pa.Table.from_arrays([pa.array(queries[q]), pa.array(at[q, j]), pa.array(found[q, j])], schema=_BEST)
+            at, sizes = inner[start[i] + some], np.diff(inner)[start[i] + some]
+            of = np.repeat(np.arange(len(some)), sizes)
+            posting = np.arange(len(of)) + np.repeat(at - (np.cumsum(sizes) - sizes), sizes)
+            flat = lambda name: batch.column(name)[i].values  # noqa: B023, E731
+            yield panel, asks, flat("documents").to_numpy(), flat("lengths").to_numpy(), flat("groups"), codes[some], of, places[posting], tfs[posting]
+
+
+def _product(index: LexicalIndex, k: int):
+    """The k best documents of each query, and of each group apart, in the blocks of a task: per block one product of weights and shares."""
+    k1, b, mean = index.k1, index.b, index.mean
+
+    def best(batches):
+        held: dict[tuple, tuple] = {}
+        for panel, asks, ids, lengths, groups, codes, of, place, tf in _matches(batches):
+            share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[place] / mean))
+            own, names = asks.own(codes), groups.dictionary_encode("encode")
+            for group in np.unique(names.indices.to_numpy()[place]):
+                mine = names.indices.to_numpy()[place] == group
+                documents, column = np.unique(ids[place[mine]], return_inverse=True)
+                given = np.zeros((len(codes), len(documents)))
+                np.add.at(given, (of[mine], column), share[mine])
+                key = panel, names.dictionary[group].as_py()
+                if key not in held:
+                    held[key] = asks.queries, np.full((len(asks.queries), k), -np.inf), np.zeros((len(asks.queries), k), np.int64)
+                _, found, at = held[key]
+                # scores are rounded to six digits, so a bound may lie that much below one
+                alive = np.flatnonzero(np.maximum(own * given.max(axis=1), 0.0).sum(axis=1) >= np.maximum(found[:, -1], 0.0) - 1e-5)
+                if not len(alive):
+                    continue
+                score = np.floor(own[alive] @ given * 1e6 + 0.5) / 1e6
+                score, both = np.hstack([found[alive], np.where(score > 0, score, -np.inf)]), np.hstack([at[alive], np.broadcast_to(documents, score.shape)])
+                first = np.lexsort((both, -score), axis=1)[:, :k]
+                found[alive], at[alive] = np.take_along_axis(score, first, 1), np.take_along_axis(both, first, 1)
+        for (_, group), (queries, found, at) in held.items():
+            q, j = np.nonzero(np.isfinite(found))
+            yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array([group] * len(q), pa.string()), pa.array(at[q, j]), pa.array(found[q, j])], schema=_BEST)
 
     return best
 
 
-def topk(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
-    """The k best of ``scores`` for each query: query_id, chunk_id, score.
+def topk(index: LexicalIndex, queries: DataFrame, k: int, grouped: bool = False) -> DataFrame:
+    """The k best of ``scores`` for each query, or of each group of documents apart: query_id, (group,) chunk_id, score.
 
-    Queries go in panels, and blocks of documents in slices. In a slice a block is scored for a query only if its terms'
-    impacts can still reach the k-th score found so far; where there are many slices, a sixteenth of them goes first and
-    gives all others a k-th score to begin with.
+    Panels of queries meet the blocks where these lie; no more than the k best of a task leave it. A block is scored for a
+    query only if its terms' impacts can still reach the k-th score found so far.
     """
-    spark = queries.sparkSession
-    importable(spark)
-    slices, panels = max(1, -(-index.n // (BLOCK_DOCS * SLICE_BLOCKS))), max(1, -(-queries.count() // PANEL_QUERIES))
-    terms = asked(index, queries).groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    panel = written(terms.withColumn("panel", F.pmod(F.xxhash64("query_id"), F.lit(panels))), "panels")
-    wanted = panel.select(F.col("panel").alias("to"), F.explode("terms").alias("term")).distinct()
-    postings = index.postings(spark).withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices)))
-    # only what the blocks' documents get from a term travels, eight bytes each
-    share = F.zip_with("tfs", "lengths", lambda tf, length: index.share(tf.cast("double"), length.cast("double")))
-    rows = postings.join(wanted, "term").select(F.col("to").alias("panel"), "slice", "term", "block", "ids", share.alias("shares"), "impact")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-
-    def found(panel: DataFrame, some: DataFrame, of: list[int]) -> DataFrame:
-        every = panel.withColumn("at", F.explode(F.sequence(F.lit(of[0]), F.lit(of[-1])))).withColumn("slice", F.col("at").cast("long")).select(*[x.split()[0] for x in _PANEL.split(", ")])
-        pairs = every.groupBy("panel", "slice").cogroup(some.groupBy("panel", "slice"))
-        each = pairs.applyInArrow(_product(k), "query_id long, chunk_id long, score double")
-        return each.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-
-    panel = panel.withColumn("kth", F.lit(None).cast("double"))
-    if slices > 16:
-        few = range(-(-slices // 16))
-        kth = found(panel, rows.where(F.col("slice") < len(few)), list(few)).where(F.col("place") == k).select("query_id", F.col("score").alias("kth"))
-        panel = written(panel.drop("kth").join(kth, "query_id", "left"), "panels")
-    return found(panel, rows, list(range(slices))).drop("place")
+    keys = ["query_id", *(["group"] if grouped else [])]
+    blocks = _met(index, asked(index, queries))
+    if not grouped:
+        blocks = blocks.withColumn("groups", F.transform("groups", lambda _: F.lit(None).cast("string")))
+    each = blocks.mapInArrow(_product(index, k), "query_id long, group string, chunk_id long, score double")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id"))
+    # few rows, which several readers of a plan take
+    return written(each.withColumn("place", place).where(F.col("place") <= k).select(*keys, "chunk_id", "score"), "best")
+
+
+def _holding(batches):
+    """(query_id, chunk_id) of the documents that hold a query's term."""
+    for _, asks, ids, _, _, codes, of, place, _ in _matches(batches):
+        hit = asks.own(codes) > 0
+        for q in np.flatnonzero(hit.any(axis=1)):
+            found = ids[place[hit[q][of]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), asks.queries[q])), pa.array(found)], ["query_id", "chunk_id"])
 
 
 def containing(index: LexicalIndex, queries: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,9 +285,10 @@ def containing(index: LexicalIndex, queries: DataFrame, texts: DataFrame) -> Dat
     known = asked_for.select("query_id", F.explode(F.array_distinct("inner")).alias("term")).join(index.terms(queries.sparkSession).select("term", "df"), "term", "left")
     # a word that no document has is the rarest of all
     rarest = known.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    found = index.postings(queries.sparkSession).select("term", "ids").join(rarest, "term").select("query_id", F.explode("ids").alias("chunk_id")).distinct()
+    found = _met(index, rarest.select("query_id", "term", F.lit(1.0).alias("weight"))).mapInArrow(_holding, "query_id long, chunk_id long")
+    found = written(found.distinct(), "holding")
     near = texts.select("chunk_id", "text").join(found, "chunk_id").join(asked_for.select("query_id", "passage"), "query_id").where(F.contains("text", F.col("passage")))
     rest = asked_for.where(F.size("inner") == 0).select("query_id", "passage")
     if rest.isEmpty():
-        return near.select("query_id", "chunk_id")
-    return near.select("query_id", "chunk_id").unionByName(texts.join(rest, F.contains("text", F.col("passage"))).select("query_id", "chunk_id"))
+        return written(near.select("query_id", "chunk_id"), "containing")  # the texts are looked at once, whoever reads the pairs
+    return written(near.select("query_id", "chunk_id").unionByName(texts.join(rest, F.contains("text", F.col("passage"))).select("query_id", "chunk_id")), "containing")

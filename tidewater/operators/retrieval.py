@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators import lexical_index as L
+from tidewater.storage import written
 
 QUERY_BLOCK = 1024
 
@@ -106,7 +107,8 @@ def vector_scores(queries: DataFrame, chunks: DataFrame, most: int) -> DataFrame
                 )
 
         found = found.unionByName(usable.mapInArrow(scan, "query_id long, chunk_id long, score double"))
-    return ranked(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], most=most).select("query_id", "chunk_id", "score")
+    best = ranked(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], most=most).select("query_id", "chunk_id", "score")
+    return written(best, "best")  # few rows, which several readers of a plan take
 
 
 def vector_route(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
