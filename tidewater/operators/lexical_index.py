@@ -2,7 +2,7 @@
 
 Documents are tokenized once, in blocks of bounded size, where they are read: nothing is shuffled but the terms' counts. A
 row of the index is one block: its documents with their lengths and groups, and for each term their places and term
-frequencies. Panels of queries travel to the blocks. A top-k search adds up, for a query and a block, the greatest shares
+frequencies, as little-endian numbers (the terms as Arrow has them), so that a scan copies bytes. Panels of queries travel to the blocks. A top-k search adds up, for a query and a block, the greatest shares
 that the terms give any of its documents (their impacts) and passes over the block if these do not reach the query's k-th
 score so far in the task, so the result is exact.
 
@@ -29,7 +29,7 @@ from tidewater.storage import importable, new_path, spread, written
 PANEL_QUERIES, BROADCAST_PANELS, SLICE_BLOCKS = 128, 16, 64
 #: Bounds of a block: documents and tokens (one longer document is a block of its own).
 BLOCK_DOCS, BLOCK_TOKENS = 128, 1 << 18
-_BLOCK = "block long, documents array<long>, lengths array<int>, groups array<string>, entries array<struct<term:string,places:array<int>,tfs:array<int>>>"
+_BLOCK = "block long, words long, documents binary, lengths binary, groups array<string>, chars binary, ends binary, counts binary, places binary, tfs binary"
 #: Blocks are large rows: bytes of a row group, which readers hold whole.
 GROUP_BYTES = 16 << 20
 
@@ -52,9 +52,8 @@ class LexicalIndex:
 
     def postings(self, spark: SparkSession) -> DataFrame:
         """term, block, ids, tfs, lengths and impact, a row for each term of a block."""
-        each = self.blocks(spark).select("block", "documents", "lengths", F.explode("entries").alias("e"))
-        of = lambda name: F.transform("e.places", lambda i: F.get(name, i))
-        rows = each.select("e.term", "block", of("documents").alias("ids"), "e.tfs", of("lengths").alias("lengths"))
+        importable(spark)
+        rows = self.blocks(spark).mapInArrow(_postings, "term string, block long, ids array<long>, tfs array<int>, lengths array<int>")
         return rows.withColumn("impact", F.array_max(F.zip_with("tfs", "lengths", lambda tf, n: self.share(tf.cast("double"), n.cast("double")))))
 
     def terms(self, spark: SparkSession) -> DataFrame:
@@ -88,12 +87,12 @@ def _blocks(batches):
         keys, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
         term, doc = np.divmod(keys, len(ids))
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.empty(0, np.int64)
-        offsets = pa.array(np.r_[first, len(term)].astype(np.int32))
-        listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32)))
-        entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(term[first])), listed(doc), listed(tf)], ["term", "places", "tfs"])
-        whole = pa.ListArray.from_arrays(pa.array([0, len(entries)], pa.int32()), entries)
-        columns = [pa.array([task + block]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([groups], pa.list_(pa.string())), whole]
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _BLOCK.split(", ")])
+        names = coded.dictionary.take(pa.array(term[first])).cast(pa.string())
+        _, ends, chars = pa.concat_arrays([names]).buffers() if len(names) else (None, b"\0\0\0\0", b"")
+        numbers = lambda x, kind="<i4": np.asarray(x).astype(kind).tobytes()
+        row = [task + block, int(sizes.sum()), numbers(ids, "<i8"), numbers(sizes), groups, bytes(chars or b""), bytes(ends)[: 4 * len(names) + 4], numbers(np.diff(np.r_[first, len(term)])), numbers(doc), numbers(tf)]
+        kinds = {"long": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+        return pa.RecordBatch.from_arrays([pa.array([v], kinds[x.split()[1]]) for v, x in zip(row, _BLOCK.split(", "), strict=True)], [x.split()[0] for x in _BLOCK.split(", ")])
 
     for batch in batches:
         terms, sizes = batch.column("terms"), pc.list_value_length(batch.column("terms")).to_pylist()
@@ -112,6 +111,29 @@ def _blocks(batches):
         yield made()
 
 
+def _rows(batches):
+    """block, documents, lengths, groups, terms, counts, places and term frequencies of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            at = lambda name: batch.column(name)[i].as_buffer()  # noqa: B023, E731
+            number = lambda name, kind="<i4": np.frombuffer(at(name), kind)  # noqa: B023, E731
+            counts = number("counts")
+            terms = pa.StringArray.from_buffers(len(counts), at("ends"), at("chars"))
+            yield batch, i, number("documents", "<i8"), number("lengths"), batch.column("groups")[i].values, terms, counts, number("places"), number("tfs")
+
+
+def _counts(batches):
+    for _, _, _, _, _, terms, counts, _, _ in _rows(batches):
+        yield pa.RecordBatch.from_arrays([terms, pa.array(counts)], ["term", "n"])
+
+
+def _postings(batches):
+    for batch, i, ids, lengths, _, terms, counts, places, tfs in _rows(batches):
+        offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+        listed = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[places], tfs, lengths[places])]
+        yield pa.RecordBatch.from_arrays([terms, pa.array([batch.column("block")[i].as_py()] * len(terms), pa.int64()), *listed], ["term", "block", "ids", "tfs", "lengths"])
+
+
 def build(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> LexicalIndex:
     """Index of chunks (chunk_id long, text, optionally group string, which a search may rank apart)."""
     spark = chunks.sparkSession
@@ -121,8 +143,8 @@ def build(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float =
     tokenized = rows.select("chunk_id", "group", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
     paths = new_path(spark, "postings"), new_path(spark, "term-counts")
     blocks = written(tokenized.mapInArrow(_blocks, _BLOCK), "", paths[0], group_bytes=GROUP_BYTES)
-    n, words = blocks.agg(F.coalesce(F.sum(F.size("documents")), F.lit(0)), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))).first()
-    counts = blocks.select(F.inline(F.transform("entries", lambda e: F.struct(e["term"].alias("term"), F.size(e["places"]).alias("n")))))
+    n, words = blocks.agg(F.coalesce(F.sum(F.size("groups")), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    counts = blocks.mapInArrow(_counts, "term string, n int")
     terms = written(counts.groupBy("term").agg(F.sum("n").cast("long").alias("df")), "", paths[1])
     mean = terms.agg(F.avg(_raw_idf(F.col("df"), n))).first()[0]
     return LexicalIndex(*paths, n, words, epsilon * (mean or 0.0), k1, b)
@@ -194,24 +216,18 @@ def _matches(batches):
     """For each block and panel: the panel, the block's documents, lengths and groups, the terms that both have, and for
     each posting the term's place among these, its document's place and its term frequency."""
     panels: dict[int, _Panel] = {}
-    for batch in batches:
-        entries = batch.column("entries")
-        terms, places, tfs = entries.values.flatten()
-        start, inner = entries.offsets.to_numpy(), places.offsets.to_numpy()
-        places, tfs = places.values.to_numpy(), tfs.values.to_numpy()
-        for i, panel in enumerate(batch.column("panel").to_pylist()):
-            if panel not in panels:
-                panels[panel] = _Panel({x: batch.column(x)[i].as_py() for x in ("asking", "terms", "weights")})
-            asks = panels[panel]
-            codes = pc.fill_null(pc.index_in(terms.slice(start[i], start[i + 1] - start[i]), asks.vocabulary), -1).to_numpy()
-            some = np.flatnonzero(codes >= 0)
-            if not len(some):
-                continue
-            at, sizes = inner[start[i] + some], np.diff(inner)[start[i] + some]
+    for batch, i, ids, lengths, groups, terms, counts, places, tfs in _rows(batches):
+        panel = batch.column("panel")[i].as_py()
+        if panel not in panels:
+            panels[panel] = _Panel({x: batch.column(x)[i].as_py() for x in ("asking", "terms", "weights")})
+        asks = panels[panel]
+        codes = pc.fill_null(pc.index_in(terms, asks.vocabulary), -1).to_numpy()
+        some = np.flatnonzero(codes >= 0)
+        if len(some):
+            sizes, first = counts[some], (np.cumsum(counts) - counts)[some]
             of = np.repeat(np.arange(len(some)), sizes)
-            posting = np.arange(len(of)) + np.repeat(at - (np.cumsum(sizes) - sizes), sizes)
-            flat = lambda name: batch.column(name)[i].values  # noqa: B023, E731
-            yield panel, asks, flat("documents").to_numpy(), flat("lengths").to_numpy(), flat("groups"), codes[some], of, places[posting], tfs[posting]
+            posting = np.arange(len(of)) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+            yield panel, asks, ids, lengths, groups, codes[some], of, places[posting], tfs[posting]
 
 
 def _product(index: LexicalIndex, k: int):
