@@ -10,24 +10,46 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 _KEEP = 1 << 19  # pieces remembered by a worker, some 100 MB
-_AT_ONCE = 1 << 20  # characters encoded at once, about
+_AT_ONCE = 1 << 21  # characters encoded at once, about
 _OPEN: dict[str, Encoder] = {}
 #: Letters, digits, punctuation and white space that every Unicode version classes alike.
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ–—‘-„…€]")
-#: The vocabulary's split pattern ('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+) over those
-#: characters alone.
+#: Kinds of those characters for the vocabulary's split pattern ('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+):
+#: white space 0, letters 1, digits 2, others 3.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\t\n\r {_L}{_N}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
+_KIND = np.array([0 if x in "\t\n\r " else 1 if re.match(f"[{_L}]", x) else 2 if re.match(f"[{_N}]", x) else 3 for x in map(chr, range(ord("€") + 1))], np.uint8)
 #: Pieces of one space and letters: a run of them splits in the same places again.
 _JOINABLE = re.compile(f" [{_L}]+").fullmatch
 
 
+def cuts(code: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where the split pattern's pieces start, and the end: of code points, all of known kinds, of texts between the edges."""
+    kind, first = _KIND[code], np.zeros(len(code) + 3, bool)
+    first[edges] = True
+    start = first.copy()
+    start[1 : len(code)] |= kind[1:] != kind[:-1]
+    # the last of a text's white space before other characters stands alone, a space with them
+    after = np.flatnonzero((kind[:-1] == 0) & (kind[1:] != 0)) + 1
+    after = after[~first[after]]
+    start[after - 1] = True
+    start[after[code[after - 1] == 32]] = False
+    # an apostrophe that starts a piece takes one or two certain letters of its text with it, and no more
+    mark = np.flatnonzero(code == 39)
+    mark = mark[start[mark]]
+    next_, second = (np.where(first[mark + i], 0, np.append(code, [0, 0])[mark + i]) for i in (1, 2))
+    one = np.isin(next_, [115, 116, 109, 100])
+    two = ((next_ == 114) | (next_ == 118)) & (second == 101) | (next_ == 108) & (second == 108)
+    start[mark[one | two] + 1] = False
+    start[mark[one] + 2] = start[mark[two] + 3] = True
+    return np.flatnonzero(start[: len(code) + 1])
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -79,20 +101,33 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without special tokens; a null text is empty. What the memo lacks is asked for at once."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            whole = text and (self.memo is None or _ODD.search(text) or any(x in text for x in self.special))
-            cut.append(None if whole else _PIECES.findall(text or ""))
-        distinct = set(chain.from_iterable(x for x in cut if x))
-        new = distinct.difference(self.memo or ())
+        whole = [bool(x) and (self.memo is None or bool(_ODD.search(x)) or any(y in x for y in self.special)) for x in texts]
+        ask = iter(self._ask([x for x, alone in zip(texts, whole, strict=True) if alone]))
+        cut = self._by_pieces(["" if alone else x or "" for x, alone in zip(texts, whole, strict=True)])
+        return [np.frombuffer(next(ask), self.dtype) if alone else x for x, alone in zip(cut, whole, strict=True)]
+
+    def _by_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts: each distinct piece is looked up once, Arrow puts the pieces' ids in the texts' order."""
+        text = "".join(texts)
+        if not text:
+            return [np.empty(0, self.dtype)] * len(texts)
+        edges = np.cumsum([0, *map(len, texts)])
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        at = cuts(code, edges)
+        places = at if text.isascii() else np.cumsum(np.concatenate([[0], 1 + (code >= 0x80) + (code >= 0x800)]))[at]
+        pieces = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(text.encode())).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = [*map(self.memo.get, distinct)]
+        new = [x for x, ids in zip(distinct, known, strict=True) if ids is None]
         if new:
             if len(self.memo) + len(new) > _KEEP:
                 self.memo.clear()
                 new = distinct
-            self._learn(list(new))
-        get = self.memo.__getitem__ if self.memo is not None else None
-        ask = iter(self._ask([t for t, x in zip(texts, cut, strict=True) if x is None]))
-        return [np.frombuffer(next(ask) if x is None else b"".join(map(get, x)), self.dtype) for x in cut]
+            self._learn(new)
+            known = [*map(self.memo.__getitem__, distinct)] if new is distinct else [self.memo[x] if ids is None else ids for x, ids in zip(distinct, known, strict=True)]
+        _, ends, ids = pa.array(known, pa.large_binary()).take(pieces.indices).buffers()
+        ends = np.frombuffer(ends, np.int64)[np.searchsorted(at, edges)] // self.dtype.itemsize
+        return np.split(np.frombuffer(ids, self.dtype, ends[-1]), ends[1:-1])
 
     def groups(self, batch):
         """(doc_id, ids) of an Arrow batch's rows, some texts at once."""
