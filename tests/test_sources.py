@@ -5,6 +5,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.sources import markdown, snapshots
 
@@ -72,3 +73,32 @@ def test_streams_and_headers(spark):
 def test_nested_samples(spark):
     found = snapshots.nested_samples(spark.range(100), "id", [5, 20], 7).collect()
     assert len(found) == 20 and sum(r.corpus == 5 for r in found) == 5
+
+
+def test_sections_keep_rows_where_they_lie(spark):
+    docs = spark.createDataFrame(
+        [(1, "short\r\n##  \x0bno\n## A\n\n### deep\n##no\n" + " " * 200_000 + "x \n## B\t"), (1, "## C\n" + "y" * 60), (2, ""), (3, None), (4, "z" * 60 + "\n##\n## \n##\tD"), (None, "alone")], "doc_id long, content string"
+    )
+    parts = markdown.sections(docs)
+    assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in parts.where("seq > 0").collect():
+        found.setdefault(r.doc_id, []).append((r.seq, r.text))
+    assert sorted(found[1]) == [(1, "##  \nno"), (1, "## C\n" + "y" * 60), (2, "## A\n\n### deep\n##no\n" + " " * 200_000 + "x"), (3, "## B")]
+    assert found[4] == [(1, "z" * 60 + "\n##\n##"), (2, "##\tD")] and found[None] == [(1, "alone")] and set(found) == {1, 4, None}
+    assert parts.where("seq = 0").count() == 6
+
+
+def test_bounded_pieces(spark):
+    texts = [None, "", "a" * 9, "ab\n\U0001f600é" * 4]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", markdown.bounded(F.col("text"), 9).alias("pieces")).collect()
+    for r in rows:
+        starts = range(0, max(len(r.text or "") - 1, 0) + 1, 9)
+        assert [tuple(x) for x in r.pieces] == [(i, r.text and r.text[i : i + 9]) for i in starts]
+
+
+def test_generation_chunks_of_repeated_and_missing_ids(spark):
+    docs = spark.createDataFrame([(1, "p", "one", {"a": "b"}), (1, "q", "two", {"a": "b"}), (None, "r", "three", {"a": "b"})], "doc_id long, path string, content string, meta map<string,string>")
+    found = markdown.generation_chunks(docs, "kb", F.lit("r1"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r.doc_id), r.chunk_id is None, r.text, r.metadata["source_url"]) for r in found.where("chunk_type = 'child'").collect()) == [("1", False, "one", "p"), ("1", False, "two", "q"), ("None", True, "three", "r")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What counts as a line break.
@@ -53,29 +53,34 @@ def documents(files: DataFrame, strict: bool = False) -> DataFrame:
     return found.withColumn("doc_id", F.substring(F.sha2("path", 256), 1, 16))
 
 
+def _parts(docs: DataFrame, *columns: str, least_intro: int = 60) -> DataFrame:
+    """The named columns of docs with seq, chunk_type and text of a whole text: the parent, and the children in order."""
+    # a select for each step, so that none is worked out twice
+    plain = docs.select(*columns, "content", F.regexp_replace("content", BREAKS, "\n").alias("text"))
+    found = plain.select(*columns, "content", F.split("text", r"\n(?=##[ \t][^\n])", -1).alias("found"), F.col("text").rlike(r"\A##[ \t][^\n]").alias("headed"))
+    # only the end of the last run of white space is looked for, once for a run
+    trimmed = F.transform("found", lambda x: F.regexp_replace(x, r"\A[\s\p{Z}]++|(?<![\s\p{Z}])[\s\p{Z}]++\z", ""))
+    kept = F.filter(trimmed, lambda x, i: (x != "") & ((i > 0) | F.col("headed") | (F.size("found") == 1) | (F.length(x) >= least_intro)))
+    row = lambda seq, kind, x: F.struct(seq.cast("int").alias("seq"), F.lit(kind).alias("chunk_type"), x.alias("text"))
+    none = F.array().cast("array<struct<seq:int,chunk_type:string,text:string>>")
+    parts = F.concat(F.array(row(F.lit(0), "parent", F.col("content"))), F.coalesce(F.transform(kept, lambda x, i: row(i + 1, "child", x)), none))
+    return found.select(*columns, F.inline(parts))
+
+
 def sections(docs: DataFrame, least_intro: int = 60) -> DataFrame:
     """doc_id, seq, chunk_type, text: the whole text as the parent (seq 0) and a child for each second-level heading.
 
     Text before the first heading is a child if it has at least ``least_intro`` characters; without any heading the
-    whole text is the only child. Deeper headings stay inside.
+    whole text is the only child. Deeper headings stay inside. A document is cut where it lies; nothing is shuffled.
     """
-    lines = F.split("content", BREAKS, -1)
-    marked = docs.select("doc_id", "content", lines.alias("lines")).select("doc_id", "content", F.posexplode("lines").alias("n", "line"))
-    heading = F.col("line").rlike(r"^##\s+(.+)$")
-    part = F.count_if(heading).over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    grouped = marked.withColumn("part", part).groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    trimmed = grouped.withColumn("text", F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).withColumn("parts", F.max("part").over(Window.partitionBy("doc_id")))
-    children = trimmed.where((F.col("part") > 0) | ((F.col("parts") == 0)) | (F.length("text") >= least_intro)).where("text <> ''")
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("part"))
-    children = children.select("doc_id", seq.alias("seq"), F.lit("child").alias("chunk_type"), "text")
-    parents = docs.select("doc_id", F.lit(0).alias("seq"), F.lit("parent").alias("chunk_type"), F.col("content").alias("text"))
-    return parents.unionByName(children)
+    return _parts(docs, "doc_id", least_intro=least_intro)
 
 
 def bounded(text: Column, most: int = 1800) -> Column:
-    """array<struct<char_start, text>> of pieces of at most ``most`` characters; an empty text is one empty piece."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(most))
-    return F.transform(starts, lambda s: F.struct(s.alias("char_start"), F.substring(text, s + 1, F.lit(most)).alias("text")))
+    """array<struct<char_start, text>> of pieces of at most ``most`` characters, cut in one pass; an empty text is one empty piece."""
+    piece = lambda start, x: F.struct(start.cast("int").alias("char_start"), x.alias("text"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{most}}}"), F.lit(0)), lambda x, i: piece(i * most, x))
+    return F.when(F.length(text) > 0, found).otherwise(F.array(piece(F.lit(0), text)))
 
 
 def generation_chunks(docs: DataFrame, source: str, revision: Column, most: int = 1800) -> DataFrame:
@@ -84,13 +89,14 @@ def generation_chunks(docs: DataFrame, source: str, revision: Column, most: int
     docs: doc_id, path, content, meta (map). A parent keeps its whole text; children longer than ``most`` are cut, so that an
     embedding service cuts none. Ids hold the source's hash, the document and its revision, children their start too, so two
     generations never share an id unless their texts are the same. Every chunk carries doc_id, source_id, revision and hash.
+    A document without an id has chunks without one.
     """
-    keyed = docs.withColumn("revision", revision).withColumn("doc_hash", F.sha2(F.concat(F.to_json("meta"), F.lit("\n"), "content"), 256))
-    parts = sections(keyed.select("doc_id", "content"))
+    doc_hash = F.sha2(F.concat(F.to_json("meta"), F.lit("\n"), "content"), 256)
+    keyed = docs.select("doc_id", "path", "meta", "content", revision.alias("revision"), doc_hash.alias("doc_hash"))
+    parts = _parts(keyed, "doc_id", "path", "meta", "revision", "doc_hash")
     pieces = F.when(F.col("chunk_type") == "child", bounded(F.col("text"), most)).otherwise(F.array(F.struct(F.lit(0).alias("char_start"), F.col("text").alias("text"))))
-    cut = parts.select("doc_id", "seq", "chunk_type", F.inline(pieces)).join(keyed.select("doc_id", "path", "meta", "revision", "doc_hash"), "doc_id")
-    namespace = F.concat_ws(":", F.substring(F.sha2(F.lit(source).cast("binary"), 256), 1, 12), F.col("doc_id").cast("string"), "revision")
-    own = F.concat(namespace, F.lit("#"), F.col("seq").cast("string"))
+    cut = parts.select("doc_id", "path", "meta", "revision", "doc_hash", "seq", "chunk_type", F.inline(pieces))
+    own = F.concat(F.substring(F.sha2(F.lit(source).cast("binary"), 256), 1, 12), F.lit(":"), F.col("doc_id").cast("string"), F.lit(":"), "revision", F.lit("#"), F.col("seq").cast("string"))
     chunk_id = F.when(F.col("chunk_type") == "parent", own).otherwise(F.concat(own, F.lit(":"), F.col("char_start").cast("string")))
     injected = F.map_from_arrays(F.array(*map(F.lit, ("doc_id", "source_id", "doc_revision", "doc_hash", "source_url"))), F.array(F.col("doc_id").cast("string"), F.lit(source), "revision", "doc_hash", "path"))
     # what is injected wins over a document's own metadata of that name
