@@ -103,3 +103,15 @@ def test_empty(spark, table):
     assert I.search(index, table.withColumnRenamed("id", "query_id"), 3).collect() == []
     assert I.search(I.build(table), none.withColumnRenamed("id", "query_id"), 3).collect() == []
     assert I.duplicates(none, F.col("id") % 10 == 0).collect() == []
+
+
+def test_floats_stay_narrow(spark):
+    x = np.random.default_rng(3).normal(size=(500, 8)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    index = I.build(rows)
+    blocks = index.blocks(spark).agg(F.sum("n").alias("n"), F.sum(F.length("vectors")).alias("bytes")).first()
+    assert blocks["bytes"] == blocks["n"] * 8 * 4
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = {(q, int(i)) for q in range(0, 500, 100) for i in np.lexsort((np.arange(500), -np.floor(unit[q] @ unit.T * 1e4 + 0.5)))[:5]}
+    assert {(r.query_id, r.id) for r in I.search(index, asked, 5).collect()} == want
