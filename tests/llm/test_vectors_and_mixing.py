@@ -69,6 +69,27 @@ def test_many_chunks_and_large_components(spark):
         hard_negatives.mine(spark.createDataFrame([(0, 1, [1e17]), (1, 1, [1e17])], df.schema), F.col("id") == 0).collect()
 
 
+def shuffled_bytes(spark):
+    """Of all stages that the session remembers, by number."""
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.Collections.emptyList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_scores_are_not_shuffled(spark):
+    """Panels travel, tiles of anchors times rows do not; a task's tiles leave one top-k together."""
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 4, [float(x) for x in rng.normal(size=16)]) for i in range(2500)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(4).cache()
+    df.count()
+    before = shuffled_bytes(spark)
+    whole = sorted(map(tuple, hard_negatives.mine(df, F.col("id") >= 0).collect()))
+    assert sum(n for stage, n in shuffled_bytes(spark).items() if stage not in before) < 2 * 2500**2 // 2
+    some = {100 * i for i in range(25)}
+    assert [r for r in whole if r[0] in some] == sorted(map(tuple, hard_negatives.mine(df, F.col("id") % 100 == 0, row_block=100, anchor_block=7).collect())) == plain_negatives(rows)
+
+
 def test_no_vectors(spark, odd):
     for none in (odd.where("false"), odd.where("vec_id = 500"), odd.where("vec_id = 101")):
         assert hard_negatives.mine(none, F.col("id") % 100 == 0).collect() == []

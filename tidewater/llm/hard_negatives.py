@@ -1,11 +1,11 @@
 """Hard negatives by a two-dimensional block matrix product (SUMMA).
 
-Rows are sharded into blocks of bounded size and their components into chunks. The grid's cell (anchor block, row block,
-chunk) multiplies its two panels; the partial int64 score tiles of one (anchor block, row block) are shuffled to one
-place and added there, and of the full tile only a top-k leaves the task. The first product, over blocks that share
-labels, gives each anchor's positives; the second, over all blocks, the best negatives inside each positive's window of
-scores. Labels are dealt to groups and every group to as many blocks as its rows need, so a label that holds a third of
-all rows is only more blocks. A task holds one tile and one batch of panels at a time.
+Rows are sharded into blocks of bounded size and their components into chunks. The tile of an anchor block and a row block
+stays in one task: the two blocks' panels come to it chunk by chunk and their products are added there, so that panels are
+shuffled and scores never are. Of the tiles of one anchor block in a task only one top-k leaves it. The first product, over
+blocks that share labels, gives each anchor's positives; the second, over all blocks, the best negatives inside each
+positive's window of scores. Labels are dealt to groups and every group to as many blocks as its rows need, so a label that
+holds a third of all rows is only more blocks. A task holds one tile and one batch of panels at a time.
 
 Edge cases: rows with a null id, label or vector, or with a null or non-finite component, take no part; missing trailing
 components count as 0; a row that repeats another's id, label and components is the same row; rows that share an id alone
@@ -27,13 +27,13 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 5
 #: A negative's score is at least this many hundredths of the positive's.
 FLOOR = 80
-#: Bounds of a tile: anchors, rows, and the components of a row panel.
-ANCHOR_BLOCK, ROW_BLOCK, PANEL_CELLS = 256, 4096, 1 << 19
+#: Bounds of a tile: anchors, rows, and the components of a panel; anchors whose products and sorted cells are held at once.
+ANCHOR_BLOCK, ROW_BLOCK, PANEL_CELLS, PART_ROWS = 1024, 4096, 1 << 19, 256
 #: Labels are dealt to so many groups; chunks hold at least LEAST_CHUNK components, and there are at most CHUNKS of them.
 GROUPS, LEAST_CHUNK, CHUNKS = 64, 32, 4
 
-_PANEL = pa.schema([("block", pa.int32()), ("grp", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("most", pa.int64()), ("x", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("labels", pa.binary()), ("windows", pa.binary())])
-_PARTIAL = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("k", pa.int32()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("tile", pa.binary()), *((f"{side}_{x}", pa.binary()) for side, x in (("a", "ids"), ("a", "keys"), ("a", "labels"), ("a", "windows"), ("b", "ids"), ("b", "keys"), ("b", "labels")))])
+_PANEL = pa.schema([("block", pa.int32()), ("grp", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("most", pa.int64()), ("kind", pa.string()), ("x", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("labels", pa.binary()), ("windows", pa.binary())])
+_HEAD = ("ids", "keys", "labels", "windows")
 _FOUND = pa.schema([("anchor_id", pa.int64()), ("anchor_key", pa.int64()), ("place", pa.int32()), ("other_id", pa.int64()), ("score", pa.int64())])
 _NONE = np.iinfo(np.int64).min
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
@@ -69,54 +69,19 @@ def panels(rows: DataFrame, block: Column, width: int, chunk: int) -> DataFrame:
 
         x, windows = matrix("x", width, 0), matrix("windows", POSITIVES, _NONE)
         most = max(int(x.max(initial=0)), -int(x.min(initial=0)))
+        kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"  # panels travel as narrow as they may
         number, grp = int(column("block")[0]), int(column("grp")[0])
         head = (ids[order].tobytes(), keys[order].tobytes(), labels[order].tobytes(), windows.tobytes())
-        out = [(number, grp, k, len(order), most, np.ascontiguousarray(x[:, s : s + chunk]).tobytes(), *(head if k == 0 else (None,) * 4)) for k, s in enumerate(range(0, width, chunk))]
+        out = [(number, grp, k, len(order), most, kind, np.ascontiguousarray(x[:, s : s + chunk], kind).tobytes(), *(head if k == 0 else (None,) * 4)) for k, s in enumerate(range(0, width, chunk))]
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), _PANEL.types, strict=True)], schema=_PANEL)
 
     if "windows" not in rows.columns:
         rows = rows.withColumn("windows", F.lit(None).cast("array<long>"))
     rows = rows.select(block.cast("int").alias("block"), "grp", "id", "key", "label", "x", "windows")
-    kinds = "block int, grp int, k int, n int, most long, x binary, ids binary, keys binary, labels binary, windows binary"
+    kinds = "block int, grp int, k int, n int, most long, kind string, x binary, ids binary, keys binary, labels binary, windows binary"
     return rows.groupBy("block").applyInArrow(packed, kinds)
 
 
-def _planes(tile: np.ndarray) -> bytes:
-    """int64 scores as byte planes of zigzag values, which compress to their significant bytes."""
-    zigzag = (tile << 1) ^ (tile >> 63)
-    return np.ascontiguousarray(zigzag.reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _tile(raw: bytes, shape: tuple[int, int]) -> np.ndarray:
-    zigzag = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(shape)
-    return (zigzag >> np.uint64(1)).view(np.int64) ^ -(zigzag & np.uint64(1)).view(np.int64)
-
-
-def multiplied(anchors: DataFrame, rows: DataFrame, chunks: int) -> DataFrame:
-    """Partial tiles of the grid. Both sides have their panels' partners in an array ``to``."""
-    cell = ["a", "b", "k"]
-    left = anchors.select(F.col("block").alias("a"), "k", F.explode("to").alias("b"), *(F.col(x).alias(f"a_{x}") for x in ("n", "most", "x", "ids", "keys", "labels", "windows")))
-    right = rows.select(F.col("block").alias("b"), "k", F.explode("to").alias("a"), *(F.col(x).alias(f"b_{x}") for x in ("n", "most", "x", "ids", "keys", "labels")))
-
-    def product(batches):
-        for batch in batches:
-            column = {name: batch.column(name) for name in batch.schema.names}
-            for i in range(batch.num_rows):
-                at = {name: values[i].as_py() for name, values in column.items()}
-                x = np.frombuffer(at["a_x"], "<i8").reshape(at["a_n"], -1)
-                y = np.frombuffer(at["b_x"], "<i8").reshape(at["b_n"], -1)
-                bound = at["a_most"] * at["b_most"] * x.shape[1]
-                if 100 * bound * chunks >= 1 << 63:
-                    raise ArithmeticError("components too large for scores of 63 bits")
-                # a double holds each partial sum exactly below 2^53
-                tile = (x.astype(np.float64) @ y.T.astype(np.float64)).astype(np.int64) if bound < 1 << 53 else x @ y.T
-                out = [at["a"], at["b"], at["k"], at["a_n"], at["b_n"], _planes(tile), *(at[x] for x in _PARTIAL.names[6:])]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, _PARTIAL.types, strict=True)], schema=_PARTIAL)
-
-    kinds = "a int, b int, k int, n_a int, n_b int, tile binary, a_ids binary, a_keys binary, a_labels binary, a_windows binary, b_ids binary, b_keys binary, b_labels binary"
-    return left.join(right, cell).mapInArrow(product, kinds)
-
-
 def _sorted(score: np.ndarray, mask: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, row and score of the cells under the mask, by anchor, falling score and id."""
     a, b = np.nonzero(mask)
@@ -155,31 +120,77 @@ def _negatives(score, head, most, floor):
     return a[at], np.concatenate(places) if places else np.empty(0, np.int32), b[at], found[at]
 
 
-def added(partials: DataFrame, select) -> DataFrame:
-    """Sum of each tile's partials; ``select`` takes its top-k."""
+def _first(found: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """Of the found (anchor, place, id, score) the first ``most`` of each anchor and place."""
+    anchor, place, other, score = found
+    order = np.lexsort((other, -score, place, anchor))
+    group = anchor[order] * (POSITIVES + 1) + place[order]
+    order = order[np.arange(len(order)) - np.searchsorted(group, group) < most]
+    return [x[order] for x in found]
 
-    def total(batches):
-        at, score, head = None, None, {}
 
-        def best():
-            a, place, b, found = select(score, head)
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((head["a_ids"][a], head["a_keys"][a], place, head["b_ids"][b], found), _FOUND.types, strict=True)], schema=_FOUND)
+def multiplied(anchors: DataFrame, rows: DataFrame, tiles: int, anchor_blocks: int, chunks: int, select, most: int) -> DataFrame:
+    """``select`` takes the top-k of each tile of the grid; both sides have their panels' partners in an array ``to``, of
+    ``tiles`` pairs in all. Tiles of one anchor block in a task leave their common top-k alone."""
+    spark = anchors.sparkSession
+    parts = max(1, min(tiles, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
+    # few bytes, much work: tiles are spread whatever their size, those of a task being of as few anchor blocks as may be
+    spread = -(-2 * parts // anchor_blocks)
+    panel = ["k", "n", "most", "kind", "x", *_HEAD]
+    left = anchors.select(F.col("block").alias("a"), F.explode("to").alias("b"), F.lit(0).alias("side"), *panel)
+    right = rows.select(F.explode("to").alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"), *panel[:-1], F.lit(None).cast("binary").alias("windows"))
+
+    def product(x: np.ndarray, y: np.ndarray, bound: int) -> np.ndarray:
+        # a double holds each partial sum exactly below 2^53
+        return (x.astype(np.float64) @ y.T.astype(np.float64)).astype(np.int64) if bound < 1 << 53 else x.astype(np.int64) @ y.T.astype(np.int64)
+
+    def total(batches):
+        at, panels, tile, heads, found, names = None, {}, None, {}, None, None
+
+        def ended():
+            """The top-k of the tile, with those of the anchor block's tiles before it."""
+            best = [] if found is None else [found]
+            for first in range(0, len(tile), PART_ROWS):
+                head = {f"a_{x}": heads[0][x].reshape(len(tile), -1)[first : first + PART_ROWS] for x in _HEAD} | {f"b_{x}": heads[1][x] for x in _HEAD[:3]}
+                head |= {f"a_{x}": head[f"a_{x}"][:, 0] for x in _HEAD[:3]}
+                a, place, b, score = select(tile[first : first + PART_ROWS], head)
+                best.append([a + first, place.astype(np.int64), heads[1]["ids"][b], score])
+            return _first([np.concatenate(x) for x in zip(*best, strict=True)], most)
+
+        def leave():
+            anchor, place, other, score = found
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((names["ids"][anchor], names["keys"][anchor], place, other, score), _FOUND.types, strict=True)], schema=_FOUND)
 
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 if (row["a"], row["b"]) != at:
-                    if at is not None:
-                        yield best()
-                    at, score = (row["a"], row["b"]), np.zeros((row["n_a"], row["n_b"]), np.int64)
+                    if tile is not None:
+                        found, names, tile = ended(), heads[0], None
+                    if found is not None and at[0] != row["a"]:
+                        yield leave()
+                        found = None
+                    at, panels, heads = (row["a"], row["b"]), {}, {}
                 if row["k"] == 0:
-                    head = {name: np.frombuffer(row[name], "<i8") for name in _PARTIAL.names[6:]}
-                score += _tile(row["tile"], score.shape)
-        if at is not None:
-            yield best()
+                    heads[row["side"]] = {x: np.frombuffer(row[x] or b"", "<i8") for x in _HEAD}
+                panels = {row["side"]: row} | {s: p for s, p in panels.items() if p["k"] == row["k"] and s != row["side"]}
+                if len(panels) < 2:
+                    continue
+                x, y = (np.frombuffer(panels[s]["x"], panels[s]["kind"]).reshape(panels[s]["n"], -1) for s in (0, 1))
+                bound = panels[0]["most"] * panels[1]["most"] * x.shape[1]
+                if 100 * bound * chunks >= 1 << 63:
+                    raise ArithmeticError("components too large for scores of 63 bits")
+                tile = np.zeros((len(x), len(y)), np.int64) if tile is None else tile
+                for first in range(0, len(x), PART_ROWS):
+                    tile[first : first + PART_ROWS] += product(x[first : first + PART_ROWS], y, bound)
+        if tile is not None:
+            found, names = ended(), heads[0]
+        if found is not None:
+            yield leave()
 
     kinds = "anchor_id long, anchor_key long, place int, other_id long, score long"
-    return partials.repartition("a", "b").sortWithinPartitions("a", "b", "k").mapInArrow(total, kinds)
+    dealt = left.unionByName(right).withColumn("share", F.pmod(F.xxhash64("b"), F.lit(spread)))
+    return dealt.repartition(parts, "a", "share").drop("share").sortWithinPartitions("a", "b", "k", "side").mapInArrow(total, kinds)
 
 
 def _best(found: DataFrame, most: int) -> DataFrame:
@@ -197,7 +208,7 @@ def mine(embeddings: DataFrame, anchor: Column, positives: int = POSITIVES, nega
     width = max([1, *(r["width"] for r in sizes)])
     if positives > POSITIVES:
         raise ValueError(f"at most {POSITIVES} positives")
-    row_block = max(1, min(row_block, PANEL_CELLS // width))
+    row_block, anchor_block = (max(1, min(n, PANEL_CELLS // width)) for n in (row_block, anchor_block))
     chunk = max(LEAST_CHUNK, -(-width // CHUNKS))
     chunks = -(-width // chunk)
     blocks = lambda n, size: -(-n // size)
@@ -215,8 +226,8 @@ def mine(embeddings: DataFrame, anchor: Column, positives: int = POSITIVES, nega
     row_panels = written(panels(rows, of(first) + dealt("row", F.greatest(of(count), F.lit(1))), width, chunk), "row-panels")
     anchors = rows.where(anchor)
     own = panels(anchors, of(a_first) + dealt("anchor", F.greatest(of(a_count), F.lit(1))), width, chunk)
-    partials = multiplied(own.withColumn("to", span(of(first), of(count))), row_panels.withColumn("to", span(of(a_first), of(a_count))), chunks)
-    ranked = _best(added(partials, lambda score, head: _positives(score, head, positives)), positives)
+    found = multiplied(own.withColumn("to", span(of(first), of(count))), row_panels.withColumn("to", span(of(a_first), of(a_count))), sum(map(int.__mul__, count, a_count)), a_total, chunks, lambda score, head: _positives(score, head, positives), positives)
+    ranked = _best(found, positives)
     places = written(ranked.select("anchor_id", "anchor_key", F.col("rank").alias("place"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
     windows = places.groupBy("anchor_id", "anchor_key").agg(F.sort_array(F.collect_list(F.struct("place", "positive_score"))).alias("w"))
@@ -224,6 +235,6 @@ def mine(embeddings: DataFrame, anchor: Column, positives: int = POSITIVES, nega
     every = blocks(sum(r["anchors"] for r in sizes), anchor_block)
     wide = panels(anchors.join(windows, ["id", "key"]), dealt("all", F.lit(every)), width, chunk)
     all_rows, all_anchors = F.sequence(F.lit(0), F.lit(total - 1)), F.sequence(F.lit(0), F.lit(every - 1))
-    partials = multiplied(wide.withColumn("to", all_rows), row_panels.withColumn("to", all_anchors), chunks)
-    found = _best(added(partials, lambda score, head: _negatives(score, head, negatives, floor)), negatives)
+    found = multiplied(wide.withColumn("to", all_rows), row_panels.withColumn("to", all_anchors), total * every, every, chunks, lambda score, head: _negatives(score, head, negatives, floor), negatives)
+    found = _best(found, negatives)
     return found.join(places, ["anchor_id", "anchor_key", "place"]).select("anchor_id", "positive_id", "rank", F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
