@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import vector_index as I
+from tidewater.plans import adapt as A
 from tidewater.plans import index_queries
 
 
@@ -97,6 +98,31 @@ def test_duplicate_report_of_odd_documents(spark, tmp_path):
     assert oracle.differences(index_queries.duplicate_report(spark, str(tmp_path)), index_queries.SQL["duplicate_report"], con) == ""
 
 
+def test_duplicate_report_reads_texts_once(spark, tmp_path, monkeypatch):
+    """Words are tokenized once and added up where they lie; what is shuffled is rows of documents, also of repeated ids."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, 250)) for _ in range(300)]
+    rows = [(i, texts[i % 300] + " w1" * (i % 7), "ab"[i % 2]) for i in range(600)] + [(i, texts[i], "ab"[i % 2]) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    read, real = [], A.table
+    monkeypatch.setattr(A, "table", lambda spark, at, name: read.append(name) or real(spark, at, name))
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.Collections.emptyList()
+
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    found = index_queries.duplicate_report(spark, str(tmp_path))
+    assert oracle.differences(found, index_queries.SQL["duplicate_report"], con) == ""
+    assert read == ["documents"] and "documents.parquet" not in found._jdf.queryExecution().toString()
+    assert sum(n for stage, n in shuffled().items() if stage not in before) < 20 * len(rows)
+
+
 def test_empty(spark, table):
     none = table.where("false")
     index = I.build(none)
