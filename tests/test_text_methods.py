@@ -66,6 +66,34 @@ def test_large_dictionary_sends_no_other_pieces(spark, monkeypatch):
     assert cut(100) == cut(1 << 20)
 
 
+def test_pieces_travel_once_for_a_batch_of_texts(spark, monkeypatch):
+    """Texts of few words send them once together, not each, and the cut does not depend on the batches."""
+    rng = np.random.default_rng(6)
+    han = list("证书续期过防火墙中文错码误拨号连接失败客户端配置路由表")
+    words = {"".join(rng.choice(han, n)): int(rng.integers(1, 50)) for n in range(2, 7) for _ in range(40)}
+    rows = [(None if i % 50 == 7 else i, None if i % 40 == 3 else "".join([*rng.choice(list(words), 60), "。x ", *rng.choice(han, 20)])) for i in range(400)]
+    docs, dictionary = spark.createDataFrame(rows, "id long, text string").repartition(2), spark.createDataFrame([*words.items()], "word string, freq long")
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.Collections.emptyList()
+
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    cut = lambda small: sorted((r["id"] or -1, r["terms"]) for r in G.segmented(docs, dictionary, small=small).collect())
+    want = cut(1 << 20)
+    docs = docs.cache()
+    docs.count()
+    before = shuffled()
+    assert cut(0) == want
+    assert sum(n for stage, n in shuffled().items() if stage not in before) < sum(len((t or "").encode()) for _, t in rows)
+    monkeypatch.setattr(G, "TEXTS", 3)
+    monkeypatch.setattr(G, "BATCH_TEXTS", 7)
+    assert cut(0) == cut(20) == want
+    monkeypatch.setattr(G, "BATCH_CHARS", 1)
+    assert cut(0) == want
+
+
 @pytest.mark.parametrize("cells", [1 << 22, 0])
 def test_ratio_is_difflibs(cells, monkeypatch):
     monkeypatch.setattr(S, "CELLS", cells)
